@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of text handed to a Python worker at once.
-TEXT_ROWS = 400
+#: Bytes of rows handed to a Python worker at once.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that numpy code works on at once; a longer text is a piece of its own.
 WORK_BYTES = 1 << 20
 
@@ -29,12 +29,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def batches_of(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Lower the session's Arrow batch size, so that a batch of long texts stays small; never raises it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def batches_of(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch, so that batches of long texts stay small; never raises it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > size:
+        spark.conf.set(key, str(size))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
