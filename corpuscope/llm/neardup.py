@@ -201,15 +201,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 def packed_texts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
     """rep and its compressed text, for the representatives in wanted."""
     batches_of(docs.sparkSession)
-    chosen = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(wanted, "rep", "left_semi")
+    src = docs.select(F.col(key).alias("rep"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["rep", "packed"])
 
+    # Compressed before the shuffle; wanted grows with the corpus, so it is never broadcast.
+    chosen = src.mapInArrow(run, "rep bigint, packed binary").join(wanted.hint("merge"), "rep", "left_semi")
     # A repeated id stands for one class only if its texts are equal; otherwise any of its rows may be compared.
-    return chosen.mapInArrow(run, "rep bigint, packed binary").dropDuplicates(["rep"])
+    return chosen.dropDuplicates(["rep"])
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
