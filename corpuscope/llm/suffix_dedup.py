@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 from corpuscope.llm.shared import batches_of, mixed, powers, stored, utf8
 
 LENGTH, GRAM = 100, 32
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of anchor hashes that one task collects.
 BUCKET_BYTES = 32 << 20
+#: Suffixes whose windows are compared at once.
+SLICE = 6000
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -276,14 +278,24 @@ class Run:
         self.doc, self.place, self.ids = take("<i4", n), take("<i4", n), take("<i8", n)
         self.rest, self.before = take("u1", rest).tobytes(), take("u1", before)
         self.chunk = np.full(n, chunk, np.int64)
+        self.fronts = np.cumsum(np.append(0, self.ahead.astype(np.int64)))
+        self.ends = np.cumsum(np.append(0, self.lens.astype(np.int64)))
+        self.plain = b""
 
     def suffixes(self) -> Iterator[tuple[bytes, int]]:
         """Each suffix and its common prefix with the one before, undone from front coding."""
         at, last = 0, b""
+        whole = []
         for common, size in zip(self.common.tolist(), self.lens.tolist(), strict=True):
             last = last[:common] + self.rest[at : at + size - common]
             at += size - common
+            whole.append(last)
             yield last, common
+        self.plain = b"".join(whole)
+
+    def around(self, i: int) -> bytes:
+        """What stands before an anchor, and its suffix; once all suffixes were read."""
+        return self.before[self.fronts[i] : self.fronts[i + 1]].tobytes() + self.plain[self.ends[i] : self.ends[i + 1]]
 
 
 def first_difference(a: bytes, b: bytes, known: int) -> int:
@@ -347,6 +359,36 @@ class LoserTree:
             self.winner = w
 
 
+def window_repeats(parts: list[Run], base: np.ndarray, pick: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Chunk, document, from and to of what repeats an earlier window among the picked suffixes of some groups."""
+    owner = np.searchsorted(base, pick, side="right") - 1
+    row = pick - base[owner]
+    get = lambda name: np.array([getattr(parts[o], name)[i] for o, i in zip(owner.tolist(), row.tolist(), strict=True)], np.int64)
+    lens, ahead, doc, place, ids, chunk = map(get, ("lens", "ahead", "doc", "place", "ids", "chunk"))
+    # Surroundings of the picked anchors in a row: what is before the anchor, then its suffix.
+    around = [parts[o].around(i) for o, i in zip(owner.tolist(), row.tolist(), strict=True)]
+    flat = np.frombuffer(b"".join(around), np.uint8)
+    at = np.cumsum(ahead + lens) - (ahead + lens)
+    windows = ahead + lens - LENGTH + 1
+    item = np.repeat(np.arange(len(pick)), windows)
+    step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    value = rolling(flat, LENGTH, at[item] + step)
+    inside = (ahead[item] - step).astype(np.uint64)  # the anchor's place in the window
+    value = mixed(value + mixed(group[item].astype(np.uint64) << np.uint64(8) | inside))
+    early = np.empty(len(pick), np.int64)
+    early[np.lexsort((place, doc, chunk, ids))] = np.arange(len(pick))
+    by = np.lexsort((early[item], value))
+    value, item, step = value[by], item[by], step[by]
+    again = np.append(False, value[1:] == value[:-1])
+    item, step = item[again], step[again]
+    low, high = np.full(len(pick), LENGTH * 4), np.full(len(pick), -1)
+    np.minimum.at(low, item, step)
+    np.maximum.at(high, item, step)
+    hit = np.flatnonzero(high >= 0)
+    begin = place - ahead
+    return np.stack([chunk[hit], doc[hit], begin[hit] + low[hit], begin[hit] + high[hit] + LENGTH])
+
+
 def merged_repeats(runs: DataFrame) -> DataFrame:
     """Repeats found among the runs of each range: chunk and payload (document, from, to)."""
 
@@ -366,41 +408,19 @@ def merged_repeats(runs: DataFrame) -> DataFrame:
         pick, group = order[together], group[together]
         chunks: list[int] = []
         payloads: list[bytes] = []
-        if len(pick):
-            joined = lambda name: np.concatenate([getattr(r, name) for r in parts])[pick]
-            lens, ahead, doc, place, ids, chunk = (joined(x).astype(np.int64) for x in ("lens", "ahead", "doc", "place", "ids", "chunk"))
-            # Surroundings of the picked anchors in a row: what is before the anchor, then its suffix.
-            fronts = [memoryview(r.before) for r in parts]
-            cuts = [np.cumsum(np.append(0, r.ahead.astype(np.int64))) for r in parts]
-            texts = [list(x for x, _ in r.suffixes()) for r in parts]
-            owner = np.searchsorted(base, pick, side="right") - 1
-            rows = []
-            for o, i in zip(owner.tolist(), pick.tolist(), strict=True):
-                k = i - base[o]
-                rows += [bytes(fronts[o][cuts[o][k] : cuts[o][k + 1]]), texts[o][k]]
-            flat = np.frombuffer(b"".join(rows), np.uint8)
-            at = np.cumsum(ahead + lens) - (ahead + lens)
-            windows = ahead + lens - LENGTH + 1
-            item = np.repeat(np.arange(len(pick)), windows)
-            step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-            value = rolling(flat, LENGTH, at[item] + step)
-            inside = (ahead[item] - step).astype(np.uint64)  # the anchor's place in the window
-            value = mixed(value + mixed(group[item].astype(np.uint64) << np.uint64(8) | inside))
-            early = np.empty(len(pick), np.int64)
-            early[np.lexsort((place, doc, chunk, ids))] = np.arange(len(pick))
-            by = np.lexsort((early[item], value))
-            value, item, step = value[by], item[by], step[by]
-            again = np.append(False, value[1:] == value[:-1])
-            item, step = item[again], step[again]
-            low, high = np.full(len(pick), LENGTH * 4), np.full(len(pick), -1)
-            np.minimum.at(low, item, step)
-            np.maximum.at(high, item, step)
-            hit = np.flatnonzero(high >= 0)
-            begin = place - ahead
-            for c in np.unique(chunk[hit]):
-                m = hit[chunk[hit] == c]
-                chunks.append(int(c))
-                payloads.append(zstandard.ZstdCompressor(level=3).compress(np.stack([doc[m], begin[m] + low[m], begin[m] + high[m] + LENGTH]).astype("<i4").tobytes()))
+        # Whole groups at a time, about SLICE suffixes: windows are many times more than suffixes.
+        fresh = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(pick) else np.zeros(0, np.int64)
+        found: list[np.ndarray] = []
+        lo = 0
+        while lo < len(pick):
+            hi = int(np.searchsorted(fresh, lo + SLICE))
+            hi = int(fresh[hi]) if hi < len(fresh) else len(pick)
+            found.append(window_repeats(parts, np.array(base), pick[lo:hi], group[lo:hi]))
+            lo = hi
+        hits = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        for c in np.unique(hits[0]):
+            chunks.append(int(c))
+            payloads.append(zstandard.ZstdCompressor(level=3).compress(hits[1:, hits[0] == c].astype("<i4").tobytes()))
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "payload": pa.array(payloads, pa.binary())})
 
     return runs.where("part is not null").groupBy("part").applyInArrow(merge, "chunk bigint, payload binary")
