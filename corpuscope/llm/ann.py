@@ -2,9 +2,11 @@
 
 Vectors are scaled by the largest norm and get one more component that makes them unit length, so that the largest
 inner product is the smallest distance. Each of PROJECTIONS single projections gives a sorted array of its block's
-vectors. A query's window around its own projection is widened in steps (virtual rehashing: no other hash table is
-needed for a larger radius); each vector counts in how many arrays the window holds it, and once enough vectors exceed
-the collision threshold these are verified by their exact inner product, in double precision, on the original vectors.
+vectors, cut into buckets. A query's window around its own projection is widened in steps by whole buckets (virtual
+rehashing: no other hash table is needed for a larger radius); each vector counts in how many arrays the window holds it
+(sets of vectors are bits and counters bit planes, so that one operation counts 64 vectors), and once enough vectors
+exceed the collision threshold these are verified by their exact inner product, in double precision, on the original
+vectors.
 
 Work is dealt in blocks: every block of queries meets every block of rows once, blocks being of bounded size, and the
 best of each block are ranked at last. Nothing is capped: of vectors that tie all are verified.
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from corpuscope.llm.shared import batches_of, stored
 
 PROJECTIONS = 128
+#: Buckets of equal size in a sorted array; windows are widened by whole buckets.
+BUCKETS = 64
 #: Share of the arrays in which a vector must collide, and share of a block's vectors that must do so.
 THRESHOLD, ENOUGH = 0.75, 0.25
 #: First half width of a window and its growth, in standard deviations of a random unit vector's projection.
@@ -40,51 +44,83 @@ def projections(dim: int) -> np.ndarray:
     return np.concatenate(blocks)[:PROJECTIONS] * np.sqrt(dim)
 
 
-def found(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, k: int, largest: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, scores) of the best k of a block for each query of another."""
-    n, dim = x.shape
-    a = projections(dim + 1)
-    scaled = x.astype(np.float64) / largest
-    rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled**2).sum(1)))
-    h = (scaled @ a[:, :dim].T + rest[:, None] * a[:, dim]).astype(np.float32)
-    order = np.argsort(h, axis=0, kind="stable").T.astype(np.int32).copy()
-    arrays = np.take_along_axis(h.T, order, axis=1).copy()
-    qd = q.astype(np.float64)
-    hq = (qd / np.sqrt((qd**2).sum(1))[:, None] @ a[:, :dim].T).astype(np.float32)
-    need = min(n, max(int(ENOUGH * n), 8 * k))
-    xd = x.astype(np.float64)
-    for c in range(0, len(q), 64):
-        mine = hq[c : c + 64]
-        width = WIDTH
-        low = high = None
-        counts = np.zeros((len(mine), n), np.int32)
-        open_ = np.arange(len(mine))
-        while len(open_):
-            new_low = np.stack([np.searchsorted(arrays[p], mine[open_, p] - np.float32(width)) for p in range(PROJECTIONS)], 1)
-            new_high = np.stack([np.searchsorted(arrays[p], mine[open_, p] + np.float32(width), side="right") for p in range(PROJECTIONS)], 1)
-            still = []
-            for r, i in enumerate(open_):
-                if low is None:
-                    seen = [order[p, s:e] for p, (s, e) in enumerate(zip(new_low[r].tolist(), new_high[r].tolist(), strict=True))]
-                else:
-                    seen = [order[p, s:t] for p, (s, t) in enumerate(zip(new_low[r].tolist(), low[r].tolist(), strict=True))]
-                    seen += [order[p, t:e] for p, (t, e) in enumerate(zip(high[r].tolist(), new_high[r].tolist(), strict=True))]
-                counts[i] += np.bincount(np.concatenate(seen), minlength=n).astype(np.int32)
-                good = np.flatnonzero(counts[i] >= THRESHOLD * PROJECTIONS)
-                if len(good) < need:
-                    still.append(r)
-                    continue
-                good = good[ids[good] != qids[c + i]]
-                scores = (xd[good] * qd[c + i]).sum(1)
-                if len(good) > k:
-                    edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-                    top = scores >= edge
-                    good, scores = good[top], scores[top]
-                best = np.lexsort((ids[good], -scores))[:k]
-                yield int(qids[c + i]), ids[good[best]], scores[best]
-            low, high = new_low[still], new_high[still]
-            open_ = open_[still]
-            width *= GROWTH
+class Index:
+    """The sorted arrays of a block, each cut into buckets of equal size, with the set of vectors before each bucket as bits."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, largest: float) -> None:
+        n, dim = x.shape
+        self.ids, self.x = ids, x.astype(np.float64)
+        self.directions = projections(dim + 1)
+        scaled = self.x / largest
+        rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled**2).sum(1)))
+        h = (scaled @ self.directions[:, :dim].T + rest[:, None] * self.directions[:, dim]).astype(np.float32).T
+        order = np.argsort(h, axis=1, kind="stable")
+        step = -(-n // BUCKETS)
+        self.starts = np.take_along_axis(h, order[:, ::step], axis=1)
+        cuts = np.arange(self.starts.shape[1] + 1)[:, None]
+        bucket = np.empty(n, np.int16)
+        self.before = np.zeros((PROJECTIONS, len(cuts), -(-n // 64)), np.uint64)
+        for p in range(PROJECTIONS):
+            bucket[order[p]] = np.arange(n) // step
+            bits = np.packbits(bucket < cuts, axis=1, bitorder="little")
+            self.before[p].view(np.uint8)[:, : bits.shape[1]] = bits
+
+    def colliding(self, hq: np.ndarray, width: float) -> np.ndarray:
+        """Of each query, the vectors that its windows hold in enough arrays; whole buckets that a window touches count."""
+        waiting: list[list[np.ndarray]] = [[] for _ in range(PROJECTIONS.bit_length() + 1)]
+        for p in range(PROJECTIONS):
+            low = np.maximum(np.searchsorted(self.starts[p], hq[:, p] - np.float32(width)) - 1, 0)
+            high = np.searchsorted(self.starts[p], hq[:, p] + np.float32(width), side="right")
+            waiting[0].append(self.before[p][np.maximum(high, low)] ^ self.before[p][low])
+            # Counters are bit planes: three sets of the same weight become one of it and one of the next.
+            for level in range(len(waiting) - 1):
+                if len(waiting[level]) < 3:
+                    break
+                u, v, w = waiting[level]
+                either = u ^ v
+                waiting[level] = [either ^ w]
+                waiting[level + 1].append((u & v) | (either & w))
+        planes = []
+        for level, sets in enumerate(waiting):
+            while len(sets) > 1:
+                u, v = sets.pop(), sets.pop()
+                sets.append(u ^ v)
+                waiting[level + 1].append(u & v)
+            planes.append(sets[0] if sets else np.zeros_like(waiting[0][0]))
+        # Planes are compared with the threshold from the highest down.
+        least = int(np.ceil(THRESHOLD * PROJECTIONS))
+        more, same = np.zeros_like(planes[0]), ~np.zeros_like(planes[0])
+        for level in reversed(range(len(planes))):
+            if least >> level & 1:
+                same &= planes[level]
+            else:
+                more |= same & planes[level]
+                same &= ~planes[level]
+        return np.unpackbits((more | same).view(np.uint8), axis=1, count=len(self.ids), bitorder="little").view(bool)
+
+    def found(self, q: np.ndarray, qids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query id, ids, scores) of the best k of this block for each query."""
+        n, dim = self.x.shape
+        qd = q.astype(np.float64)
+        hq = (qd / np.sqrt((qd**2).sum(1))[:, None] @ self.directions[:, :dim].T).astype(np.float32)
+        need = min(n, max(int(ENOUGH * n), 8 * k))
+        for c in range(0, len(q), 64):
+            width, open_ = WIDTH, np.arange(c, min(c + 64, len(q)))
+            while len(open_):
+                hits = self.colliding(hq[open_], width)
+                done = hits.sum(1) >= need
+                for i, hit in zip(open_[done].tolist(), hits[done], strict=True):
+                    good = np.flatnonzero(hit)
+                    good = good[self.ids[good] != qids[i]]
+                    scores = (self.x[good] * qd[i]).sum(1)
+                    if len(good) > k:
+                        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
+                        top = scores >= edge
+                        good, scores = good[top], scores[top]
+                    best = np.lexsort((self.ids[good], -scores))[:k]
+                    yield int(qids[i]), self.ids[good[best]], scores[best]
+                open_ = open_[~done]
+                width *= GROWTH
 
 
 def blocks(vectors: DataFrame, count: int, size: int, name: str) -> DataFrame:
@@ -127,10 +163,13 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", ve
     pairs = dealt.join(row_blocks, "block").select("query_ids", "query_values", "ids", "values")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, held = None, None
         for batch in batches:
             for j in range(len(batch)):
                 qi, qv, xi, xv = (c[j].as_py() for c in batch.columns)
-                got = list(found(np.frombuffer(xv, kind).reshape(-1, dim), np.frombuffer(xi, "<i8"), np.frombuffer(qv, kind).reshape(-1, dim), np.frombuffer(qi, "<i8"), k, largest))
+                if xi != held:  # the join brings the pairs of a block of rows one after another
+                    index, held = Index(np.frombuffer(xv, kind).reshape(-1, dim), np.frombuffer(xi, "<i8"), largest), xi
+                got = list(index.found(np.frombuffer(qv, kind).reshape(-1, dim), np.frombuffer(qi, "<i8"), k))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]).astype(np.int64)),
