@@ -45,6 +45,16 @@ def test_graph(spark):
     assert sum(r.rank for r in graph.pagerank(edges, 5).collect()) == pytest.approx(1)
 
 
+def test_pagerank_by_hand(spark):
+    pairs = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]  # one edge twice, d leads nowhere
+    rank, out = dict.fromkeys("abcd", 0.25), {"a": ["b"], "b": ["c"], "c": ["a", "d"]}
+    for _ in range(4):
+        lost = rank["d"] / 4
+        rank = {n: 0.15 / 4 + 0.85 * (lost + sum(rank[s] / len(t) for s, t in out.items() if n in t)) for n in rank}
+    got = {r.node: r.rank for r in graph.pagerank(spark.createDataFrame(pairs, "source string, target string"), 4).collect()}
+    assert got == pytest.approx(rank)
+
+
 def test_select_only(spark):
     assert select_only(spark, "select 1 as x").first().x == 1
     with pytest.raises(ValueError):
