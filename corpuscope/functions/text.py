@@ -75,3 +75,55 @@ SECURITY = {
 def security_kinds(text: Column) -> Column:
     """Names of the patterns that occur in a text."""
     return F.filter(F.array(*(F.when(text.rlike("(?i)" + p), k) for k, p in SECURITY.items())), lambda k: k.isNotNull())
+
+
+def chunk_spans(text: Column, size: int = 1500, overlap: int = 150, most: int = 10_001) -> Column:
+    """(start, end) of a text's chunks in code points; null has none.
+
+    A text of at most `size` is one chunk. Else a chunk ends at the last newline of its second half, if there is one, and
+    the next starts `overlap` before that. From the chunk that reaches the end on, every later start gives a chunk of its
+    own up to the end. No more than `most` chunks are made.
+    """
+    n = F.length(text)
+    span = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
+    begin = F.struct(F.lit(0).cast("long").alias("start"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.lit(False).alias("done"))
+
+    def step(s: Column, _: Column) -> Column:
+        start = s["start"]
+        end = F.least(start + size, n.cast("long"))
+        back = F.instr(F.reverse(F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))), "\n")
+        cut = F.when((back > 0) & (end - back > start + size // 2), end - back).otherwise(end)
+        new = F.struct(F.greatest(start + 1, cut - overlap).alias("start"), F.concat(s["spans"], F.array(span(start, cut))).alias("spans"), (cut == n).alias("done"))
+        return F.when(s["done"], s).otherwise(new)
+
+    # A chunk advances by more than half its size less the overlap.
+    rounds = F.sequence(F.lit(1), F.floor(n / (size // 2 - overlap)).cast("int") + 2)
+    loop = F.aggregate(rounds, begin, step)
+    tail = F.when(loop["start"] < n, F.transform(F.sequence(loop["start"], n.cast("long") - 1), lambda i: span(i, n))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    return F.when(n <= size, F.array(span(F.lit(0), n))).when(n > size, F.slice(F.concat(loop["spans"], tail), 1, most))
+
+
+def test_counts(summary: Column) -> Column:
+    """passed, failed, error, skipped and collected of a test summary; zeros if no tests ran."""
+    none = summary.rlike("(?i)no tests ran")
+    first = lambda word: F.when(none, 0).otherwise(F.coalesce(F.regexp_extract(summary, rf"(\d+)\s+{word}", 1).try_cast("int"), F.lit(0)))
+    each = {"passed": first("passed"), "failed": first("failed"), "error": first("errors"), "skipped": first("skipped")}
+    return F.struct(*(c.alias(k) for k, c in each.items()), (each["passed"] + each["failed"] + each["error"] + each["skipped"]).alias("collected"))
+
+
+def node_id(path: Column) -> Column:
+    """Other characters than letters, digits and _ . / - become -, which is stripped at both ends."""
+    return F.regexp_replace(F.regexp_replace(path, "[^A-Za-z0-9_./-]", "-"), "^-+|-+$", "")
+
+
+# Weights of a verifier's findings.
+REWARDS = {"hidden_tests_pass": 1.0, "compiles": 0.2, "patch_minimal": 0.1, "new_regression": -0.2, "linter_security_regression": -0.3, "timeout": -1.0, "sandbox_violation": -1.0}
+
+
+def reward(found: dict[str, Column]) -> Column:
+    """Sum of the weights of what was found; null counts as not found."""
+    total = F.lit(0.0)
+    for name, weight in REWARDS.items():
+        if name in found:
+            total = total + F.when(found[name], weight).otherwise(0.0)
+    return total
