@@ -86,14 +86,15 @@ def chunk_spans(text: Column, size: int = 1500, overlap: int = 150, most: int =
     """
     n = F.length(text)
     span = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
+    once = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)  # noqa: E731  (f uses v more than once)
     begin = F.struct(F.lit(0).cast("long").alias("start"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.lit(False).alias("done"))
 
     def step(s: Column, _: Column) -> Column:
         start = s["start"]
         end = F.least(start + size, n.cast("long"))
         back = F.instr(F.reverse(F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))), "\n")
-        cut = F.when((back > 0) & (end - back > start + size // 2), end - back).otherwise(end)
-        new = F.struct(F.greatest(start + 1, cut - overlap).alias("start"), F.concat(s["spans"], F.array(span(start, cut))).alias("spans"), (cut == n).alias("done"))
+        cut = once(back, lambda r: F.when((r > 0) & (end - r > start + size // 2), end - r).otherwise(end))
+        new = once(cut, lambda c: F.struct(F.greatest(start + 1, c - overlap).alias("start"), F.concat(s["spans"], F.array(span(start, c))).alias("spans"), (c == n).alias("done")))
         return F.when(s["done"], s).otherwise(new)
 
     # A chunk advances by more than half its size less the overlap.
