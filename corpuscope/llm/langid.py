@@ -100,12 +100,17 @@ def sample_bits(rows: DataFrame, text: str, lang: str, key: str) -> tuple[np.nda
     """Presence bits of at most SAMPLE_ROWS labelled texts, the same number from each language, chosen by hash of key."""
     spark = rows.sparkSession
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    known = [r[lang] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()]
-    if not known:
+    sizes = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
+    if not sizes:
         return np.zeros((0, 1 << BITS), np.uint8), []
-    each = max(4, SAMPLE_ROWS // len(known))
+    each = max(4, SAMPLE_ROWS // len(sizes))
+    # Only hashes below a bound that leaves about twice the quota of each language reach the ranking, however hot a language is.
+    bound = F.lit(None).cast("long")
+    for r in sizes:
+        share = min(1.0, (2 * each + 100) / r["count"])
+        bound = F.when(F.col(lang) == r[lang], F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).otherwise(bound)
     order = Window.partitionBy(lang).orderBy("__h", "__key")
-    ids = rows.where(F.col(lang).isin(known)).select(F.col(key).alias("__key"), F.xxhash64(F.col(key).cast("string"), F.lit(17)).alias("__h"), lang)
+    ids = rows.select(F.col(key).alias("__key"), F.xxhash64(F.col(key).cast("string"), F.lit(17)).alias("__h"), lang).where(F.col("__h") <= bound)
     ids = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= each).select("__key").distinct()
     # The sample is bounded by SAMPLE_ROWS ids.
     picked = rows.join(F.broadcast(ids), F.col(key) == F.col("__key"), "left_semi").select(text, lang, key)
