@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet") -> DataFrame:
     return spark.readStream.schema(schema).format(fmt).load(path)
 
 
