@@ -15,9 +15,12 @@ def signatures(docs: DataFrame, key: str, text: str, slots: int = 128, seed: int
     Each distinct word of the corpus is hashed once; documents take slot-wise minima, combined before the shuffle.
     """
     words = docs.select(F.col(key).alias("__key"), F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("word"))
-    value = lambda i: F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:{2 * i + 1}:{2 * i + 2}:"), "word").cast("binary"), 256), 1, 8), 16, 10).cast("long")
-    hashed = words.select("word").distinct().select("word", *(value(i).alias(f"h{i}") for i in range(slots)))
-    least = words.join(hashed, "word").groupBy("__key").agg(*(F.min(f"h{i}").alias(f"h{i}") for i in range(slots)))
+    prefixes = F.array(*(F.lit(f"{seed}:{2 * i + 1}:{2 * i + 2}:") for i in range(slots)))
+    value = lambda p: F.conv(F.substring(F.sha2(F.concat(p, "word").cast("binary"), 256), 1, 8), 16, 10).cast("long")
+    # Hashing is the work, and the words are few bytes: an explicit number of partitions keeps them from being merged into one task.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hashed = words.select("word").distinct().repartition(tasks, "word").select("word", F.transform(prefixes, value).alias("h"))
+    least = words.join(hashed, "word").groupBy("__key").agg(*(F.min(F.get("h", F.lit(i))).alias(f"h{i}") for i in range(slots)))
     return docs.select(F.col(key).alias("__key")).distinct().join(least, "__key", "left").select(F.col("__key").alias(key), F.when(F.col("h0").isNotNull(), F.array(*(f"h{i}" for i in range(slots)))).alias("signature"))
 
 
