@@ -85,27 +85,34 @@ def chunk_spans(text: Column, size: int = 1500, overlap: int = 150, most: int =
     own up to the end. No more than `most` chunks are made. The text is cut into blocks (of at least `size`) once, so that a
     chunk doesn't count code points from the start of the text.
     """
-    n = F.length(text)
+    kind = "array<struct<start:bigint,end:bigint>>"
     span = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
     once = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)  # noqa: E731  (f uses v more than once)
-    begin = F.struct(F.lit(0).cast("long").alias("start"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.lit(False).alias("done"))
+    begin = F.struct(F.lit(0).cast("long").alias("start"), F.array().cast(kind).alias("spans"), F.lit(False).alias("done"))
 
-    def step(blocks: Column, s: Column) -> Column:
+    def step(n: Column, blocks: Column, s: Column) -> Column:
         start = s["start"]
         at = F.floor(start / block).cast("int")
         near = F.concat(F.get(blocks, at), F.coalesce(F.get(blocks, at + 1), F.lit("")))
-        end = F.least(start + size, n.cast("long"))
+        end = F.least(start + size, n)
         back = F.instr(F.reverse(F.substring(near, (start - at * block + 1).cast("int"), (end - start).cast("int"))), "\n")
         cut = once(back, lambda r: F.when((r > 0) & (end - r > start + size // 2), end - r).otherwise(end))
         new = once(cut, lambda c: F.struct(F.greatest(start + 1, c - overlap).alias("start"), F.concat(s["spans"], F.array(span(start, c))).alias("spans"), (c == n).alias("done")))
         return F.when(s["done"], s).otherwise(new)
 
-    # A chunk advances by more than half its size less the overlap.
-    rounds = F.sequence(F.lit(1), F.floor(n / (size // 2 - overlap)).cast("int") + 2)
-    whole = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
-    loop = once(whole, lambda blocks: F.aggregate(rounds, begin, lambda s, _: step(blocks, s)))
-    tail = F.when(loop["start"] < n, F.transform(F.sequence(loop["start"], n.cast("long") - 1), lambda i: span(i, n))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    return F.when(n <= size, F.array(span(F.lit(0), n))).when(n > size, F.slice(F.concat(loop["spans"], tail), 1, most))
+    def ended(n: Column, loop: Column) -> Column:
+        tail = F.when(loop["start"] < n, F.transform(F.sequence(loop["start"], n - 1), lambda i: span(i, n))).otherwise(F.array().cast(kind))
+        return F.slice(F.concat(loop["spans"], tail), 1, most)
+
+    def cuts(v: Column) -> Column:
+        n = v["n"]
+        # A chunk advances by more than half its size less the overlap.
+        rounds = F.sequence(F.lit(1), F.floor(n / (size // 2 - overlap)).cast("int") + 2)
+        loop = once(F.aggregate(rounds, begin, lambda s, _: step(n, v["blocks"], s)), lambda loop: ended(n, loop))
+        return F.when(n <= size, F.array(span(F.lit(0), n))).when(n > size, loop)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    return once(F.struct(F.length(text).cast("long").alias("n"), blocks.alias("blocks")), cuts)
 
 
 def test_counts(summary: Column) -> Column:
