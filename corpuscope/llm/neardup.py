@@ -6,7 +6,8 @@ each other in that order with a common prefix of MIN_DEPTH values are candidates
 the longest prefixes, so the depth adapts to how crowded a region is. A small sketch and the set sizes discard
 candidates that can't be similar. What remains is confirmed on full shingle sets, in waves: the likeliest partners first,
 and later only pairs whose ends aren't connected yet, so a large group of near copies needs few comparisons for
-each member instead of all pairs. Components of confirmed links come from star contraction, never from the driver.
+each member instead of all pairs. Rows of a run too long for the window are joined once more, exactly (exact_join),
+where they aren't connected yet. Components of confirmed links come from star contraction, never from the driver.
 
 Null and empty texts have empty sets and are linked with nothing; rows with a null id stay apart. Rows that repeat id
 and text share their class. An empty table gives an empty result.
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.llm.components import components
+from corpuscope.llm.exact_join import similar_candidates
 from corpuscope.llm.shared import batches_of, parts, shingle_hashes, stored, utf8, word_hashes
 
 TREES, DEPTH, MIN_DEPTH = 24, 6, 3
@@ -96,8 +98,12 @@ def near_pairs(tree: np.ndarray, keys: np.ndarray, rep: np.ndarray, size: np.nda
         i, j = i[good], j[good]
         good = (sketch[i] == sketch[j]).sum(1) >= AGREE
         left.append(i[good]), right.append(j[good])
+    # Runs with rows farther apart than the window: each of their rows is paired with itself, for the exact join.
+    end = row[max(fresh, NEAR + 1) :]
+    end = end[(tree[end] == tree[end - NEAR - 1]) & (prefix[end] == prefix[end - NEAR - 1])]
+    crowded = np.unique(rep[np.unique((end[:, None] - np.arange(NEAR + 2)).ravel())])
     i, j = np.concatenate(left), np.concatenate(right)
-    return np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+    return np.concatenate([np.minimum(rep[i], rep[j]), crowded]), np.concatenate([np.maximum(rep[i], rep[j]), crowded])
 
 
 _ROWS = ["tree", "key", "rep", "n_shingles", "sketch"]
@@ -114,7 +120,7 @@ _FOUND = "a bigint, b bigint, border int, side int, tree int, key binary, rep bi
 
 
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of representatives and the number of trees in which they are near each other."""
+    """Pairs a < b of representatives and the number of trees in which they are near each other; a = b marks one of a long run."""
     spark = reps.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     forest = reps.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "rep", "n_shingles", "sig", "sketch")
@@ -144,7 +150,7 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
                 t = pa.Table.from_batches(waiting)
                 waiting = []
                 if not started:
-                    yield from border(t.slice(0, NEAR), pid - 1, 1)
+                    yield from border(t.slice(0, NEAR + 2), pid - 1, 1)
                     started = True
                 if kept is not None:
                     t = pa.concat_tables([kept, t])
@@ -155,7 +161,7 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
             if batch is None:
                 break
         if kept is not None:
-            yield from border(kept.slice(max(0, len(kept) - NEAR)), pid, 0)
+            yield from border(kept.slice(max(0, len(kept) - NEAR - 2)), pid, 0)
 
     found = stored(forest.mapInArrow(scan, _FOUND), "forest")
 
@@ -165,7 +171,7 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     borders = found.where("border is not null").groupBy("border").applyInArrow(across, "a bigint, b bigint")
-    pairs = found.where("border is null").select("a", "b").union(borders).where("a < b")
+    pairs = found.where("border is null").select("a", "b").union(borders).where("a <= b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("hits"))
 
 
@@ -219,8 +225,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     sigs = stored(signatures(docs, text, key, shingle), "minhash")
     full = sigs.where("set_id is not null and doc_id is not null")
     reps = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "representatives")
-    pairs = stored(candidates(reps, percent), "candidates")
-    texts = stored(packed_texts(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), text, key), "texts")
+    found = stored(candidates(reps, percent), "candidates")
+    pairs, crowded = found.where("a < b"), found.where("a = b").select(F.col("a").alias("rep"))
+    texts = stored(packed_texts(docs, found.select(F.col("a").alias("rep")).union(found.select("b")).distinct(), text, key), "texts")
     # The likeliest partners of each row: those near it in most trees.
     mine = pairs.withColumn("turn", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("hits"), "a")))
     ranked = stored(mine, "ranked")
@@ -234,6 +241,11 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
         good = confirmed(wave, texts, shingle, percent).select(F.col("b").alias("u"), F.col("a").alias("v"))
         links = good if stars is None else good.union(stars.select(F.col("id").alias("u"), F.col("component").alias("v")))
         stars = components(links)
+    if not crowded.isEmpty():
+        sets = texts.join(crowded.hint("merge"), "rep", "left_semi").join(stars.select(F.col("id").alias("rep"), "component"), "rep", "left")
+        sets = stored(sets.select("rep", F.coalesce("component", "rep").alias("component"), "packed"), "crowded")
+        good = confirmed(similar_candidates(sets, shingle, percent), texts, shingle, percent).select(F.col("b").alias("u"), F.col("a").alias("v"))
+        stars = components(good.union(stars.select(F.col("id").alias("u"), F.col("component").alias("v"))))
     named = reps.select("set_id", "rep").join(stars.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
