@@ -110,9 +110,10 @@ def selective_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.select("place", (F.col("place") / F.col("n")).alias("coverage"), ((F.col("right") - F.col("a") * (F.col("last") - F.col("place"))) / F.col("place")).alias("accuracy"))
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and the suppliers they were served by, of large orders."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= 49).select("l_orderkey", "l_suppkey")
+def _edges(spark: SparkSession, sf_dir: str, least: int | None = None) -> DataFrame:
+    """Customers and the suppliers they were served by; of lines with at least so large a quantity, if given."""
+    lines = table(spark, sf_dir, "lineitem")
+    lines = (lines if least is None else lines.where(F.col("l_quantity") >= least)).select("l_orderkey", "l_suppkey").distinct()
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     served = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
     return served.select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")).distinct()
@@ -129,7 +130,7 @@ WITH RECURSIVE {_EDGES}, walk AS (
 SELECT node, min(steps) AS steps FROM walk GROUP BY node""")
 def dependency_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes within three steps of the first supplier, along links of both directions."""
-    edges = _edges(spark, sf_dir)
+    edges = _edges(spark, sf_dir, 49)  # as in its SQL
     links = edges.unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
     return graph.reachable(links, spark.createDataFrame([("s1",)], "node string"), 3)
 
@@ -137,12 +138,12 @@ def dependency_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_EDGES} SELECT source AS node, count(*) AS degree FROM links GROUP BY source")
 def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of each node; both directions come from one pass over the edges."""
-    ends = _edges(spark, sf_dir).select(F.explode(F.array("source", "target")).alias("node"))
+    ends = _edges(spark, sf_dir, 49).select(F.explode(F.array("source", "target")).alias("node"))
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
 @query()
 def page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten rounds over the links of both directions."""
+    """Ten rounds over the links of both directions, of all lines."""
     edges = _edges(spark, sf_dir)
     return graph.pagerank(edges.unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))), 10)
