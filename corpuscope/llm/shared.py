@@ -16,19 +16,48 @@ WORK_BYTES = 1 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    """The folder all executors share: spark.checkpoint.dir. Only a session without a cluster may leave it unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     return base.rstrip("/")
 
 
+#: Tables stored by this driver and not dropped yet.
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession, before: int = 0, but: DataFrame | None = None) -> None:
+    """Delete the tables stored since `before` (a value of stored_count), but for those that `but` reads.
+
+    What still reads them can't be computed any more, so this is for callers that have stored a result.
+    """
+    kept = [] if but is None else but.inputFiles()
+    jvm = spark._jvm
+    for path in _STORED[before:]:
+        if any(path.rsplit("/", 1)[1] in f for f in kept):
+            continue
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _STORED.remove(path)
+
+
+def stored_count() -> int:
+    """How many tables are stored now, for drop_stored."""
+    return len(_STORED)
+
+
 def batches_of(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Lower the session's bound on the bytes of an Arrow batch, so that batches of long texts stay small; never raises it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
