@@ -1,14 +1,16 @@
 """Language identification with string kernels.
 
-A text's features are the blended spectrum of its case-folded n-grams of 1 to `MAX_N` code points, as presence bits
-in a hashed space; the kernel of two texts is the number of n-grams that both hold, normalised to the cosine. A bounded
-sample of labelled rows gives Nyström landmarks and training points; one-versus-rest kernel ridge regression is solved
-in the landmarks' feature space. Scoring multiplies batches of presence rows with the landmarks, then with the dual
-weights.
+A text is seen through windows of nearly equal length, at most `WINDOW` code points each, so that a long text is as
+legible as a short one. A window's features are the blended spectrum of its case-folded n-grams of 1 to `MAX_N` code
+points, as presence bits in a hashed space; the kernel of two windows is the number of n-grams that both hold, normalised
+to the cosine. A bounded sample of labelled rows, one window of each, gives Nyström landmarks and training points;
+one-versus-rest kernel ridge regression is solved in the landmarks' feature space. Scoring multiplies batches of presence
+rows with the landmarks, then with the dual weights; a text's outputs are the means of those of all its windows.
 
 Texts that are null or hold no letter are `und` with score 0, and never train; so is everything if nothing could be
-learned (no labelled rows). Ties go to the smaller language by code point. Repeated rows are scored alike, other
-columns stay, and columns named like the results are replaced.
+learned (no labelled rows, an empty table). Any number of languages is learned. Ties go to the smaller language by code
+point. Ids play no part, so they may be null or repeat; repeated rows are scored alike and train once. Whole texts of any
+length are read, window by window. Other columns stay, and columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscope.llm.shared import WORK_BYTES, batches_of, mixed, parts, utf8
+from corpuscope.llm.shared import WORK_BYTES, batches_of, mixed, parts, stored, utf8
 
 MAX_N = 4
 BITS = 14
-#: Bounds of the sample: training rows and landmarks in all, shared evenly by the languages.
+#: Code points of a window at most: their n-grams set well under half of the bits.
+WINDOW = 2048
+#: Bounds of the sample: training rows and landmarks in all, shared evenly by the languages, LEAST rows of each at least.
 SAMPLE_ROWS = 1200
 LANDMARKS = 160
-MAX_LANGUAGES = 200
+LEAST = 4
 RIDGE = 1e-2
 UND = "und"
 
@@ -40,6 +44,16 @@ def codepoints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum(lens)])
 
 
+def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of all rows' windows in a row, and each row's first window (and their number); an empty row is one window."""
+    lens = np.diff(offsets)
+    many = np.maximum(1, -(-lens // WINDOW))
+    first = np.concatenate([[0], np.cumsum(many)])
+    turn = np.arange(first[-1]) - np.repeat(first[:-1], many)
+    starts = np.repeat(offsets[:-1], many) + turn * np.repeat(lens, many) // np.repeat(many, many)
+    return np.append(starts, offsets[-1]), first
+
+
 def presence(cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows of presence bits (uint8) of the hashed n-grams; runs of digits and of white space read as one kind each."""
     n, size = len(offsets) - 1, 1 << BITS
@@ -96,43 +110,47 @@ def fitted(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS) -> M
     return Model(languages, z, (root @ w).astype(np.float32))
 
 
-def sample_bits(rows: DataFrame, text: str, lang: str, key: str) -> tuple[np.ndarray, list[str]]:
-    """Presence bits of at most SAMPLE_ROWS labelled texts, the same number from each language, chosen by hash of key."""
+def sample_bits(rows: DataFrame, text: str, lang: str) -> tuple[np.ndarray, list[str]]:
+    """Presence bits of a window of each sampled text: SAMPLE_ROWS texts in all, or LEAST of each language if that is more.
+
+    Distinct texts are drawn by their hash, so however often an id, a text or a language repeats, what is ranked, shuffled
+    and collected stays bounded: only hashes below a bound that leaves about twice its quota of a language are ranked.
+    """
     spark = rows.sparkSession
-    rows = rows.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    sizes = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
-    if not sizes:
+    rows = rows.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text", F.lit(17)))
+    drawn = stored(rows.select("lang", "hash"), "language-hashes")
+    sizes = drawn.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n"))
+    languages = sizes.count()
+    if not languages:
         return np.zeros((0, 1 << BITS), np.uint8), []
-    each = max(4, SAMPLE_ROWS // len(sizes))
-    # Only hashes below a bound that leaves about twice the quota of each language reach the ranking, however hot a language is.
-    bound = F.lit(None).cast("long")
-    for r in sizes:
-        share = min(1.0, (2 * each + 100) / r["count"])
-        bound = F.when(F.col(lang) == r[lang], F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).otherwise(bound)
-    order = Window.partitionBy(lang).orderBy("__h", "__key")
-    ids = rows.select(F.col(key).alias("__key"), F.xxhash64(F.col(key).cast("string"), F.lit(17)).alias("__h"), lang).where(F.col("__h") <= bound)
-    ids = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= each).select("__key").distinct()
-    # The sample is bounded by SAMPLE_ROWS ids.
-    picked = rows.join(F.broadcast(ids), F.col(key) == F.col("__key"), "left_semi").select(text, lang, key)
+    each = max(LEAST, SAMPLE_ROWS // languages)
+    share = (2 * each + 100) / F.col("n")
+    bounds = sizes.select("lang", F.when(share >= 1, F.lit(2**63 - 1)).otherwise((share * float(2**64) - float(2**63)).cast("long")).alias("bound"))
+    few = drawn.join(bounds, "lang").where("hash <= bound").select("lang", "hash").distinct()
+    few = few.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("turn") <= each).select("lang", "hash")
+    # At most SAMPLE_ROWS (or LEAST for each language) pairs of a language and a hash.
+    picked = rows.join(F.broadcast(few), ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            for a, b in parts(offsets, WORK_BYTES // 4):
-                cp, off = codepoints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for k in range(b - a):  # one row at a time: bits of a batch would be large
-                    bits = presence(cp[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]]))
-                    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits[0]).tobytes()]), batch.column(1).slice(a + k, 1), batch.column(2).slice(a + k, 1).cast(pa.string())], ["bits", "lang", "key"])
+            for k in range(len(batch)):  # one row at a time: bits of a batch would be large
+                cp, off = codepoints(data[offsets[k] : offsets[k + 1]], offsets[k : k + 2] - offsets[k])
+                cut, _ = windows(off)
+                one = batch.column(2)[k].as_py() % (len(cut) - 1)
+                bits = presence(cp[cut[one] : cut[one + 1]], np.array([0, cut[one + 1] - cut[one]]))
+                yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits[0]).tobytes()]), batch.column(1).slice(k, 1), batch.column(2).slice(k, 1)], ["bits", "lang", "hash"])
 
     batches_of(spark)
-    got = picked.mapInArrow(run, "bits binary, lang string, key string").orderBy(F.xxhash64("key", F.lit(3)), "key", "bits").collect()
-    got = got[: 2 * SAMPLE_ROWS]  # repeated keys
-    return np.unpackbits(np.frombuffer(b"".join(r.bits for r in got), np.uint8)).reshape(len(got), -1), [r.lang for r in got]
+    got = picked.select("text", "lang", "hash").mapInArrow(run, "bits binary, lang string, hash bigint").collect()
+    got.sort(key=lambda r: (r.hash, r.lang))
+    return np.unpackbits(np.frombuffer(b"".join(r.bits for r in got), np.uint8)).reshape(len(got), 1 << BITS), [r.lang for r in got]
 
 
-def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
-    """A model from labelled rows; None if there are none."""
-    return fitted(*sample_bits(rows, text, lang, key))
+def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
+    """A model from labelled rows; None if there are none. The model grows with the number of languages only."""
+    return fitted(*sample_bits(rows, text, lang))
 
 
 def predicted(model: Model | None, column: pa.Array) -> tuple[list[str], list[float]]:
@@ -145,14 +163,14 @@ def predicted(model: Model | None, column: pa.Array) -> tuple[list[str], list[fl
     for a, b in parts(offsets, WORK_BYTES // 4):
         cp, off = codepoints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         text = cp.tobytes().decode("utf-32-le")
-        for c in range(0, b - a, 128):
-            d = min(b - a, c + 128)
-            f = model.scores(presence(cp[off[c] : off[d]], off[c : d + 1] - off[c]))
-            best = f.argmax(1)
-            for k in range(c, d):
-                if any(map(str.isalpha, text[off[k] : off[k + 1]])):
-                    langs[a + k] = model.languages[best[k - c]]
-                    scores[a + k] = float(min(1.0, max(0.0, (f[k - c, best[k - c]] + 1) / 2)))
+        cut, first = windows(off)
+        f = np.concatenate([model.scores(presence(cp[cut[c] : cut[d]], cut[c : d + 1] - cut[c])) for c in range(0, len(cut) - 1, 128) for d in [min(len(cut) - 1, c + 128)]])
+        f = np.add.reduceat(f, first[:-1], axis=0) / np.diff(first)[:, None]
+        best = f.argmax(1)
+        for k in range(b - a):
+            if any(map(str.isalpha, text[off[k] : off[k + 1]])):
+                langs[a + k] = model.languages[best[k]]
+                scores[a + k] = float(min(1.0, max(0.0, (f[k, best[k]] + 1) / 2)))
     return langs, scores
 
 
