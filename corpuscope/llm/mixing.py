@@ -8,10 +8,12 @@ their sizes' prefix sum is within the remaining budget.
 
 The cut is found without sorting a source in one task: keys are counted in coarse buckets, the bucket in which the
 budget ends is counted in finer ones, and only the last one is sorted. What follows is one row for each source, so
-documents are decided where they are, without a shuffle of texts.
+documents are decided where they are, without a shuffle of texts; only with more than BROADCAST_SOURCES sources are they
+joined by a shuffle, salted so that a hot source is many keys.
 
 Null and empty texts have size 0; they are repeated for whole epochs and taken in the order of keys like others. Rows
 that repeat id and size share their decision. A null source is a source of its own; an empty table gives an empty mix.
+Whole texts of any length are measured. Columns of the caller may have any names; none is overwritten.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ MOST = 3
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Buckets of each of two levels.
 BUCKETS = 1024
-#: More sources than this are joined by a shuffle.
-BROADCAST_SOURCES = 50_000
+#: More sources than this (some 10 MB) aren't broadcast but joined by a shuffle, with so many salts for each source.
+BROADCAST_SOURCES, SALTS = 50_000, 32
 
 
 def size_of(text: Column) -> Column:
@@ -46,9 +48,9 @@ def key_of(key: Column, quality: Column, seed: int) -> Column:
     return -F.log(u) / quality
 
 
-def sized(docs: DataFrame, text: str, source: str, key: str, seed: int) -> DataFrame:
-    """__null, __source, __id, __size and __key of each row."""
-    out = docs.select(F.col(source).isNull().alias("__null"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), F.col(key).alias("__id"), size_of(F.col(text)).alias("__size"))
+def sized(docs: DataFrame, text: str, source: str, key: str, seed: int, *more: Column) -> DataFrame:
+    """__null, __source, __id, __size and __key of each row, and more columns."""
+    out = docs.select(*more, F.col(source).isNull().alias("__null"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), F.col(key).alias("__id"), size_of(F.col(text)).alias("__size"))
     return out.withColumn("__key", key_of(F.col("__id"), quality_of(F.col("__size")), seed))
 
 
@@ -77,8 +79,14 @@ def targets(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     return sources.withColumn("__epochs", epochs).select(*SOURCE, "__source_size", "__target", "__epochs", (F.col("__target") - F.col("__epochs") * F.col("__source_size")).alias("__rest"))
 
 
-def fits_join(left: DataFrame, sources: DataFrame, bounded: bool) -> DataFrame:
-    return left.join(F.broadcast(sources) if bounded else sources, SOURCE)
+def fits_join(left: DataFrame, sources: DataFrame, bounded: bool, keys: list[str] = SOURCE) -> DataFrame:
+    """left with the one row of its source; both plans give the same rows, whatever the number of sources."""
+    if bounded:
+        return left.join(F.broadcast(sources), keys)
+    if "__id" not in left.columns:  # counts: at most BUCKETS rows for each source
+        return left.join(sources, keys)
+    salted = sources.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64("__id", "__size"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"]).drop("__salt")
 
 
 def plan(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, bool]:
@@ -98,7 +106,7 @@ def plan(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
         return inside.groupBy(*SOURCE).agg(F.max(F.struct(*buckets, "__before", "__left")).alias("__at")).select(*SOURCE, *(F.col(f"__at.{b}").alias(b) for b in buckets), (F.col("__at.__left") - F.col("__at.__before")).alias("__left"))
 
     one = stored(crossing(rows, ["__b1"], sources.select(*SOURCE, F.col("__rest").alias("__left")).where("__left > 0")), "mix-coarse")
-    inner = lambda r, s, keys: r.join(F.broadcast(s) if bounded else s, [*SOURCE, *keys])
+    inner = lambda r, s, keys: fits_join(r, s, bounded, [*SOURCE, *keys])
     two = stored(crossing(inner(rows, one.drop("__left"), ["__b1"]), ["__b1", "__b2"], one.select(*SOURCE, "__left")), "mix-fine")
     last = inner(rows, two, ["__b1", "__b2"]).groupBy(*SOURCE, "__left", "__key", "__id", "__size").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum(F.col("__size") * F.col("__n")).over(Window.partitionBy(*SOURCE).orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -128,9 +136,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 1, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """docs with each row as often as the mix takes it; texts aren't shuffled."""
+    """docs with each row as often as the mix takes it; texts aren't shuffled while the sources can be broadcast."""
     chosen, bounded = plan(stored(sized(docs, text, source, key, seed), "mix-sizes"), weights, most)
-    own = {"__null": F.col(source).isNull(), "__source": F.coalesce(F.col(source).cast("string"), F.lit("")), "__id": F.col(key), "__size": size_of(F.col(text))}
-    rows = docs.withColumns(own).withColumn("__key", key_of(F.col("__id"), quality_of(F.col("__size")), seed))
-    rows = decided(rows, chosen, bounded).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows = decided(sized(docs, text, source, key, seed, F.struct(*docs.columns).alias("__row")), chosen, bounded).where("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")
