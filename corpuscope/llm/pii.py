@@ -3,12 +3,15 @@
 Base kinds are email, ip, card and phone; their patterns are matched leftmost and without overlap for each kind, and
 a match that its validator refuses is dropped. Further proposals (`iban`, and cards and national phone numbers that
 the base patterns miss) count only if validator and context lift their score to `threshold`; they never displace a
-base span. Null text counts as empty. Repeated rows and ties are judged alike; an empty table gives an empty one.
+base span. Null text counts as empty. Repeated rows and ties are judged alike; an empty table gives an empty one. Whole
+texts of any length are searched, in time that grows with their length and, but for a logarithm, the number of spans. A
+column named like the result is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,6 +42,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9+(.-])\(?[2-9][0-9]{2}\)?[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}(?![0-9-])")
 _GROUP = re.compile(r"[0-9]+")
+_ISSUER = re.compile(r"4|5[1-5]|3[47]|6011|65|2[2-7]")
+#: Lengths of a card number's groups as they are printed.
+_PRINTED = ([4, 4, 4, 4], [4, 6, 5], [16], [15])
 
 CONTEXT = {
     "card": ("card", "credit", "debit", "visa", "mastercard", "amex", "payment", "karte", "carte", "tarjeta"),
@@ -110,30 +116,57 @@ def further_spans(text: str) -> list[Span]:
     for m in _IBAN.finditer(text):
         if mod97(m.group().replace(" ", "")):
             out.append(Span(m.start(), "iban", m.end(), 0.6 + context_score(text, m.start(), "iban"), False))
-    for m in _CARD.finditer(text):  # card numbers that run into other numbers: whole groups of digits
-        if len(d := digits_of(m.group())) > 19:
-            groups = list(_GROUP.finditer(text, m.start(), m.end()))
-            for k in range(len(groups)):
-                number = ""
-                for g in groups[k : k + 5]:
-                    number += g.group()
-                    if len(number) > 19:
-                        break
-                    if len(number) >= 15 and luhn(number) and re.match(r"4|5[1-5]|3[47]|6011|65|2[2-7]", number):
-                        out.append(Span(groups[k].start(), "card", g.end(), 0.3 + context_score(text, groups[k].start(), "card"), False))
+    for m in _CARD.finditer(text):  # card numbers that run into other numbers: whole groups of digits of what the base rule refused
+        if m.end() - m.start() < 15 or (12 <= len(d := digits_of(m.group())) <= 19 and luhn(d)):
+            continue
+        groups = list(_GROUP.finditer(text, m.start(), m.end()))
+        for k in range(len(groups)):
+            number, sizes = "", []
+            for g in groups[k:]:
+                number += g.group()
+                sizes.append(len(g.group()))
+                if len(number) > 19:
+                    break
+                if len(number) >= 15 and _ISSUER.match(number) and luhn(number):
+                    # Printed like a card, with at most a date or a security code beside it: the layout confirms it too.
+                    alone = sizes in _PRINTED and len(d) - len(number) <= 8
+                    out.append(Span(groups[k].start(), "card", g.end(), (0.5 if alone else 0.3) + context_score(text, groups[k].start(), "card"), False))
     for m in _NATIONAL.finditer(text):
         out.append(Span(m.start(), "phone", m.end(), 0.3 + context_score(text, m.start(), "phone"), False))
     return out
 
 
+class _Covered:
+    """Places that spans cover, as sorted intervals that don't overlap."""
+
+    def __init__(self, spans: Iterator[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k == 0 or self.ends[k - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 def spans_of(text: str, threshold: float = 0.5) -> list[Span]:
     """All spans of a text by start, then kind: base ones, and further ones that score enough and overlap no other."""
     found = base_spans(text)
-    taken = sorted((s.start, s.end) for s in found)
+    taken = _Covered((s.start, s.end) for s in found)
     for s in sorted(further_spans(text), key=lambda s: (-s.score, s.start, -s.end)):
-        if s.score >= threshold and all(s.end <= a or s.start >= b for a, b in taken):
+        if s.score >= threshold and taken.free(s.start, s.end):
             found.append(s)
-            taken.append((s.start, s.end))
+            taken.add(s.start, s.end)
     found = [s._replace(score=min(1.0, s.score + context_score(text, s.start, s.kind))) if s.base else s for s in found]
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
