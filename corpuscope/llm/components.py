@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from corpuscope.llm.shared import stored
 
 
+#: Keys into which the neighbours of a node are dealt, so that a hub's neighbours don't meet in one task.
+SALTS = 16
+
+
+def _with_least(links: DataFrame) -> DataFrame:
+    """u, v and m, the smallest v of each u; only the minima of a hub's shares meet, never all of its neighbours."""
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    shares = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = shares.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts")).select("u", "m", F.explode("salts").alias("salt"))
+    return salted.join(least, ["u", "salt"]).select("u", "v", "m")
+
+
 def _large(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked with the smallest of it and its neighbours."""
-    both = links.union(links.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    both = _with_least(links.union(links.select("v", "u")))
+    return both.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked with the smallest of them."""
-    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    down = _with_least(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v"))
+    # The row whose v is the smallest links u with it, any other row links v with it.
+    return down.select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:

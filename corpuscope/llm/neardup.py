@@ -9,8 +9,10 @@ and later only pairs whose ends aren't connected yet, so a large group of near c
 each member instead of all pairs. Rows of a run too long for the window are joined once more, exactly (exact_join),
 where they aren't connected yet. Components of confirmed links come from star contraction, never from the driver.
 
-Null and empty texts have empty sets and are linked with nothing; rows with a null id stay apart. Rows that repeat id
-and text share their class. An empty table gives an empty result.
+Classes are numbered by rows of a stored table, in the order of their smallest ids, so an id may repeat: rows that repeat
+id and text share their class, rows that repeat an id with other texts are judged by their own texts. Null and empty texts
+have empty sets and are linked with nothing; rows with a null id stay apart. Whole texts of any length are compared. Extra
+columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscope.llm.components import components
+from corpuscope.llm.components import SALTS, components
 from corpuscope.llm.exact_join import similar_candidates
 from corpuscope.llm.shared import batches_of, parts, shingle_hashes, stored, utf8, word_hashes
 
@@ -53,9 +55,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (digest of the set, null if empty), sig and sketch of each row."""
+    """doc_id, text_hash, n_shingles, set_id (digest of the set, null if empty), sig and sketch of each row."""
     batches_of(docs.sparkSession)
-    src = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    src = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,9 +75,9 @@ def signatures(docs: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
                         sketches.append(sig[:: TREES * DEPTH // SKETCH][:SKETCH].astype(np.uint8).tobytes())
                     else:
                         sets.append(None), sigs.append(None), sketches.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *(pa.array(x, pa.binary()) for x in (sets, sigs, sketches))], ["doc_id", "n_shingles", "set_id", "sig", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), *(pa.array(x, pa.binary()) for x in (sets, sigs, sketches))], ["doc_id", "text_hash", "n_shingles", "set_id", "sig", "sketch"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, set_id binary, sig binary, sketch binary")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash bigint, n_shingles bigint, set_id binary, sig binary, sketch binary")
 
 
 def near_pairs(tree: np.ndarray, keys: np.ndarray, rep: np.ndarray, size: np.ndarray, sketch: np.ndarray, base: int, fresh: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,29 +207,37 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """rep and its compressed text, for the representatives in wanted."""
+    """rep and its compressed text, for the representatives in wanted (rep, doc_id and text_hash)."""
     batches_of(docs.sparkSession)
-    src = docs.select(F.col(key).alias("rep"), F.col(text).alias("text"))
+    src = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["rep", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "text_hash", "packed"])
 
     # Compressed before the shuffle; wanted grows with the corpus, so it is never broadcast.
-    chosen = src.mapInArrow(run, "rep bigint, packed binary").join(wanted.hint("merge"), "rep", "left_semi")
-    # A repeated id stands for one class only if its texts are equal; otherwise any of its rows may be compared.
-    return chosen.dropDuplicates(["rep"])
+    packed = src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash bigint, packed binary")
+    return packed.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select("rep", "packed").dropDuplicates(["rep"])  # rows that repeat id and text
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id = component_id) of each row."""
+def numbered(full: DataFrame) -> DataFrame:
+    """One row for each distinct set: rep (numbers that rise with doc_id), the smallest doc_id and its text_hash, size and signature."""
+    n = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = full.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    order = ["doc_id", "text_hash", "set_id"]
+    sets = sets.select("set_id", "at.doc_id", "at.text_hash", "n_shingles", "sig", "sketch").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return stored(sets.withColumn("rep", F.monotonically_increasing_id()), "representatives")
+
+
+def solved(docs: DataFrame, text: str, key: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, representatives, and (id, component) of the representatives that aren't the first of their component."""
     sigs = stored(signatures(docs, text, key, shingle), "minhash")
-    full = sigs.where("set_id is not null and doc_id is not null")
-    reps = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "representatives")
+    reps = numbered(sigs.where("set_id is not null and doc_id is not null"))
     found = stored(candidates(reps, percent), "candidates")
     pairs, crowded = found.where("a < b"), found.where("a = b").select(F.col("a").alias("rep"))
-    texts = stored(packed_texts(docs, found.select(F.col("a").alias("rep")).union(found.select("b")).distinct(), text, key), "texts")
+    ends = found.select(F.col("a").alias("rep")).union(found.select("b")).distinct()
+    texts = stored(packed_texts(docs, reps.select("rep", "doc_id", "text_hash").join(ends.hint("merge"), "rep", "left_semi"), text, key), "texts")
     # The likeliest partners of each row: those near it in most trees.
     mine = pairs.withColumn("turn", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("hits"), "a")))
     ranked = stored(mine, "ranked")
@@ -246,14 +256,30 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
         sets = stored(sets.select("rep", F.coalesce("component", "rep").alias("component"), "packed"), "crowded")
         good = confirmed(similar_candidates(sets, shingle, percent), texts, shingle, percent).select(F.col("b").alias("u"), F.col("a").alias("v"))
         stars = components(good.union(stars.select(F.col("id").alias("u"), F.col("component").alias("v"))))
-    named = reps.select("set_id", "rep").join(stars.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
+    return sigs, reps, stars
+
+
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id of the component) and kept (doc_id = component_id) of each row."""
+    sigs, reps, stars = solved(docs, text, key, shingle, percent)
+    # The number of a component is that of its first representative, whose id is the smallest; a large component is dealt by salt.
+    roots = reps.select(F.col("rep").alias("component"), F.col("doc_id").alias("component_id")).join(stars.select("component").distinct(), "component")
+    roots = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = stars.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(roots, ["component", "salt"]).select(F.col("id").alias("rep"), "component_id")
+    named = reps.select("set_id", "rep", "doc_id").join(linked, "rep", "left").select("set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest id, once; all without an id."""
-    kept = classes(docs, text, key, shingle, percent).where("kept").select("doc_id").distinct()
-    stay = docs.join(kept.withColumnRenamed("doc_id", key), key, "left_semi").dropDuplicates([key])
-    return stay.unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)
+    """The documents that stay: of each group one, with its smallest id; all without an id; those without words once for each id and text."""
+    sigs, reps, stars = solved(docs, text, key, shingle, percent)
+    first = reps.join(stars.select(F.col("id").alias("rep")), "rep", "left_anti").select("doc_id", "text_hash")
+    stay = first.union(sigs.where("set_id is null and doc_id is not null").select("doc_id", "text_hash").distinct())
+    mark = "text_hash"
+    while mark in docs.columns:
+        mark += "_"
+    rows = docs.withColumn(mark, F.xxhash64(text))
+    kept = rows.join(stay.toDF(key, mark).hint("merge"), [key, mark], "left_semi").dropDuplicates([key, mark]).drop(mark)
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
