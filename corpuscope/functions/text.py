@@ -33,26 +33,50 @@ def split_of(key: Column) -> Column:
 
 # Separators of lines, and what is stripped at their ends (fixed values of Unicode).
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+BLANK = r"\s\x1c-\x1f"
+
+# What marks generated files in their first 2000 characters, and folders of foreign code.
+GENERATED = r"(auto-generated|automatically generated|generated by|do not edit[!—]*|this file is generated|@generated|swagger codegen|protoc |eslint-disable.*generated|bundle\.js|\.min\.css)"
+VENDOR = r"(^|/)(vendor|third_party|thirdparty|deps|external)/"
 
 
 def cleaned(text: Column) -> Column:
     """Without byte order marks, with \\n line ends, lines right-stripped and the whole stripped."""
-    lines = F.transform(F.split(F.regexp_replace(text, "^﻿+", ""), LINE_BREAKS), lambda line: F.regexp_replace(line, r"(?U)\s+$", ""))
-    return F.regexp_replace(F.array_join(lines, "\n"), r"(?U)^\s+|\s+$", "")
+    lines = F.regexp_replace(F.regexp_replace(text, "^﻿+", ""), LINE_BREAKS, "\n")
+    # A run of blanks is looked at once: a match may not begin inside one.
+    lines = F.regexp_replace(lines, rf"(?U)(?<![{BLANK}&&[^\n]])[{BLANK}&&[^\n]]++(?=\n|\z)", "")
+    return F.regexp_replace(lines, rf"(?U)^[{BLANK}]+|(?<![{BLANK}])[{BLANK}]++\z", "")
 
 
-def clean_flags(text: Column) -> Column:
-    """What cleaning found: bom-removed, crlf-normalized, empty, too-long-line, no-identifiers."""
-    done = cleaned(text)
-    long = F.exists(F.split(done, "\n"), lambda line: F.length(line) > 100_000)
+def clean_flags(text: Column, done: Column) -> Column:
+    """What cleaning `text` to `done` found: empty alone, or bom-removed, crlf-normalized, too-long-line, generated-marker, no-identifiers."""
+    long = (F.length(done) > 100_000) & F.exists(F.split(done, "\n"), lambda line: F.length(line) > 100_000)
     flags = F.array(
         F.when(text.startswith("﻿"), "bom-removed"),
         F.when(F.contains(text, F.lit("\r\n")), "crlf-normalized"),
-        F.when(done == "", "empty"),
-        F.when((done != "") & long, "too-long-line"),
-        F.when((done != "") & ~done.rlike("[A-Za-z_][A-Za-z0-9_]{2,}"), "no-identifiers"),
+        F.when(long, "too-long-line"),
+        F.when(F.substring(done, 1, 2000).rlike("(?i)" + GENERATED), "generated-marker"),
+        F.when(~done.rlike("[A-Za-z_]{2,}"), "no-identifiers"),
     )
-    return F.filter(flags, lambda f: f.isNotNull())
+    return F.when(done == "", F.array(F.lit("empty"))).otherwise(F.filter(flags, lambda f: f.isNotNull()))
+
+
+def drop_reason(flags: Column, path: Column) -> Column:
+    """Why a cleaned file goes: empty, too-long-line, generated-marker or vendor; null if it stays."""
+    out = F.when(path.rlike(VENDOR), "vendor")
+    for flag in ("generated-marker", "too-long-line", "empty"):
+        out = F.when(F.array_contains(flags, flag), flag).otherwise(out)
+    return out
+
+
+def word_shingles(tokens: Column, size: int = 5) -> Column:
+    """Runs of `size` tokens, joined by blanks; fewer tokens have none."""
+    return F.when(F.size(tokens) >= size, F.transform(F.sequence(F.lit(1), F.size(tokens) - (size - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def chunk_id(path: Column, start: Column, text: Column) -> Column:
+    """The first 16 digits of sha256 of path, start and text, joined by colons."""
+    return F.substring(F.sha2(F.concat_ws(":", path, start.cast("string"), text).cast("binary"), 256), 1, 16)
 
 
 def fim(text: Column, share: float = 0.1 + 0.4 * 0.8444218515250481) -> Column:
@@ -77,6 +101,29 @@ def security_kinds(text: Column) -> Column:
     return F.filter(F.array(*(F.when(text.rlike("(?i)" + p), k) for k, p in SECURITY.items())), lambda k: k.isNotNull())
 
 
+# Kinds of high severity (others are medium), weakness numbers of kinds (others have CWE-000).
+HIGH = ("sql_injection", "path_traversal", "weak_crypto", "hardcoded_secret")
+CWE = {"sql_injection": "CWE-89", "path_traversal": "CWE-22", "xss": "CWE-79", "weak_crypto": "CWE-327", "hardcoded_secret": "CWE-798"}
+
+
+def security_findings(text: Column) -> Column:
+    """category, severity, cwe, line and confidence of every match of the patterns.
+
+    A match's line follows from the line breaks in what is before it: the pieces between the matches and the matches.
+    """
+    breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    count = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, t: a + breaks(t))
+
+    def of(kind: str, pattern: str) -> Column:
+        severity, cwe = F.lit("high" if kind in HIGH else "medium"), F.lit(CWE.get(kind, "CWE-000"))
+        line = lambda x, i: (count(x["between"], i + 1) + count(x["matched"], i) + 1).alias("line")
+        finding = lambda x, i: F.struct(F.lit(kind).alias("category"), severity.alias("severity"), cwe.alias("cwe"), line(x, i), F.lit(0.9).alias("confidence"))
+        parts = F.struct(F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(0)).alias("matched"), F.split(text, "(?i)" + pattern, -1).alias("between"))
+        return F.element_at(F.transform(F.array(parts), lambda x: F.transform(x["matched"], lambda _, i: finding(x, i))), 1)
+
+    return F.concat(*(of(kind, pattern) for kind, pattern in SECURITY.items()))
+
+
 def chunk_spans(text: Column, size: int = 1500, overlap: int = 150, most: int = 10_001, block: int = 4096) -> Column:
     """(start, end) of a text's chunks in code points; null has none.
 
