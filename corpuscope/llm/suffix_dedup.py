@@ -8,6 +8,7 @@ one) is removed. Strings never cross documents, and all are judged on the input.
    equal anchors. Chunks exchange the hashes of their distinct anchors; what occurs once can't be in a repeat.
 3. The suffixes at the other anchors are sorted in each chunk. Anchors with equal surroundings are settled there (all but
    the first are repeats); the rest leaves as sorted, front-coded runs, dealt by ranges of suffixes.
+   Very large corpora have several classes of grams, each with its own ranges.
 4. Each range merges its runs with a loser tree that knows the common prefix of every player with the last winner and
    compares only what follows it. Suffixes that share a gram end up side by side; their windows are compared by hash,
    and all but the earliest of equal windows are repeats.
@@ -17,7 +18,8 @@ The earliest copy of anything is kept by every chunk before runs are exchanged,
 arrives once from each chunk, not once from each document.
 
 Null text counts as empty. A null id comes before all others; rows that repeat an id are ordered by where they are stored.
-Texts shorter than LENGTH stay whole. An empty table gives an empty result.
+Texts shorter than LENGTH stay whole, longer ones are a chunk of their own, of any length. No column but text and key is
+read, so others may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,8 +42,11 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of anchor hashes that one task collects.
 BUCKET_BYTES = 32 << 20
-#: Suffixes whose windows are compared at once.
-SLICE = 6000
+#: Suffixes whose windows are hashed at once, and how many slices' windows are compared at once.
+SLICE, SLICES = 6000, 8
+#: Bytes of text for each range of suffixes, and ranges for each class of grams: beyond that there are several classes, each
+#: with ranges of its own, so that neither a range nor the list of splitters grows with the corpus.
+RANGE_BYTES, RANGES = 16 << 20, 4096
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -143,7 +148,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new = np.append(True, (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    return place[first], starts[first], starts[last], grams[place[first]]
+    # Minimum hashes crowd at zero; mixed once more they spread evenly over buckets.
+    return place[first], starts[first], starts[last], mixed(grams[place[first]] + np.uint64(1))
 
 
 def repeated_anchors(chunks: DataFrame, total: int) -> DataFrame:
@@ -202,7 +208,7 @@ def run_of(texts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, bytes]:
     return common, texts[(column >= common[:, None]) & (column < lens[:, None])].tobytes()
 
 
-def sorted_runs(chunks: DataFrame, flags: DataFrame, splitters: list[int]) -> DataFrame:
+def sorted_runs(chunks: DataFrame, flags: DataFrame, splitters: list[int], classes: int) -> DataFrame:
     """Two kinds of rows by chunk: sorted runs for a range (part), and repeats settled in the chunk (part null)."""
     limits = np.array(splitters, np.int64)
     fields = "part int, chunk bigint, payload binary"
@@ -236,14 +242,15 @@ def sorted_runs(chunks: DataFrame, flags: DataFrame, splitters: list[int]) -> Da
             settled, kept = order[again], order[~again]
             if len(settled):
                 out.append((None, pack(np.stack([doc[settled], (first - offsets[doc])[settled], (end - offsets[doc])[settled]]).astype("<i4").tobytes())))
-            place, first, end, doc = place[kept], first[kept], end[kept], doc[kept]
+            place, first, end, doc, gram = place[kept], first[kept], end[kept], doc[kept], gram[kept]
             # Sorted suffixes at the anchors, as far as windows reach.
             lens = end - place
             column = np.arange(LENGTH)
             rows = np.where(column < lens[:, None], data[np.minimum(place[:, None] + column, len(data) - 1)], 0).astype(np.uint8)
             order = np.argsort(rows.view(f"S{LENGTH}").ravel(), kind="stable")
-            rows, lens, place, first, doc = rows[order], lens[order], place[order], first[order], doc[order]
-            part = np.searchsorted(limits, (prefixes(data, place) >> np.uint64(1)).astype(np.int64), side="right")
+            part = np.searchsorted(limits, (prefixes(data, place) >> np.uint64(1)).astype(np.int64), side="right") + (gram % np.uint64(classes)).astype(np.int64) * (len(limits) + 1)
+            order = order[np.argsort(part[order], kind="stable")]
+            part, rows, lens, place, first, doc = part[order], rows[order], lens[order], place[order], first[order], doc[order]
             for p in np.unique(part):
                 mine = slice(*np.searchsorted(part, [p, p + 1]))
                 common, rest = run_of(rows[mine], lens[mine])
@@ -365,25 +372,35 @@ def window_repeats(parts: list[Run], base: np.ndarray, pick: np.ndarray, group:
     row = pick - base[owner]
     get = lambda name: np.array([getattr(parts[o], name)[i] for o, i in zip(owner.tolist(), row.tolist(), strict=True)], np.int64)
     lens, ahead, doc, place, ids, chunk = map(get, ("lens", "ahead", "doc", "place", "ids", "chunk"))
-    # Surroundings of the picked anchors in a row: what is before the anchor, then its suffix.
-    around = [parts[o].around(i) for o, i in zip(owner.tolist(), row.tolist(), strict=True)]
-    flat = np.frombuffer(b"".join(around), np.uint8)
-    at = np.cumsum(ahead + lens) - (ahead + lens)
-    windows = ahead + lens - LENGTH + 1
-    item = np.repeat(np.arange(len(pick)), windows)
-    step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    value = rolling(flat, LENGTH, at[item] + step)
-    inside = (ahead[item] - step).astype(np.uint64)  # the anchor's place in the window
-    value = mixed(value + mixed(group[item].astype(np.uint64) << np.uint64(8) | inside))
     early = np.empty(len(pick), np.int64)
     early[np.lexsort((place, doc, chunk, ids))] = np.arange(len(pick))
-    by = np.lexsort((early[item], value))
-    value, item, step = value[by], item[by], step[by]
-    again = np.append(False, value[1:] == value[:-1])
-    item, step = item[again], step[again]
     low, high = np.full(len(pick), LENGTH * 4), np.full(len(pick), -1)
-    np.minimum.at(low, item, step)
-    np.maximum.at(high, item, step)
+    # A group too large for memory is compared in passes, each for the windows whose hash falls to it.
+    passes = -(-len(pick) // (SLICE * SLICES))
+    for one in range(passes):
+        got = []
+        for lo in range(0, len(pick), SLICE):
+            part = slice(lo, lo + SLICE)
+            # Surroundings of the picked anchors in a row: what is before the anchor, then its suffix.
+            flat = np.frombuffer(b"".join(parts[o].around(i) for o, i in zip(owner[part].tolist(), row[part].tolist(), strict=True)), np.uint8)
+            size = ahead[part] + lens[part]
+            at, windows = np.cumsum(size) - size, size - LENGTH + 1
+            item = np.repeat(np.arange(len(size)), windows)
+            step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+            value = rolling(flat, LENGTH, at[item] + step)
+            item += lo
+            inside = (ahead[item] - step).astype(np.uint64)  # the anchor's place in the window
+            value = mixed(value + mixed(group[item].astype(np.uint64) << np.uint64(8) | inside))
+            if passes > 1:
+                mine = value % np.uint64(passes) == one
+                value, item, step = value[mine], item[mine], step[mine]
+            got.append((value, item, step))
+        value, item, step = map(np.concatenate, zip(*got, strict=True))
+        by = np.lexsort((early[item], value))
+        value, item, step = value[by], item[by], step[by]
+        again = np.append(False, value[1:] == value[:-1])
+        np.minimum.at(low, item[again], step[again])
+        np.maximum.at(high, item[again], step[again])
     hit = np.flatnonzero(high >= 0)
     begin = place - ahead
     return np.stack([chunk[hit], doc[hit], begin[hit] + low[hit], begin[hit] + high[hit] + LENGTH])
@@ -465,10 +482,12 @@ def dedup_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", wit
     spark = docs.sparkSession
     chunks = stored(pack_chunks(docs, text, key), "chunks")
     total = chunks.agg(F.sum("size")).first()[0] or 0
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    classes = -(-ranges // RANGES)
+    ranges = -(-ranges // classes)
     shares = [k / ranges for k in range(1, ranges)]
     splitters = chunks.select(F.explode("sample").alias("x")).agg(F.percentile_approx("x", shares or [0.5], 20_000)).first()[0] or []
     flags = repeated_anchors(chunks, total)
-    runs = stored(sorted_runs(chunks, flags, splitters), "runs")
+    runs = stored(sorted_runs(chunks, flags, splitters, classes), "runs")
     repeats = runs.where("part is null").select("chunk", "payload").union(merged_repeats(runs))
     return removed(chunks, repeats, with_text).withColumnRenamed("id", key)
