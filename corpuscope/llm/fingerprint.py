@@ -6,7 +6,9 @@ and give estimates of the number of distinct shingles, of resemblance and of con
 all of these are exact.
 
 Null text counts as empty: its sketch is empty. Two empty texts are alike (1.0), an empty and another one aren't (0.0).
-Equal texts have equal sketches, wherever they stand.
+Equal texts have equal sketches, wherever they stand; whole texts of any length are sketched. Ids may be null (null comes
+before all others) or repeat. Only the text and the id are read, so other columns may have any names. An empty table
+gives an empty one; a single document is its own neighbour.
 """
 
 from __future__ import annotations
@@ -115,13 +117,16 @@ def edited(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K,
     of ids, the first following the last. Of rows that share an id the smallest text is what the document before gets.
     """
     near = stored(neighbours(docs, text, key), "neighbours")
-    rows = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    same = lambda a, b: a.eqNullSafe(b)
-    beside = rows.join(near.withColumnRenamed("__id", "__own"), same(F.col("__id"), F.col("__own")))
-    sent = beside.select(F.col("__before").alias("__to"), F.expr("substring(__text, 1, int(__asks))").alias("__head"), sketch(F.col("__text"), k, shingle).alias("__next_sketch"))
-    sent = sent.groupBy("__to").agg(F.min(F.struct("__head", "__next_sketch")).alias("__sent"))
-    out = beside.join(sent, same(F.col("__own"), F.col("__to")))
+    # Ids are joined as structs: a null id equals itself, and every step finds rows dealt by the same key.
+    own = lambda c: F.struct(F.col(c).alias("id"))
+    near = near.select(own("__id").alias("__id"), own("__before").alias("__to"), "__asks")
+    # Each text is sketched once, before it is shuffled; its neighbour gets the sketch and the head.
+    rows = docs.select(F.struct(F.col(key).alias("id")).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    beside = rows.withColumn("__sketch", sketch(F.col("__text"), k, shingle)).join(near, "__id")
+    sent = beside.select("__to", F.struct(F.expr("substring(__text, 1, int(__asks))").alias("head"), F.col("__sketch").alias("sketch")).alias("__sent"))
+    sent = sent.groupBy("__to").agg(F.min("__sent").alias("__sent")).withColumnRenamed("__to", "__id")
+    out = beside.select("__id", "__text", "__sketch").join(sent, "__id")
     long = F.length("__text")
-    changed = F.concat(F.substring("__text", F.lit(1), long - F.floor(long / 4).cast("int")), F.substring(F.col("__sent.__head"), F.lit(1), F.floor(long / 4).cast("int")))
-    out = out.select("__id", "__text", changed.alias("__edited"), F.col("__sent.__next_sketch").alias("__next_sketch"))
-    return out.select(F.col("__id").alias(key), F.col("__text").alias(text), F.col("__edited").alias("edited"), sketch(F.col("__text"), k, shingle).alias("sketch"), sketch(F.col("__edited"), k, shingle).alias("edited_sketch"), F.col("__next_sketch").alias("next_sketch"))
+    changed = F.concat(F.substring("__text", F.lit(1), long - F.floor(long / 4).cast("int")), F.substring(F.col("__sent.head"), F.lit(1), F.floor(long / 4).cast("int")))
+    out = out.select("__id", "__text", changed.alias("__edited"), "__sketch", F.col("__sent.sketch").alias("__next_sketch"))
+    return out.select(F.col("__id.id").alias(key), F.col("__text").alias(text), F.col("__edited").alias("edited"), F.col("__sketch").alias("sketch"), sketch(F.col("__edited"), k, shingle).alias("edited_sketch"), F.col("__next_sketch").alias("next_sketch"))
