@@ -209,20 +209,43 @@ class Merger:
     def merge(self, wanted: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces (none empty) in a row, and the offsets of each piece's ids."""
         short = [p for p in wanted if len(p) <= self.SHORT]
+        done = list(self._settled(short))
+        none = np.zeros(0, np.int64)
+        ids, owner = np.concatenate([none, *(x for x, _ in done)]), np.concatenate([none, *(x for _, x in done)])
+        order = np.argsort(owner, kind="stable")
+        ids, sizes = ids[order], np.bincount(owner, minlength=len(short))
+        if len(short) < len(wanted):
+            rows = np.split(ids, np.cumsum(sizes)[:-1]) if len(short) else []
+            it = iter(rows)
+            rows = [next(it) if len(p) <= self.SHORT else self.one(p) for p in wanted]
+            ids, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+        return ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    def counts(self, wanted: list[bytes]) -> np.ndarray:
+        """Number of ids of each piece (none empty); symbols are dropped as soon as their piece is settled."""
+        short = np.fromiter((len(p) <= self.SHORT for p in wanted), bool, len(wanted))
+        out = np.zeros(len(wanted), np.int64)
+        brief = np.zeros(int(short.sum()), np.int64)
+        for _, owner in self._settled([p for p, s in zip(wanted, short.tolist(), strict=True) if s]):
+            brief += np.bincount(owner, minlength=len(brief))
+        out[short] = brief
+        out[~short] = [len(self.one(p)) for p, s in zip(wanted, short.tolist(), strict=True) if not s]
+        return out
+
+    def _settled(self, short: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """After each round, the ids of the pieces in which nothing is left to merge, and the pieces' numbers."""
         ids = self.byte_ids[np.frombuffer(b"".join(short), np.uint8)]
         owner = np.repeat(np.arange(len(short)), np.fromiter(map(len, short), np.int64, len(short)))
         slots = self.look_up(ids[:-1], ids[1:])
         rank, new = np.append(self.ranks[slots], NO_RANK), np.append(self.merged[slots], 0)
         rank[:-1][owner[:-1] != owner[1:]] = NO_RANK
-        done_ids, done_owner = [], []
         while len(ids):
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             lens = np.diff(np.append(starts, len(ids)))
             least = np.minimum.reduceat(rank, starts)
             live = np.repeat(least < NO_RANK, lens)
             if not live.all():
-                done_ids.append(ids[~live])
-                done_owner.append(owner[~live])
+                yield ids[~live], owner[~live]
                 least, lens = least[least < NO_RANK], lens[least < NO_RANK]
                 ids, owner, rank, new = ids[live], owner[live], rank[live], new[live]
                 if not len(ids):
@@ -242,15 +265,6 @@ class Merger:
             same = owner[inner] == owner[inner + 1]
             rank[fresh] = NO_RANK
             rank[inner], new[inner] = np.where(same, self.ranks[slots], NO_RANK), self.merged[slots]
-        ids, owner = np.concatenate([np.zeros(0, np.int64), *done_ids]), np.concatenate([np.zeros(0, np.int64), *done_owner])
-        order = np.argsort(owner, kind="stable")
-        ids, sizes = ids[order], np.bincount(owner, minlength=len(short))
-        if len(short) < len(wanted):
-            rows = np.split(ids, np.cumsum(sizes)[:-1]) if len(short) else []
-            it = iter(rows)
-            rows = [next(it) if len(p) <= self.SHORT else self.one(p) for p in wanted]
-            ids, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-        return ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 class Cache(dict):

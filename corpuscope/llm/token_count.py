@@ -1,11 +1,15 @@
-"""Token counts without ids: each distinct pre-token is counted once, counts meet the documents' pre-token frequencies.
+"""Token counts without ids: each distinct pre-token is counted once, and counts are joined to documents' frequencies.
 
-Within a worker, the distinct pre-tokens of a batch are found, those not counted before are merged once (a bounded
-cache keeps their counts), and each document's frequencies are multiplied with the counts and summed; no ids exist at
-any time and nothing is shuffled. Pieces come from the same scan as the encoder's (bpe.pieces).
+1. Texts are cut into pre-tokens (bpe.pieces, the encoder's scan); distinct ones of each batch are added up, and every
+   distinct pre-token of the corpus becomes one row of a stored table, with its occurrences and its number of tokens.
+2. Texts are cut again into (document, pre-token, frequency). The most frequent pre-tokens, at most HOT of at most
+   HOT_BYTES bytes, meet their counts through a broadcast table; the others, which none of the hot keys is among, are rows
+   that meet theirs in a join. Frequencies times counts are summed by document. No ids exist at any time.
 
 The tokenizer file is the `tokenizers` library's JSON of a byte-level BPE. Added special strings inside a text count as
-one token each and part it, which is the library's default. Null text counts as empty; repeated rows are counted alike.
+one token each and part it, which is the library's default. Null text counts as empty; repeated rows are counted alike;
+ids may be null or repeat, as rows are numbered. Whole texts of any length are counted. Columns named like the results are
+replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,11 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.bpe import Cache, Merger, pieces
-from corpuscope.llm.shared import batches_of, parts, utf8
+from corpuscope.llm.bpe import Merger, pieces
+from corpuscope.llm.shared import batches_of, parts, stored, utf8
+
+#: Bounds of the broadcast table: pre-tokens, and bytes of each.
+HOT, HOT_BYTES = 1 << 17, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -42,10 +50,9 @@ class Counter:
         self.merger = Merger(np.array([vocab[bytes([b])] for b in range(256)]), sides[:, 0], sides[:, 1], np.arange(len(sides)), sides[:, 2])
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))).encode()) if special else None
-        self.cache = Cache(lambda wanted: np.diff(self.merger.merge(wanted)[1]).tolist())
 
-    def totals(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Tokens of each text."""
+    def frequencies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pre-tokens; document, pre-token's number and frequency of each pair; special tokens of each document."""
         raw = data.tobytes()
         n = len(offsets) - 1
         extra = np.zeros(n, np.int64)
@@ -64,11 +71,9 @@ class Counter:
         slices = [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
         number: dict[bytes, int] = {}
         which = np.fromiter((number.setdefault(p, len(number)) for p in slices), np.int64, len(slices))
-        counts = np.array(self.cache.all_of(list(number)), np.int64)
-        sums = np.concatenate([[0], np.cumsum(counts[which])]) if len(which) else np.zeros(1, np.int64)
-        each = sums[first[1:]] - sums[first[:-1]]
-        np.add.at(extra, owner[owner >= 0], each[owner >= 0])
-        return extra
+        row = np.repeat(owner, np.diff(first))
+        pairs, times = np.unique(row[row >= 0] * max(1, len(number)) + which[row >= 0], return_counts=True)
+        return list(number), pairs // max(1, len(number)), pairs % max(1, len(number)), times, extra
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -81,19 +86,70 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
+def piece_counts(texts: DataFrame, path: str) -> DataFrame:
+    """piece, freq (its occurrences) and tokens of each distinct pre-token; texts has one column."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = counter(path)
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for a, b in parts(offsets):
+                found, _, which, times, _ = tool.frequencies(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(np.bincount(which, times, len(found)).astype(np.int64))], ["piece", "freq"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = counter(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tool.merger.counts(batch.column(0).to_pylist()))], ["piece", "freq", "tokens"])
+
+    # A special string's own letters have no occurrences as a pre-token.
+    distinct = texts.mapInArrow(cut, "piece binary, freq bigint").where("freq > 0").groupBy("piece").agg(F.sum("freq").alias("freq"))
+    return stored(distinct.mapInArrow(count, "piece binary, freq bigint, tokens bigint"), "pieces")
+
+
+def hot_pieces(counts: DataFrame) -> tuple[dict[bytes, int], float]:
+    """Tokens of the most frequent pre-tokens, and the level of frequency from which on they are taken."""
+    level = F.floor(F.log2("freq") * 8)
+    short = counts.where(F.octet_length("piece") <= HOT_BYTES)
+    total, least = 0, float("inf")
+    for r in short.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundreds of rows
+        total += r["count"]
+        if total > HOT:
+            break
+        least = float(r["level"])
+    rows = short.where(level >= least).select("piece", "tokens").toArrow()  # at most HOT rows of at most HOT_BYTES
+    return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)), least
+
+
 def count_tokens(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] | None = None, limit: int | None = None) -> DataFrame:
     """The columns `keep` (all if None), n_bytes and n_tokens of each text, and over_limit if a limit is given."""
-    batches_of(df.sparkSession)
+    spark = df.sparkSession
+    batches_of(spark)
     names = [c for c in (df.columns if keep is None else keep) if c not in ("n_bytes", "n_tokens", "over_limit")]
-    src = df.select(*names, F.col(text).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
+    counts = piece_counts(df.select(text), path)
+    hot, _ = hot_pieces(counts)
+    shared = spark.sparkContext.broadcast(hot)
+    src = df.select(F.struct(*names).alias("kept") if names else F.struct(F.lit(0).alias("none")).alias("kept"), F.col(text).alias("text"))
+    kept = src.schema["kept"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = counter(path)
+        tool, known = counter(path), shared.value
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            data, offsets = utf8(batch.column(len(names)))
-            n = np.concatenate([np.zeros(0, np.int64), *(tool.totals(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in parts(offsets))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(offsets)), pa.array(n)], [*names, "n_bytes", "n_tokens"])
-
-    out = src.mapInArrow(run, ", ".join([*fields, "n_bytes bigint", "n_tokens bigint"]))
+            data, offsets = utf8(batch.column(1))
+            for a, b in parts(offsets):
+                found, doc, which, times, total = tool.frequencies(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                tokens = np.fromiter((known.get(p, -1) for p in found), np.int64, len(found))[which]
+                np.add.at(total, doc[tokens >= 0], (times * tokens)[tokens >= 0])
+                cold = np.flatnonzero(tokens < 0)
+                rest = pa.StructArray.from_arrays([pa.array([found[w] for w in which[cold].tolist()], pa.binary()), pa.array(times[cold], pa.int64())], ["piece", "times"])
+                rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[cold], np.arange(b - a + 1)), pa.int32()), rest)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b - a)), batch.column(0).slice(a, b - a), pa.array(np.diff(offsets[a : b + 1])), pa.array(total), rest], ["row", "kept", "n_bytes", "known", "rest"])
+                row += b - a
+
+    rows = stored(src.mapInArrow(run, f"row bigint, kept {kept}, n_bytes bigint, known bigint, rest array<struct<piece:binary,times:bigint>>"), "frequencies")
+    rare = rows.select("row", F.explode("rest").alias("r")).select("row", "r.piece", "r.times")
+    more = rare.join(counts.select("piece", "tokens").hint("merge"), "piece").groupBy("row").agg(F.sum(F.col("times") * F.col("tokens")).alias("more"))
+    out = rows.select("row", "kept", "n_bytes", "known").join(more, "row", "left")
+    out = out.select(*(F.col(f"kept.`{c}`").alias(c) for c in names), "n_bytes", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
     return out if limit is None else out.withColumn("over_limit", F.col("n_tokens") > limit)
