@@ -65,3 +65,25 @@ def entropy(weights: Column) -> Column:
 def mean_distance(weights: Column) -> Column:
     """Weighted mean of the places, from 0."""
     return F.aggregate(F.zip_with(weights, F.sequence(F.lit(0), F.size(weights) - 1), lambda p, j: p * j), F.lit(0.0), lambda a, x: a + x)
+
+
+# Stages of a data set, and bytes of a parameter by precision.
+STAGES = ("source", "license gate", "filtering", "dedup", "synthetic augmentation", "split", "tokenization", "dataset version")
+BYTES = {"fp32": 4.0, "fp16": 2.0, "bf16": 2.0, "int8": 1.0, "int4": 0.5}
+
+
+def quantized_bytes(params: Column, precision: Column) -> Column:
+    """Bytes of so many parameters; an unknown precision takes two for each."""
+    each = F.coalesce(*(F.when(precision == k, v) for k, v in BYTES.items()), F.lit(2.0))
+    return params * each
+
+
+def preference_prompt(prompt: Column) -> Column:
+    return F.concat(F.lit("### Prompt\n"), F.coalesce(prompt, F.lit("")), F.lit("\n\n### Prompt\n"), F.coalesce(prompt, F.lit("")))
+
+
+def instruction_text(system: Column, context: Column, instruction: Column, response: Column) -> Column:
+    """The text of an instruction record, without white space at its ends."""
+    said = lambda c: F.coalesce(c, F.lit(""))
+    whole = F.concat(said(system), F.lit("\n\n"), said(context), F.lit("\n\n### Instruction\n"), said(instruction), F.lit("\n\n### Response\n"), said(response))
+    return F.regexp_replace(whole, r"^\s+|\s+$", "")
