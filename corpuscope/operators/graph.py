@@ -1,13 +1,11 @@
-"""Graph operators as loops of joins; every round is checkpointed if the session has a checkpoint folder."""
+"""Graph operators as loops of joins; every round is a table in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+from corpuscope.operators.cut import cut
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -15,25 +13,132 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     found = seeds.select("node", F.lit(0).alias("steps")).distinct()
     front = found
     for k in range(1, depth + 1):
-        front = _cut(front.join(edges, front["node"] == edges["source"]).select(F.col("target").alias("node")).distinct().join(found, "node", "left_anti").select("node", F.lit(k).alias("steps")))
+        front = cut(front.join(edges, front["node"] == edges["source"]).select(F.col("target").alias("node")).distinct().join(found, "node", "left_anti").select("node", F.lit(k).alias("steps")))
         found = found.unionByName(front)
     return found
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """node and rank after so many rounds; parallel edges count once, dangling mass is spread evenly."""
+def pagerank(edges: DataFrame, rounds: int = 200, damping: float = 0.85, tolerance: float | None = 1e-6) -> DataFrame:
+    """node and rank after so many rounds, or once the ranks change by less than tolerance for each node, added up.
+
+    Parallel edges count once, dangling mass is spread evenly.
+    """
     edges = edges.select("source", "target").distinct()
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
-    n = nodes.count()
     out = edges.groupBy("source").agg(F.count("*").alias("degree"))
-    links = edges.join(out, "source")
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
+    links, nodes = cut(edges.join(out, "source")), cut(nodes.join(out, nodes["node"] == out["source"], "left").select("node", "degree"))
+    n = max(1, nodes.count())
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for _ in range(rounds):
-        sent = links.join(ranks, links["source"] == ranks["node"]).groupBy("target").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        dangling = ranks.join(out, ranks["node"] == out["source"], "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        ranks = _cut(
-            nodes.join(sent, nodes["node"] == sent["target"], "left")
-            .crossJoin(F.broadcast(dangling))  # one row
-            .select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        )
-    return ranks
+        sent = links.join(ranks.select(F.col("node").alias("source"), "rank"), "source").groupBy("target").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
+        dangling = ranks.where("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        new = ranks.join(sent.withColumnRenamed("target", "node"), "node", "left").crossJoin(F.broadcast(dangling))  # one row
+        new = new.select("node", "degree", F.col("rank").alias("old"), ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
+        new = cut(new)
+        ranks = new.drop("old")
+        if tolerance is not None and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance:
+            break
+    return ranks.select("node", "rank")
+
+
+def distances(links: DataFrame, seeds: DataFrame, most: int = 1000) -> DataFrame:
+    """node and its fewest steps from a seed along links of both directions, whatever their number; unreachable nodes are left out."""
+    both = cut(links.select("source", "target").union(links.select("target", "source")).distinct())
+    found = cut(seeds.select("node", F.lit(0).alias("steps")).distinct())
+    front = found
+    for k in range(1, most + 1):
+        front = front.join(both, front["node"] == both["source"]).select(F.col("target").alias("node")).distinct()
+        front = cut(front.join(found, "node", "left_anti").select("node", F.lit(k).alias("steps")))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    return found
+
+
+def shortest_path(links: DataFrame, source: str, target: str) -> list:
+    """Nodes of one shortest path along links of both directions, the smallest on ties; empty if there is none."""
+    spark = links.sparkSession
+    start = spark.createDataFrame([(source,)], "node string")
+    steps = cut(distances(links, start))
+    at = steps.where(F.col("node") == target).first()
+    if at is None:
+        return []
+    both, path = links.select("source", "target").union(links.select("target", "source")), [target]
+    for k in range(at["steps"] - 1, -1, -1):  # one small step back for each node of the path
+        near = both.where(F.col("target") == path[-1]).select(F.col("source").alias("node"))
+        path.append(steps.where(F.col("steps") == k).join(near, "node", "left_semi").agg(F.min("node")).first()[0])
+    return path[::-1]
+
+
+def expanded(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes within so many steps of the seeds over edges of some types, and the edges walked, once for each end in the front."""
+    edges = edges if types is None else edges.where(F.col("type").isin(*types))
+    both = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "source", "target", "type").union(edges.select("target", "source", "source", "target", "type"))
+    front = seen = seeds.select("node").distinct()
+    walked = None
+    for _ in range(depth):
+        step = cut(front.join(both, "node"))
+        walked = step.select("source", "target", "type") if walked is None else walked.unionByName(step.select("source", "target", "type"))
+        front = cut(step.select(F.col("other").alias("node")).distinct().join(seen, "node", "left_anti"))
+        seen = seen.unionByName(front)
+    return seen, walked
+
+
+def dependents(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
+    """Nodes that reach a seed by at most so many imports; seeds only if they import each other."""
+    imports = edges.where("type = 'IMPORTS'").select("source", "target")
+    front, found = seeds.select("node").distinct(), None
+    for _ in range(depth):
+        front = imports.join(front, imports["target"] == front["node"]).select(F.col("source").alias("node")).distinct()
+        front = cut(front if found is None else front.join(found, "node", "left_anti"))
+        found = front if found is None else found.unionByName(front)
+    return found
+
+
+def effect_cone(edges: DataFrame, files: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
+    """What a change of the seeds may touch: what points at them, and what they test, call or import; the next round starts
+    from the files of what was found (files: node and its file). The seeds are part of it."""
+    steps = edges.select(F.col("target").alias("node"), F.col("source").alias("other")).union(edges.where(F.col("type").isin("TESTS", "CALLS", "IMPORTS")).select("source", "target")).distinct()
+    found = front = seeds.select("node").distinct()
+    for _ in range(depth):
+        new = cut(front.join(steps, "node").select(F.col("other").alias("node")).distinct().join(found, "node", "left_anti"))
+        front = new.join(files, "node", "left").select(F.coalesce("file", "node").alias("node")).distinct()
+        found = found.unionByName(new)
+    return found
+
+
+def subgraph(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
+    """Edges with an end within so many steps of the seeds."""
+    near, _ = expanded(edges, seeds, depth)
+    near = cut(near)
+    ends = lambda end: edges.join(near.withColumnRenamed("node", end), end, "left_semi").select("source", "target", "type")
+    return ends("source").union(ends("target")).distinct()
+
+
+def betweenness(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """node and its betweenness over shortest paths from the given sources, along links of both directions.
+
+    All sources go side by side: forward rounds count shortest paths, backward rounds add up dependencies.
+    """
+    both = cut(links.select("source", "target").union(links.select("target", "source")).distinct())
+    front = cut(sources.select(F.col("node").alias("origin"), "node", F.lit(1.0).alias("paths")).distinct())
+    levels, seen = [front], front.select("origin", "node")
+    while True:
+        step = front.join(both, front["node"] == both["source"]).groupBy("origin", F.col("target").alias("node")).agg(F.sum("paths").alias("paths"))
+        front = cut(step.join(seen, ["origin", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = seen.unionByName(front.select("origin", "node"))
+    below, total = None, None
+    for level in reversed(levels):
+        if below is None:
+            here = level.withColumn("credit", F.lit(0.0))
+        else:
+            share = below.select("origin", F.col("node").alias("target"), ((1 + F.col("credit")) / F.col("paths")).alias("share"))
+            given = level.join(both, level["node"] == both["source"]).join(share, ["origin", "target"]).groupBy("origin", "node").agg(F.sum("share").alias("share"))
+            here = level.join(given, ["origin", "node"], "left").select("origin", "node", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("credit"))
+        below = cut(here)
+        part = below.where("origin <> node").select("node", "credit")
+        total = part if total is None else total.unionByName(part)
+    return total.groupBy("node").agg((F.sum("credit") / 2).alias("betweenness"))

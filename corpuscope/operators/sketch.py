@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import word_tokens
-from corpuscope.operators.graph import _cut
+from corpuscope.operators.cut import cut
 
 
 def signatures(docs: DataFrame, key: str, text: str, slots: int = 128, seed: int = 7) -> DataFrame:
@@ -39,17 +39,17 @@ def keep_first(sigs: DataFrame, key: str, bands: int = 16, rows: int = 8) -> Dat
     """
     whole = sigs.select(F.col(key).alias("id"), F.coalesce("signature", F.array(F.lit(-1).cast("long"))).alias("s"))
     firsts = whole.groupBy("s").agg(F.min("id").alias("id"))
-    cut = lambda b: F.xxhash64(F.lit(b), F.concat_ws(",", F.transform(F.slice("s", b * rows + 1, rows), lambda x: x.cast("string"))))
-    band = F.when(F.size("s") > 1, F.array(*map(cut, range(bands)))).otherwise(F.array(F.xxhash64(F.lit("none"))))
-    left = _cut(firsts.select("id", F.explode(band).alias("band")))
+    part = lambda b: F.xxhash64(F.lit(b), F.concat_ws(",", F.transform(F.slice("s", b * rows + 1, rows), lambda x: x.cast("string"))))
+    band = F.when(F.size("s") > 1, F.array(*map(part, range(bands)))).otherwise(F.array(F.xxhash64(F.lit("none"))))
+    left = cut(firsts.select("id", F.explode(band).alias("band")))
     kept = None
     while not left.isEmpty():
         lead = left.groupBy("band").agg(F.min("id").alias("lead"))
         now = left.join(lead, "band").groupBy("id").agg(F.min((F.col("lead") == F.col("id")).cast("int")).alias("first")).where("first = 1").select("id")
-        now = _cut(now)
+        now = cut(now)
         taken = left.join(now, "id", "left_semi").select("band").distinct()
         gone = left.join(taken, "band", "left_semi").select("id").distinct()
-        left = _cut(left.join(gone, "id", "left_anti"))
+        left = cut(left.join(gone, "id", "left_anti"))
         kept = now if kept is None else kept.unionByName(now)
     ids = sigs.select(F.col(key))
     if kept is None:

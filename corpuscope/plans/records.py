@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import records, text
 from corpuscope.operators import graph, sketch
+from corpuscope.operators.cut import cut, shared_folder
 from corpuscope.registry import query, table
 from corpuscope.streaming import telemetry
 
@@ -117,7 +118,7 @@ def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def band_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without an earlier one that stays and shares a band."""
-    return sketch.keep_first(graph._cut(sketch.signatures(table(spark, sf_dir, "documents"), "doc_id", "text")), "doc_id")
+    return sketch.keep_first(cut(sketch.signatures(table(spark, sf_dir, "documents"), "doc_id", "text")), "doc_id")
 
 
 @query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
@@ -198,7 +199,7 @@ def stream_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream, run until all is read; each batch replaces the written result."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    base = f"{(spark.conf.get('spark.checkpoint.dir', '') or '/tmp/checkpoints').rstrip('/')}/telemetry-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/telemetry-{uuid.uuid4().hex}"
     # A pattern, since a stream's plain path has to be a folder.
     stream = telemetry.running(telemetry.read_stream(spark, f"{sf_dir}/events.parque[t]", schema))
     # A batch that is repeated after a failure writes the same folder again.

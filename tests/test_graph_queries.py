@@ -18,3 +18,42 @@ def test_page_rank_takes_all_lines(spark, tmp_path):
     for _ in range(10):
         rank = {n: 0.15 / len(rank) + 0.85 * sum(rank[a] / sum(x == a for x, _ in edges) for a, b in edges if b == n) for n in rank}
     assert {r.node: r["rank"] for r in retrieval.page_rank(spark, str(tmp_path)).collect()} == pytest.approx(rank)
+
+
+def test_betweenness_against_a_loop(spark):
+    from corpuscope.operators import graph
+
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "d"), ("d", "f"), ("x", "y")]
+    near = {}
+    for p, q in pairs:
+        near.setdefault(p, set()).add(q)
+        near.setdefault(q, set()).add(p)
+
+    def paths(s, t):
+        front = [[s]]
+        while front:
+            done = [p for p in front if p[-1] == t]
+            if done:
+                return done
+            seen = {p[-1] for p in front}
+            front = [[*p, n] for p in front for n in near[p[-1]] if n not in p and n not in seen]
+        return []
+
+    want = {}
+    for s in ("a", "d", "x"):
+        for t in near:
+            found = [p for p in paths(s, t) if s != t]
+            for p in found:
+                for n in p[1:-1]:
+                    want[n] = want.get(n, 0) + 0.5 / len(found)
+    links = spark.createDataFrame(pairs, "source string, target string")
+    got = graph.betweenness(links, spark.createDataFrame([("a",), ("d",), ("x",)], "node string")).collect()
+    assert {r.node: r.betweenness for r in got if r.betweenness} == pytest.approx(want)
+    assert graph.shortest_path(links, "b", "f") == ["b", "c", "d", "f"] and graph.shortest_path(links, "b", "x") == [] and graph.shortest_path(links, "a", "a") == ["a"]
+
+
+def test_pagerank_stops_when_settled(spark):
+    from corpuscope.operators import graph
+
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "source string, target string")
+    assert {r.node: r["rank"] for r in graph.pagerank(ring).collect()} == pytest.approx(dict.fromkeys("abc", 1 / 3))
