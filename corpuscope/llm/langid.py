@@ -127,7 +127,8 @@ def sample_bits(rows: DataFrame, text: str, lang: str) -> tuple[np.ndarray, list
     each = max(LEAST, SAMPLE_ROWS // languages)
     share = (2 * each + 100) / F.col("n")
     bounds = sizes.select("lang", F.when(share >= 1, F.lit(2**63 - 1)).otherwise((share * float(2**64) - float(2**63)).cast("long")).alias("bound"))
-    few = drawn.join(bounds, "lang").where("hash <= bound").select("lang", "hash").distinct()
+    # One row for each language, as the model has too.
+    few = drawn.join(F.broadcast(bounds), "lang").where("hash <= bound").select("lang", "hash").distinct()
     few = few.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("turn") <= each).select("lang", "hash")
     # At most SAMPLE_ROWS (or LEAST for each language) pairs of a language and a hash.
     picked = rows.join(F.broadcast(few), ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.first("text").alias("text"))
