@@ -26,7 +26,7 @@ ENDPOINTS = [
 # Pattern of tables that SQL text names.
 TABLES = r"(?i)\b(?:FROM|JOIN|INTO|UPDATE|TABLE|INSERT INTO)\s+([A-Za-z_][A-Za-z0-9_]*)"
 
-# Patterns of symbols; group 1 is the name.
+# Patterns of symbols; group 1 is the name, but for those of NAME_GROUPS.
 SYMBOLS = {
     "python": {
         "function": r"(?m)^\s*def\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(([^)]*)\)\s*(?:->\s*[^:]+)?:",
@@ -34,7 +34,19 @@ SYMBOLS = {
     },
     "go": {"function": r"(?m)^func\s+(?:\([^)]*\)\s+)?(?:\w+\.)?([A-Za-z_][A-Za-z0-9_]*)\s*\("},
     "rust": {"function": r"(?m)^(?:pub\s+)?fn\s+([a-z_][a-z0-9_]*)\s*\("},
+    "java": {
+        "method": r"(?m)^\s*(?:public|private|protected|static|final|abstract|synchronized|default|\s)*[\w<>.?\[\]]+\s+(\w+)\s*\(([^)]*)\)\s*(?:throws\s+\w+)?\s*\{",
+        "class": r"(?m)^\s*(?:public|private|protected|abstract|final|\s)*class\s+(\w+)",
+        "interface": r"(?m)^\s*(?:public|private|protected|\s)*interface\s+(\w+)",
+    },
+    "javascript": {
+        "function": r"(?m)^(?:function\s+(\w+)|const\s+(\w+)\s*=\s*(?:async\s+)?\([^)]*\)\s*=>|async\s+function\s+(\w+))",
+        "class": r"(?m)^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)",
+    },
+    "sql": {"table_reference": r"(?i)\b(?:FROM|JOIN|INTO|UPDATE|TABLE)\s+([A-Za-z_][A-Za-z0-9_]*)"},
 }
+#: Patterns whose name is in the first of several groups that has a value.
+NAME_GROUPS = {("javascript", "function"): (1, 2, 3)}
 
 # Keywords of task types; the first type that has one counts.
 TASK_TYPES = {
@@ -111,7 +123,10 @@ def symbols(text: Column, language: str) -> Column:
     """
     kinds = []
     for kind, pattern in SYMBOLS[language].items():
-        kinds.append(_placed(kind, found(text, pattern), found(text, pattern, 0), F.split(text, pattern, -1)))
+        names = found(text, pattern)
+        for g in NAME_GROUPS.get((language, kind), (1,))[1:]:
+            names = F.zip_with(names, found(text, pattern, g), lambda a, b: F.when(a != "", a).otherwise(b))
+        kinds.append(_placed(kind, names, found(text, pattern, 0), F.split(text, pattern, -1)))
     return F.concat(*kinds)
 
 

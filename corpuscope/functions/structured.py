@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 # Required keys of each kind of output, and of the items of its array, if it has one.
 SCHEMAS = {
@@ -32,7 +33,7 @@ def valid_json(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def scanned(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """JSON values of a text, looked for from each place behind the last one found; null for null.
 

@@ -186,3 +186,62 @@ def reward(found: dict[str, Column]) -> Column:
         if name in found:
             total = total + F.when(found[name], weight).otherwise(0.0)
     return total
+
+
+def canonical(value: Column, kind: str) -> Column:
+    """A value in the form that digests are taken of: strings bare, null and booleans as words, maps by sorted keys.
+
+    kind: the value's type as Spark names it; arrays, maps and structs of scalars and of each other.
+    """
+    if kind.startswith("array<"):
+        said = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical(x, kind[6:-1])), ","), F.lit("]"))
+    elif kind.startswith("map<string,"):
+        entries = F.array_sort(F.map_entries(value))
+        said = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(":"), canonical(e["value"], kind[11:-1]))), ","), F.lit("}"))
+    else:
+        said = value.cast("string")
+    return F.coalesce(said, F.lit("null"))
+
+
+def truncated(text: Column, most: int) -> Column:
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit("\n...[truncated]")))
+
+
+# Advice for another attempt.
+ADVICE = (
+    "Checklist for next attempt:",
+    "- Re-read the failing test/file before writing the patch.",
+    "- Check indices, off-by-one, null handling, and the exact expected function/return type.",
+    "- Prefer the smallest patch that targets the failure.",
+    "- After patching, run the tests again before finishing.",
+)
+
+
+def reflection(summary: Column, kind: Column, log: Column, prior: Column) -> Column:
+    """What a failed attempt teaches the next one; the log is cut at 1500 characters."""
+    said = F.trim(F.coalesce(log, F.lit("")))
+    lines = F.array(
+        F.lit("The previous attempt failed."), F.concat(F.lit("Verifier: "), summary), F.when(F.coalesce(kind, F.lit("")) != "", F.concat(F.lit("Failure kind: "), kind)),
+        F.when(said != "", F.concat(F.lit("Log excerpt:\n"), truncated(F.replace(said, F.lit("\\n"), F.lit("\n")), 1500), F.lit("\n" + "\n".join(ADVICE)))),
+        F.concat(F.lit("Attempt history: "), prior + 1, F.lit(" failed attempt(s).")),
+    )
+    return F.array_join(lines, "\n")  # nulls are left out
+
+
+# What counts as a function and as an identifier.
+FUNCTIONS = r"\b(?:def|function|func|fn|public\s+\w+\s+\w+|private\s+\w+\s+\w+)\s+\w+\s*\("
+IDENTIFIERS = r"[A-Za-z_][A-Za-z0-9_]*(?:\([^)]*\))?"
+
+
+# Languages of collected files by their endings.
+FILE_LANGUAGES = {
+    ".py": "python", ".pyi": "python", ".java": "java", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript",
+    ".tsx": "typescriptreact", ".go": "go", ".rs": "rust", ".rb": "ruby", ".php": "php", ".c": "c", ".h": "c",
+    ".cc": "cpp", ".cpp": "cpp", ".cs": "csharp", ".scala": "scala", ".kt": "kotlin", ".sql": "sql", ".vue": "vue",
+    ".svelte": "svelte", ".html": "html", ".css": "css", ".scss": "scss", ".sh": "shell", ".bash": "shell",
+}
+
+
+def file_language(ending: Column) -> Column:
+    """The language of a file's ending (in lower case), or null."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in FILE_LANGUAGES.items() for x in pair)), ending)
