@@ -36,8 +36,6 @@ TREES, DEPTH, MIN_DEPTH = 24, 6, 3
 NEAR, STRIDE = 8, 64
 #: Bytes of the sketch; of them must agree (five standard deviations below what a similarity of 0.8 gives).
 SKETCH, AGREE = 32, 14
-#: Partners of each row confirmed in the first waves.
-WAVES = (1, 4)
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -238,24 +236,21 @@ def solved(docs: DataFrame, text: str, key: str, shingle: int, percent: int) ->
     pairs, crowded = found.where("a < b"), found.where("a = b").select(F.col("a").alias("rep"))
     ends = found.select(F.col("a").alias("rep")).union(found.select("b")).distinct()
     texts = stored(packed_texts(docs, reps.select("rep", "doc_id", "text_hash").join(ends.hint("merge"), "rep", "left_semi"), text, key), "texts")
-    # The likeliest partners of each row: those near it in most trees.
-    mine = pairs.withColumn("turn", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("hits"), "a")))
-    ranked = stored(mine, "ranked")
-    links, stars, low = None, None, 0
-    for most in (*WAVES, None):
-        wave = ranked.where(F.col("turn") > low) if most is None else ranked.where((F.col("turn") > low) & (F.col("turn") <= most))
-        low = most
-        if stars is not None:
-            at = lambda end: stars.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-            wave = wave.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        good = confirmed(wave, texts, shingle, percent).select(F.col("b").alias("u"), F.col("a").alias("v"))
-        links = good if stars is None else good.union(stars.select(F.col("id").alias("u"), F.col("component").alias("v")))
-        stars = components(links)
+    # First the likeliest partner of each row, near it in most trees, and the smallest one: long chains of links would need
+    # many rounds. Then the rest, where the ends aren't connected yet.
+    of = Window.partitionBy("b")
+    ranked = stored(pairs.select("a", "b", F.row_number().over(of.orderBy(F.desc("hits"), "a")).alias("turn"), F.min("a").over(of).alias("least")), "ranked")
+    early = (F.col("turn") == 1) | (F.col("a") == F.col("least"))
+    linked = lambda wave: confirmed(wave.select("a", "b"), texts, shingle, percent).select(F.col("b").alias("u"), F.col("a").alias("v"))
+    stars = components(linked(ranked.where(early)))
+    at = lambda end: stars.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    rest = ranked.where(~early).join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    more = lambda links: links.union(stars.select(F.col("id").alias("u"), F.col("component").alias("v")))
+    stars = components(more(linked(rest)))
     if not crowded.isEmpty():
         sets = texts.join(crowded.hint("merge"), "rep", "left_semi").join(stars.select(F.col("id").alias("rep"), "component"), "rep", "left")
         sets = stored(sets.select("rep", F.coalesce("component", "rep").alias("component"), "packed"), "crowded")
-        good = confirmed(similar_candidates(sets, shingle, percent), texts, shingle, percent).select(F.col("b").alias("u"), F.col("a").alias("v"))
-        stars = components(good.union(stars.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+        stars = components(more(linked(similar_candidates(sets, shingle, percent))))
     return sigs, reps, stars
 
 
