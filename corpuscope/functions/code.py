@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Patterns of imports by language, and the groups that may hold the name, the first one with a value counts.
 IMPORTS = {
     "python": (r"(?m)^\s*(?:import|from)\s+([\w.]+)", (1,)),
-    "javascript": (r"(?m)\(?import\s+(?:['\"])?([\w./]+)|from\s+(['\"])([\w./]+)(['\"])", (3, 1)),
+    "javascript": (r"(?m)\(?import\s+(?:['\"])?([\w./]+)|from\s+(['\"])([\w./]+)(['\"])", (3, 2)),
     "go": (r"(?m)^\s*import\s+(\w+)|^\s*package\s+([\w.]+)", (1, 2)),
     "rust": (r"(?m)^\s*use\s+([\w:]+)", (1,)),
     "java": (r"(?m)^\s*import\s+[\w.*]+\s+([\w.]+);", (1,)),
@@ -193,6 +193,17 @@ def unsafe_path(path: Column) -> Column:
     return path.rlike(r"^[/\\]|^[A-Za-z]:") | F.exists(F.split(path, r"[/\\]"), lambda p: p.isin("..", ".git"))
 
 
+# Tables that statements may name.
+SCHEMA_TABLES = ("customer", "project", "task", "invoice", "audit_event")
+
+
+def schema_tables(sql: Column) -> Column:
+    """Known tables that a statement names, between blanks, at the start of a line or at its end."""
+    low = F.lower(F.trim(sql))
+    named = lambda t: F.contains(low, F.concat(F.lit("\n"), t)) | F.contains(low, F.concat(F.lit(" "), t, F.lit(" "))) | low.endswith(F.concat(F.lit(" "), t))
+    return F.filter(F.array(*map(F.lit, SCHEMA_TABLES)), named)
+
+
 def dialect_grade(sql: Column, dialect: Column) -> Column:
     """forbidden (a word of a write occurs) and hinted (a hint of the dialect occurs; 0 where forbidden)."""
     bad, hinted = F.lit(False), F.lit(False)

@@ -14,6 +14,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     front = found
     for k in range(1, depth + 1):
         front = cut(front.join(edges, front["node"] == edges["source"]).select(F.col("target").alias("node")).distinct().join(found, "node", "left_anti").select("node", F.lit(k).alias("steps")))
+        if front.isEmpty():
+            break
         found = found.unionByName(front)
     return found
 

@@ -2,26 +2,55 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import word_tokens
 from corpuscope.operators.cut import cut
 
+#: Words whose hashes a worker keeps: about 60 MB.
+KNOWN = 100_000
+
 
 def signatures(docs: DataFrame, key: str, text: str, slots: int = 128, seed: int = 7) -> DataFrame:
     """key and signature: in each slot the least hash of the text's distinct words, null for texts without words.
 
-    Each distinct word of the corpus is hashed once; documents take slot-wise minima, combined before the shuffle.
+    A worker hashes a word once and keeps its values (a bounded cache); minima are taken where the text is, so nothing is
+    shuffled but the rows of repeated keys, of which the slot-wise least are kept.
     """
-    words = docs.select(F.col(key).alias("__key"), F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("word"))
-    prefixes = F.array(*(F.lit(f"{seed}:{2 * i + 1}:{2 * i + 2}:") for i in range(slots)))
-    value = lambda p: F.conv(F.substring(F.sha2(F.concat(p, "word").cast("binary"), 256), 1, 8), 16, 10).cast("long")
-    # Hashing is the work, and the words are few bytes: an explicit number of partitions keeps them from being merged into one task.
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    hashed = words.select("word").distinct().repartition(tasks, "word").select("word", F.transform(prefixes, value).alias("h"))
-    least = words.join(hashed, "word").groupBy("__key").agg(*(F.min(F.get("h", F.lit(i))).alias(f"h{i}") for i in range(slots)))
-    return docs.select(F.col(key).alias("__key")).distinct().join(least, "__key", "left").select(F.col("__key").alias(key), F.when(F.col("h0").isNotNull(), F.array(*(f"h{i}" for i in range(slots)))).alias("signature"))
+    words = F.array_distinct(F.coalesce(word_tokens(F.col(text)), F.array().cast("array<string>")))
+    src = docs.select(F.col(key).alias("__key"), words.alias("words"))
+    prefixes = [f"{seed}:{2 * i + 1}:{2 * i + 2}:".encode() for i in range(slots)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bytes] = {}
+        for batch in batches:
+            found = []
+            for tokens in batch.column(1).to_pylist():
+                if not tokens:
+                    found.append(None)
+                    continue
+                rows = []
+                for word in tokens:
+                    value = known.get(word)
+                    if value is None:
+                        raw = word.encode()
+                        value = b"".join([hashlib.sha256(p + raw).digest()[:4] for p in prefixes])
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        known[word] = value
+                    rows.append(value)
+                found.append(np.frombuffer(b"".join(rows), ">u4").reshape(-1, slots).min(0).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["__key", "signature"])
+
+    each = src.mapInArrow(run, f"__key {src.schema['__key'].dataType.simpleString()}, signature array<bigint>")
+    least = each.groupBy("__key").agg(*(F.min(F.get("signature", F.lit(i))).alias(f"h{i}") for i in range(slots)))
+    return least.select(F.col("__key").alias(key), F.when(F.col("h0").isNotNull(), F.array(*(f"h{i}" for i in range(slots)))).alias("signature"))
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuscope.operators import quantiles
 from corpuscope.registry import query, table
 
 _PAIRS = "(SELECT l.doc_id, least(d.n_chars / 5000.0::DOUBLE, 1.0::DOUBLE) AS p, l.quality AS a FROM labels l JOIN documents d USING (doc_id))"
@@ -27,8 +28,11 @@ def failure_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 2) AS p50, round(quantile_cont(value, 0.95), 2) AS p95, arg_min(value, event_id) AS first_value FROM events GROUP BY ALL""")
 def latency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interpolated percentiles and the first value by event type."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 2).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 2).alias("p95"), F.min_by("value", "event_id").alias("first_value"))
+    """Interpolated percentiles and the first value by event type; no task holds or sorts a type's values."""
+    events = table(spark, sf_dir, "events")
+    found = quantiles.percentiles(events, "event_type", "value", {"p50": 0.5, "p95": 0.95}).drop("n")
+    rest = events.groupBy("event_type").agg(F.count("*").alias("n"), F.min_by("value", "event_id").alias("first_value"))
+    return rest.join(found, "event_type", "left").select("event_type", "n", F.round("p50", 2).alias("p50"), F.round("p95", 2).alias("p95"), "first_value")
 
 
 def pass_at(n: Column, c: Column, k: int) -> Column:
@@ -124,12 +128,12 @@ def agent_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.count("*").alias("events"), F.count_if(F.col("role") == "assistant").alias("attempts"), F.count_if(F.col("role") == "user").alias("asks"), F.max_by("role", "turn").alias("last_role"), F.array_join(F.transform(steps, lambda s: s["role"]), ">").alias("timeline"))
 
 
-@query("""
-SELECT l_orderkey, max(l_quantity) FILTER (l_linenumber = 1) AS line_1, max(l_quantity) FILTER (l_linenumber = 2) AS line_2, max(l_quantity) FILTER (l_linenumber = 3) AS line_3 FROM lineitem GROUP BY l_orderkey""")
+@query(f"""
+SELECT l_orderkey, {", ".join(f"max(l_quantity) FILTER (l_linenumber = {k}) AS line_{k}" for k in range(1, 8))}, max(l_quantity) FILTER (l_linenumber > 7) AS more FROM lineitem GROUP BY l_orderkey""")
 def metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """metric rows to columns."""
+    """metric rows to columns, seven lines each and whatever is beyond."""
     rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy("l_orderkey").agg(*(F.max(F.when(F.col("l_linenumber") == k, F.col("l_quantity"))).alias(f"line_{k}") for k in (1, 2, 3)))
+    return rows.groupBy("l_orderkey").agg(*(F.max(F.when(F.col("l_linenumber") == k, F.col("l_quantity"))).alias(f"line_{k}") for k in range(1, 8)), F.max(F.when(F.col("l_linenumber") > 7, F.col("l_quantity"))).alias("more"))
 
 
 @query("""

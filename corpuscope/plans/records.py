@@ -150,12 +150,18 @@ def status_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("o_custkey").agg(F.max_by("now", F.struct("o_orderdate", "o_orderkey")).alias("status"), F.count("before").alias("moves"), F.count_if((F.col("before") == "F") & (F.col("now") == "P")).alias("invalid"))
 
 
-@query("""
-SELECT CASE WHEN event_id % 2 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'SANDBOX_TIMEOUT' WHEN event_id % 5 = 0 THEN 'SANDBOX_POLICY' WHEN event_id % 7 = 0 THEN 'COMPILE_FAIL' ELSE 'TEST_FAIL' END AS kind, count(*) AS n FROM events GROUP BY 1""")
+_STDERR = ["", "Error: x", "Timed out after 60 s", "BUILD FAILED", "fatal", "error", "x Timed out ERROR: y"]
+_STDOUT = ["", "it has timed out", "1 failed", "ok"]
+
+
+@query(f"""
+WITH v AS (SELECT event_id, event_id % 2 = 0 AS passed, event_id % 5 = 0 AS policy, ([{', '.join(repr(x) for x in _STDERR)}])[(event_id % 7 + 1)::INT] AS e, ([{', '.join(repr(x) for x in _STDOUT)}])[(user_id % 4 + 1)::INT] AS o FROM events)
+SELECT CASE WHEN passed THEN NULL WHEN contains(e, 'Timed out') OR contains(o || e, 'timed out') THEN 'SANDBOX_TIMEOUT' WHEN policy THEN 'SANDBOX_POLICY' WHEN contains(lower(e), 'error:') OR contains(lower(e), 'build failed') THEN 'COMPILE_FAIL' ELSE 'TEST_FAIL' END AS kind, count(*) AS n FROM v GROUP BY 1""")
 def failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outputs of a verifier written from event ids."""
+    """Outputs of a verifier dealt by event and user, and why it failed."""
+    pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
     key = F.col("event_id")
-    kind = records.failure_kind(key % 2 == 0, key % 5 == 0, F.when(key % 3 == 0, "has timed out").otherwise(""), F.when(key % 7 == 0, "Error: x").otherwise("x"))
+    kind = records.failure_kind(key % 2 == 0, key % 5 == 0, pick(_STDOUT, "user_id"), pick(_STDERR, "event_id"))
     return table(spark, sf_dir, "events").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -167,10 +173,16 @@ def record_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, 'k,kind' AS keys FROM events")
+_KEYS = ["authorization", "password", "api_key", "apikey", "token", "private_key", "patch", "prompt", "secret", "Token", "step", "tokens"]
+
+
+@query(f"""
+WITH l AS (SELECT event_id, ['k', ([{', '.join(repr(x) for x in _KEYS)}])[(event_id % 12 + 1)::INT], 'kind_' || event_type] AS keys FROM events)
+SELECT event_id, array_to_string(list_filter(keys, lambda x: NOT regexp_matches(x, '^(authorization|password|api_?key|token|private_key|patch|prompt|secret)$')), ',') AS keys FROM l""")
 def log_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocked keys leave a log line."""
-    line = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("token"), F.col("event_id").cast("string"), F.lit("kind"), F.col("event_type"), F.lit("prompt"), F.lit("p"))
+    """Blocked keys leave a log line; each event logs one of twelve."""
+    dealt = F.element_at(F.array(*map(F.lit, _KEYS)), (F.col("event_id") % len(_KEYS) + 1).cast("int"))
+    line = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), dealt, F.col("event_id").cast("string"), F.concat(F.lit("kind_"), "event_type"), F.col("event_type"))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.map_keys(records.scrubbed(line)), ",").alias("keys"))
 
 
@@ -186,11 +198,18 @@ def page_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").offset(20).limit(50)
 
 
-@query("SELECT p_partkey::VARCHAR AS node, CASE WHEN p_partkey < 2 THEN 0 WHEN p_partkey < 4 THEN 1 WHEN p_partkey < 8 THEN 2 WHEN p_partkey < 16 THEN 3 ELSE 4 END AS steps FROM part WHERE p_partkey BETWEEN 1 AND 31")
+@query("SELECT p_partkey::VARCHAR AS node, floor(log2(p_partkey))::INT AS steps FROM part WHERE p_partkey > 0")
 def lineage_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part k is the parent of 2k and 2k + 1; descendants of the first in four generations."""
+    """part k is the parent of 2k and 2k + 1; all descendants of the first, by generation."""
     edges = table(spark, sf_dir, "part").where("p_partkey > 1").select(F.expr("string(p_partkey div 2)").alias("source"), F.col("p_partkey").cast("string").alias("target"))
-    return graph.reachable(edges, spark.createDataFrame([("1",)], "node string"), 4)
+    return graph.reachable(edges, spark.createDataFrame([("1",)], "node string"), 64)
+
+
+@query("SELECT p_partkey // 2 AS parent, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM part WHERE p_partkey > 1 GROUP BY 1")
+def lineage_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the models made from each model, one step down."""
+    rows = table(spark, sf_dir, "part").where("p_partkey > 1")
+    return rows.groupBy(F.expr("p_partkey div 2").alias("parent")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last"))
 
 
 @query("""

@@ -52,26 +52,27 @@ def _expand(sql: str) -> str:
     return sql
 
 
-_GRAPH = _expand(_FILES)
+#: The files and their graph as CTEs: f (files), l (lines), s (symbols), i (imports), e (endpoints), t (tables), tests, nodes and edges.
+GRAPH = _expand(_FILES)
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return repository.graph(repository.parsed(files(spark, sf_dir), "python", "py"), "shop")
 
 
-@query(f"WITH {_GRAPH} SELECT * FROM nodes")
+@query(f"WITH {GRAPH} SELECT * FROM nodes")
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the repository's graph, once for each id."""
     return _graph(spark, sf_dir)[0]
 
 
-@query(f"WITH {_GRAPH} SELECT * FROM edges")
+@query(f"WITH {GRAPH} SELECT * FROM edges")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the repository's graph, once for each ends and type."""
     return _graph(spark, sf_dir)[1]
 
 
-@query(f"WITH {_GRAPH} SELECT 'node' AS what, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type")
+@query(f"WITH {GRAPH} SELECT 'node' AS what, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type")
 def type_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each type of node and edge occurs."""
     nodes, edges = _graph(spark, sf_dir)
@@ -80,7 +81,7 @@ def type_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_GRAPH} SELECT (SELECT count(*) FROM f) AS files, (SELECT sum(length(text))::BIGINT FROM f) AS chars, (SELECT count(*) FROM s) AS symbols, (SELECT count(*) FROM f) AS chunks, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges""")
+WITH {GRAPH} SELECT (SELECT count(*) FROM f) AS files, (SELECT sum(length(text))::BIGINT FROM f) AS chars, (SELECT count(*) FROM s) AS symbols, (SELECT count(*) FROM f) AS chunks, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges""")
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of counts; a file of less than 1500 characters is one chunk."""
     rows = cut(repository.parsed(files(spark, sf_dir), "python", "py"))
@@ -90,7 +91,7 @@ def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_GRAPH} SELECT id, name AS label, type, NULL AS source, NULL AS target FROM nodes UNION ALL SELECT NULL, NULL, type, source, target FROM edges""")
+WITH {GRAPH} SELECT id, name AS label, type, NULL AS source, NULL AS target FROM nodes UNION ALL SELECT NULL, NULL, type, source, target FROM edges""")
 def graph_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and edges in one frame, as graph viewers want them."""
     nodes, edges = _graph(spark, sf_dir)
@@ -98,7 +99,7 @@ def graph_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_GRAPH}, near AS (SELECT source AS node, target AS other, type FROM edges WHERE type IN ('IMPORTS', 'CONTAINS', 'CALLS') UNION ALL SELECT target, source, type FROM edges WHERE type IN ('IMPORTS', 'CONTAINS', 'CALLS')),
+WITH {GRAPH}, near AS (SELECT source AS node, target AS other, type FROM edges WHERE type IN ('IMPORTS', 'CONTAINS', 'CALLS') UNION ALL SELECT target, source, type FROM edges WHERE type IN ('IMPORTS', 'CONTAINS', 'CALLS')),
 h1 AS (SELECT DISTINCT other AS node FROM near WHERE node = 'src/m3'), h2 AS (SELECT DISTINCT other AS node FROM near WHERE node IN (SELECT node FROM h1) AND other <> 'src/m3' AND other NOT IN (SELECT node FROM h1))
 SELECT 'src/m3' AS node UNION ALL SELECT node FROM h1 WHERE node <> 'src/m3' UNION ALL SELECT node FROM h2""")
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +109,7 @@ def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_GRAPH}, near AS (SELECT 'lib2' AS node UNION SELECT source FROM edges WHERE target = 'lib2' UNION SELECT target FROM edges WHERE source = 'lib2')
+WITH {GRAPH}, near AS (SELECT 'lib2' AS node UNION SELECT source FROM edges WHERE target = 'lib2' UNION SELECT target FROM edges WHERE source = 'lib2')
 SELECT DISTINCT source, target, type FROM edges WHERE source IN (SELECT node FROM near) OR target IN (SELECT node FROM near)""")
 def library_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges with an end within a step of a library."""
@@ -116,7 +117,7 @@ def library_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_GRAPH}, k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS number FROM nodes WHERE type IN ('MODULE', 'FILE', 'DATABASE_TABLE_REFERENCE')),
+WITH {GRAPH}, k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS number FROM nodes WHERE type IN ('MODULE', 'FILE', 'DATABASE_TABLE_REFERENCE')),
 x AS (SELECT DISTINCT a.id AS i, b.id AS j FROM edges JOIN k a ON a.id = source JOIN k b ON b.id = target) SELECT i AS row_id, j AS column_id, 1.0::DOUBLE AS value FROM x""")
 def adjacency_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the adjacency matrix of files and tables; numbers of a distributed order stand for the ids."""
@@ -130,7 +131,7 @@ def adjacency_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_GRAPH}, b AS (SELECT source AS node, target AS other FROM edges WHERE type IN ('IMPORTS', 'READS_TABLE') UNION ALL SELECT target, source FROM edges WHERE type IN ('IMPORTS', 'READS_TABLE'))
+WITH {GRAPH}, b AS (SELECT source AS node, target AS other FROM edges WHERE type IN ('IMPORTS', 'READS_TABLE') UNION ALL SELECT target, source FROM edges WHERE type IN ('IMPORTS', 'READS_TABLE'))
 SELECT node, other, row_number() OVER (PARTITION BY node ORDER BY other)::INT AS place FROM (SELECT DISTINCT node, other FROM b) QUALIFY place <= 8""")
 def co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight nodes that share an import or a table with each node, in the order of their names."""
@@ -139,7 +140,7 @@ def co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_GRAPH}, imps AS (SELECT DISTINCT 'src.' || name || CASE WHEN n % 2 = 0 THEN '_extra' ELSE '' END AS imp FROM s WHERE kind = 'class'), named AS (SELECT id, name FROM nodes WHERE type IN ('CLASS', 'FUNCTION'))
+WITH {GRAPH}, imps AS (SELECT DISTINCT 'src.' || name || CASE WHEN n % 2 = 0 THEN '_extra' ELSE '' END AS imp FROM s WHERE kind = 'class'), named AS (SELECT id, name FROM nodes WHERE type IN ('CLASS', 'FUNCTION'))
 SELECT imp AS import, id FROM imps JOIN named ON contains(imp, name)""")
 def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols that imports may mean; imports are made of class names, some with more behind."""
@@ -151,7 +152,7 @@ def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_GRAPH}, chain AS (SELECT source, target FROM edges WHERE type = 'IMPORTS' UNION ALL SELECT 'app/' || regexp_extract(target, '[0-9]+$'), source FROM edges WHERE type = 'IMPORTS' AND starts_with(target, 'lib')),
+WITH {GRAPH}, chain AS (SELECT source, target FROM edges WHERE type = 'IMPORTS' UNION ALL SELECT 'app/' || regexp_extract(target, '[0-9]+$'), source FROM edges WHERE type = 'IMPORTS' AND starts_with(target, 'lib')),
 d1 AS (SELECT DISTINCT source AS node FROM chain WHERE target = 'lib1') SELECT node FROM d1 UNION SELECT source FROM chain WHERE target IN (SELECT node FROM d1)""")
 def transitive_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What imports a library, directly or by one step more; applications that import the files are added."""
@@ -161,7 +162,7 @@ def transitive_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_GRAPH}, step AS (SELECT target AS node, source AS other FROM edges UNION SELECT source, target FROM edges WHERE type IN ('TESTS', 'CALLS', 'IMPORTS')), own AS (SELECT id, trim(regexp_replace(file, '[^A-Za-z0-9_./-]', '-', 'g'), '-') AS file FROM nodes WHERE file IS NOT NULL),
+WITH {GRAPH}, step AS (SELECT target AS node, source AS other FROM edges UNION SELECT source, target FROM edges WHERE type IN ('TESTS', 'CALLS', 'IMPORTS')), own AS (SELECT id, trim(regexp_replace(file, '[^A-Za-z0-9_./-]', '-', 'g'), '-') AS file FROM nodes WHERE file IS NOT NULL),
 c1 AS (SELECT DISTINCT other AS node FROM step WHERE node = 'table-t1' AND other <> 'table-t1'), f1 AS (SELECT DISTINCT coalesce(file, node) AS node FROM c1 LEFT JOIN own ON id = node),
 c2 AS (SELECT DISTINCT other AS node FROM step JOIN f1 USING (node) WHERE other <> 'table-t1' AND other NOT IN (SELECT node FROM c1)) SELECT 'table-t1' AS node UNION ALL SELECT node FROM c1 UNION ALL SELECT node FROM c2""")
 def effect_cone(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,14 +33,19 @@ def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("spans").cast("long").alias("n_chunks"), F.sha2(said.cast("binary"), 256).alias("spans_sha256"))
 
 
-@query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_orderkey % 11 END::INT AS passed, CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_orderkey % 7 END::INT AS failed,
-       CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_orderkey % 11 + o_orderkey % 7 + o_custkey % 5 END::INT AS collected FROM orders""")
+_SUMMARY = "(o_orderkey % 7) || ' failed, ' || (o_custkey % 5) || CASE WHEN o_custkey % 5 = 1 THEN ' error, ' ELSE ' errors, ' END || (o_orderkey % 11) || ' passed' || CASE WHEN o_orderkey % 3 = 0 THEN ', ' || o_custkey % 4 || ' skipped' ELSE '' END || CASE WHEN o_orderkey % 13 = 0 THEN '; No tests ran' ELSE ' in 1.10s' END"
+
+
+@query(rf"""
+WITH s AS (SELECT o_orderkey, {_SUMMARY} AS said FROM orders), n AS (SELECT *, NOT contains(lower(said), 'no tests ran') AS ran FROM s),
+c AS (SELECT o_orderkey, coalesce(CASE WHEN ran THEN try_cast(nullif(regexp_extract(said, '(\d+)\s+passed', 1), '') AS INT) END, 0) AS passed, coalesce(CASE WHEN ran THEN try_cast(nullif(regexp_extract(said, '(\d+)\s+failed', 1), '') AS INT) END, 0) AS failed,
+  coalesce(CASE WHEN ran THEN try_cast(nullif(regexp_extract(said, '(\d+)\s+errors', 1), '') AS INT) END, 0) AS error, coalesce(CASE WHEN ran THEN try_cast(nullif(regexp_extract(said, '(\d+)\s+skipped', 1), '') AS INT) END, 0) AS skipped FROM n)
+SELECT o_orderkey, passed, failed, error, skipped, passed + failed + error + skipped AS collected FROM c""")
 def test_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries written from order keys and read again."""
-    key = F.col("o_orderkey")
-    said = F.concat(key % 7, F.lit(" failed, "), F.col("o_custkey") % 5, F.lit(" errors, "), key % 11, F.lit(" passed"), F.when(key % 13 == 0, "; No tests ran").otherwise(" in 1.10s"))
-    return table(spark, sf_dir, "orders").select(key, text.test_counts(said).alias("c")).select("o_orderkey", "c.passed", "c.failed", "c.collected")
+    """Summaries written from keys of orders and read again; a single error isn't counted, as its word is another one."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("summary_orders")
+    said = spark.sql(f"SELECT o_orderkey, {_SUMMARY} AS said FROM summary_orders")
+    return said.select("o_orderkey", text.test_counts(F.col("said")).alias("c")).select("o_orderkey", "c.passed", "c.failed", "c.error", "c.skipped", "c.collected")
 
 
 @query("SELECT page_id, trim(regexp_replace(url, '[^A-Za-z0-9_./-]', '-', 'g'), '-') AS node FROM pages")
