@@ -134,10 +134,61 @@ FROM h LEFT JOIN m ON m.page_id = h.page_id AND m.n = 1
 """
 
 
+#: Windows of 100 bytes as hexadecimal digits, cut from blocks of 1000 bytes.
+_SQL2 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents
+), b AS (
+  SELECT doc_id, n, k, substr(h, k * 2000 + 1, 2198) AS block FROM (SELECT *, unnest(range(0, (n + 999) // 1000)) AS k FROM d)
+), w AS (
+  SELECT doc_id, k * 1000 + i AS pos, md5_number(substr(block, i * 2 + 1, 200)) AS key FROM (SELECT *, unnest(range(0, least(1000, n - 99 - k * 1000))) AS i FROM b)
+), r AS (
+  SELECT doc_id, pos FROM w QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1
+), m AS (
+  SELECT *, coalesce(pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 100, true)::INT AS fresh FROM r
+), g AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM m
+), s AS (
+  SELECT doc_id, span, min(pos) AS a, max(pos) + 100 AS z FROM g GROUP BY ALL
+), p AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s
+), c AS (
+  SELECT p.doc_id, sum(z - a)::BIGINT AS removed, count(*) AS spans, string_agg(substr(h, before * 2 + 1, (a - before) * 2), '' ORDER BY a) || substr(any_value(h), max(z) * 2 + 1) AS kept FROM p JOIN d USING (doc_id) GROUP BY p.doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
+"""
+
+#: All inner products; the search finds the same neighbours on small tables, where a block's verified vectors are most of it.
+_SQL5 = """
+WITH v AS (
+  SELECT vec_id, min(embedding) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e::DOUBLE[], v.e::DOUBLE[]) AS score FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""
+
+_SQL8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w
+), items AS (
+  SELECT doc_id, len(s) AS n, md5_number(unnest(s)) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+)
+SELECT doc_id, len(s) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept FROM sets JOIN reach ON a = doc_id GROUP BY doc_id, s
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [n for n in globals() if n.startswith("op")]
     return {n: globals()[n] for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _SQL3, "op7_url_filter": _SQL7}
+    return {"op2_suffix_dedup": _SQL2, "op3_mixing": _SQL3, "op5_ann": _SQL5, "op7_url_filter": _SQL7, "op8_near_dedup": _SQL8}
