@@ -6,8 +6,8 @@ associatively, so blocks of text are reduced side by side, their functions are c
 pass from known states marks where pieces begin. The slices go through cached pair merging; their byte offsets are
 kept, so that ids decode to the exact bytes and every token can be traced to its place.
 
-Null text counts as empty and gives no tokens; repeated rows are encoded alike; whole texts are encoded, of any length.
-Columns named like the results are replaced.
+Null text counts as empty and gives no tokens; repeated rows and ties are encoded alike; whole texts are encoded, of any
+length; an empty table gives an empty one. Columns named like the results are replaced.
 """
 
 from __future__ import annotations

@@ -5,8 +5,8 @@ url's path starts with the rule's path. Of the fitting rules the one with the lo
 of equal ones "block" wins. The trie goes to the executors only while the rules are small (`max_broadcast_bytes`);
 a larger rule set is joined on host suffixes instead.
 
-Null or malformed urls (no `://`) have an empty host and path and fit no rule. Ties, repeated rows and empty tables
-need no care: every row is judged by itself. Columns named like the results are replaced.
+Null or malformed urls (no `://`) have an empty host and path and fit no rule. Ties, repeated rows, empty tables and urls of
+any length need no care: every url is judged by itself. Columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -84,7 +84,9 @@ def filter_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", default:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = trie.value.match
         for batch in batches:
-            found = [match(h, p) for h, p in zip(batch.column(host_at).to_pylist(), batch.column(path_at).to_pylist(), strict=True)]
+            urls = list(zip(batch.column(host_at).to_pylist(), batch.column(path_at).to_pylist(), strict=True))
+            known = {u: match(*u) for u in set(urls)}  # each host and path of a batch is judged once
+            found = [known[u] for u in urls]
             more = [pa.array([x and x[0] for x in found], pa.string()), pa.array([x[1] if x else default for x in found], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "rule", "verdict"])
 
