@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscope.operators import quantiles
+from corpuscope.operators import order, quantiles
 from corpuscope.registry import query, table
 
 _PAIRS = "(SELECT l.doc_id, least(d.n_chars / 5000.0::DOUBLE, 1.0::DOUBLE) AS p, l.quality AS a FROM labels l JOIN documents d USING (doc_id))"
@@ -78,7 +78,7 @@ def router_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     most = rows.agg(F.max("latency").alias("most_latency"), F.max("ram").alias("most_ram"))
     utility = F.col("quality") - 0.2 * F.col("latency") / F.col("most_latency") - 0.1 * (F.col("ram") / F.col("most_ram")) / 2 - 0.5 * (1 - (0.7 * F.col("quality") + 0.3 * 0.5))
     rows = rows.crossJoin(F.broadcast(most)).select(key, F.round(utility, 9).alias("utility"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("utility"), "s_suppkey")).cast("long"))
+    return order.numbered(rows, [F.desc("utility"), F.col("s_suppkey")]).withColumn("place", F.col("place") + 1)
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import text
-from corpuscope.operators import dense, graph, ranking
+from corpuscope.operators import dense, graph, order, ranking
 from corpuscope.operators.cut import cut
 from corpuscope.registry import query, table
 
@@ -267,13 +267,14 @@ SELECT place, place::DOUBLE / n AS coverage, accuracy FROM s WHERE place % great
 def selective_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of the surest share of answers, at every twentieth.
 
-    Equal pairs are counted before they are ordered, so that the window sees at most one row for each distinct pair.
+    Equal pairs are counted before they are ordered, and sums run side by side in ranges of the order.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     pairs = table(spark, sf_dir, "labels").join(docs, "doc_id").select(F.least(F.col("n_chars") / 5000.0, F.lit(1.0)).alias("p"), F.col("quality").alias("a"))
     groups = pairs.groupBy("p", "a").agg(F.count("*").alias("size"))
-    running = Window.orderBy(F.desc("p"), F.desc("a")).rowsBetween(Window.unboundedPreceding, 0)
-    ends = groups.select("a", "size", F.sum("size").over(running).alias("last"), F.sum(F.col("a") * F.col("size")).over(running).alias("right"))
+    by = [F.desc("p"), F.desc("a")]
+    ends = order.running_total(order.running_total(groups, by, F.col("size"), "last"), by, F.col("a") * F.col("size"), "right")
+    ends = ends.select("a", "size", (F.col("last") + F.col("size")).alias("last"), (F.col("right") + F.col("a") * F.col("size")).alias("right"))
     total = groups.agg(F.sum("size").alias("n"))
     marks = ends.crossJoin(F.broadcast(total)).withColumn("step", F.greatest(F.lit(1), F.expr("n div 20")))  # total is one row
     first = F.expr("((last - size) div step + 1) * step")
