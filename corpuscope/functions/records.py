@@ -87,3 +87,11 @@ def instruction_text(system: Column, context: Column, instruction: Column, respo
     said = lambda c: F.coalesce(c, F.lit(""))
     whole = F.concat(said(system), F.lit("\n\n"), said(context), F.lit("\n\n### Instruction\n"), said(instruction), F.lit("\n\n### Response\n"), said(response))
     return F.regexp_replace(whole, r"^\s+|\s+$", "")
+
+
+def event_summary(kind: Column, attempt: Column, said: Column) -> Column:
+    """What an agent's event says in a line: plans and results in their words, others by attempt, kind or outcome."""
+    return (
+        F.when(kind == "PLAN", F.substring(said, 1, 120)).when(kind.isin("TOOL_REQUEST", "TOOL_RESULT", "PATCH"), F.concat(F.lit("attempt="), attempt)).when(kind.isin("COMPILE", "TEST"), said)
+        .when(kind == "REFLECT", F.concat(F.lit("kind="), said)).when(kind == "FINISH", F.concat(F.lit("outcome="), said)).otherwise(F.substring(attempt, 1, 120))
+    )

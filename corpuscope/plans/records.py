@@ -105,14 +105,30 @@ def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "idx", F.round(F.when(F.col("idx") % 2 == 1, F.col("n")).otherwise(-F.col("n")) / norm, 9).alias("value"))
 
 
-@query("""
-WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM documents),
-v AS (SELECT word, ('0x' || substr(sha256('7:1:2:' || word), 1, 8))::BIGINT AS a, ('0x' || substr(sha256('7:255:256:' || word), 1, 8))::BIGINT AS b FROM (SELECT DISTINCT word FROM w))
-SELECT d.doc_id, min(a) AS first_slot, min(b) AS last_slot FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN w USING (doc_id) LEFT JOIN v USING (word) GROUP BY d.doc_id""")
+_SIGNED = """
+w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM documents),
+v AS (SELECT word, slot, ('0x' || substr(sha256('7:' || 2 * slot + 1 || ':' || 2 * slot + 2 || ':' || word), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT word FROM w), (SELECT unnest(range(128)) AS slot)),
+m AS (SELECT doc_id, slot, min(h) AS h FROM w JOIN v USING (word) GROUP BY ALL)"""
+
+
+@query(f"""
+WITH {_SIGNED}, s AS (SELECT doc_id, sha256(string_agg(h::VARCHAR, ',' ORDER BY slot)) AS signature_sha256, min(h) FILTER (slot = 0) AS first_slot FROM m GROUP BY doc_id)
+SELECT d.doc_id, signature_sha256, first_slot FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN s USING (doc_id)""")
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 128 slots are made; the first and the last are shown."""
+    """Signatures of 128 slots, shown as their digest and first slot."""
     sigs = sketch.signatures(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return sigs.select("doc_id", F.get("signature", F.lit(0)).alias("first_slot"), F.get("signature", F.lit(127)).alias("last_slot"))
+    said = F.array_join(F.transform("signature", lambda x: x.cast("string")), ",")
+    return sigs.select("doc_id", F.sha2(said.cast("binary"), 256).alias("signature_sha256"), F.get("signature", F.lit(0)).alias("first_slot"))
+
+
+@query(f"""
+WITH {_SIGNED}, n AS (SELECT DISTINCT doc_id FROM documents)
+SELECT n.doc_id, count(*) FILTER (a.h = b.h) / 128.0::DOUBLE AS similarity FROM n LEFT JOIN m a ON a.doc_id = n.doc_id LEFT JOIN m b ON b.doc_id = n.doc_id + 1 AND b.slot = a.slot GROUP BY n.doc_id""")
+def signature_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of equal slots of each document and the one with the next number; 0 where either has none."""
+    sigs = cut(sketch.signatures(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    after = sigs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("signature").alias("next"))
+    return sigs.join(after, "doc_id", "left").select("doc_id", sketch.similarity(F.col("signature"), F.col("next")).alias("similarity"))
 
 
 @query()

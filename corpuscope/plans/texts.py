@@ -362,3 +362,61 @@ def top_attended(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.transform("embedding", lambda x, i: F.struct((-x.cast("double")).alias("x"), i.alias("i")))
     first = F.slice(F.array_sort(cells), 1, 5)
     return table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull()).select("vec_id", F.array_join(F.transform(first, lambda c: c["i"].cast("string")), ",").alias("top5"))
+
+
+_IMPORTED = {
+    "py": ("import a.b{0}\nfrom c{1} import d\nx = 1\n", ["a.b{0}", "c{1}"]), "js": ("import y from './m{0}'\nimport 'side'\nconst z = 1\nexport * from \"n{1}\"\n", ["./m{0}", "n{1}"]),
+    "go": ("package main{0}\nimport fmt\n", ["main{0}", "fmt"]), "rs": ("use std::io{0}\nuse a::b{1}\n", ["std::io{0}", "a::b{1}"]), "java": ("import static a.B.m{0};\nimport java.util.List{1};\n", ["a.B.m{0}"]), "txt": ("import nothing\n", []),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT o_orderkey, '{ext}' AS extension, {' || chr(44) || '.join(map(_name_sql, want)) or repr('')} AS imports FROM orders WHERE o_orderkey % 6 = {n}" for n, (ext, (_, want)) in enumerate(_IMPORTED.items())))
+def imports_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of files in five languages and one without any, dealt by order."""
+    out = None
+    for n, (extension, (source, _)) in enumerate(_IMPORTED.items()):
+        said = F.replace(F.replace(F.lit(source), F.lit("{0}"), F.col("o_custkey").cast("string")), F.lit("{1}"), (F.col("o_orderkey") % 97).cast("string"))
+        rows = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 6 == n).select("o_orderkey", F.lit(extension).alias("extension"), F.array_join(code.imports(said, extension), ",").alias("imports"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""
+SELECT r_name AS suite, n_name AS task, count(DISTINCT o_orderkey) AS runs, count(*) AS metrics, round(sum(l_extendedprice), 2) AS total FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
+def metric_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """suites, tasks, runs and metrics joined along their keys; metrics are added up for each run before the joins."""
+    metrics = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("price"))
+    runs = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(metrics, "o_orderkey").join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), "c_custkey")
+    tasks = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("suite"), F.col("n_name").alias("task"))
+    return runs.join(tasks, "n_nationkey").groupBy("suite", "task").agg(F.count("*").alias("runs"), F.sum("n").alias("metrics"), F.round(F.sum("price"), 2).alias("total"))
+
+
+@query("""
+WITH l AS (SELECT vec_id, unnest(embedding[1:8])::DOUBLE AS x, unnest(range(8)) AS expert FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT vec_id, expert, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, expert) AS place FROM l), n AS (SELECT count(DISTINCT vec_id) AS n, -sum(p * ln(greatest(p, 1e-9))) / count(DISTINCT vec_id) AS entropy FROM p),
+e AS (SELECT expert, count(*) FILTER (place <= 2) AS usage, avg(p) AS mean_probability FROM p GROUP BY expert)
+SELECT expert::INT AS expert, usage, round(usage / n::DOUBLE, 9) AS load, round(mean_probability, 9) AS mean_probability, round(entropy, 6) AS entropy, round((SELECT 0.01 * avg((usage / n::DOUBLE - mean_probability) * (usage / n::DOUBLE - mean_probability)) FROM e), 9) AS balance_loss FROM e, n""")
+def expert_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight components of a vector as logits of experts: how often each is among the best two, entropy and balance of routing."""
+    logits = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull()).select("vec_id", logits.alias("x"))
+    rows = rows.withColumn("total", F.aggregate("x", F.lit(0.0), lambda a, x: a + F.exp(x)))
+    chosen = F.transform(F.slice(F.array_sort(F.transform("x", lambda x, i: F.struct((-x).alias("x"), i.alias("i")))), 1, 2), lambda c: c["i"])
+    each = rows.select(F.posexplode(F.transform("x", lambda x: F.exp(x) / F.col("total"))).alias("expert", "p"), chosen.alias("chosen"))
+    experts = each.groupBy("expert").agg(F.count_if(F.array_contains("chosen", F.col("expert"))).alias("usage"), F.avg("p").alias("mean"), F.count("*").alias("n"), F.sum(F.col("p") * F.log(F.greatest(F.col("p"), F.lit(1e-9)))).alias("plogp"))
+    experts = experts.withColumn("load", F.col("usage") / F.col("n"))
+    whole = experts.agg((-F.sum("plogp") / F.max("n")).alias("entropy"), (0.01 * F.avg(F.pow(F.col("load") - F.col("mean"), F.lit(2.0)))).alias("loss"))
+    out = experts.crossJoin(F.broadcast(whole))  # one row
+    return out.select("expert", "usage", F.round("load", 9).alias("load"), F.round("mean", 9).alias("mean_probability"), F.round("entropy", 6).alias("entropy"), F.round("loss", 9).alias("balance_loss"))
+
+
+_EVENTS = ["PLAN", "TOOL_REQUEST", "PATCH", "TEST", "REFLECT", "FINISH", "NOTE"]
+
+
+@query(f"""
+WITH e AS (SELECT event_id, {_pick_sql(_EVENTS, 'event_id')} AS type, json_extract_string(props, '$.k') AS k, event_type FROM events)
+SELECT event_id, type, CASE type WHEN 'PLAN' THEN substr(event_type, 1, 120) WHEN 'TOOL_REQUEST' THEN 'attempt=' || k WHEN 'PATCH' THEN 'attempt=' || k WHEN 'TEST' THEN event_type WHEN 'REFLECT' THEN 'kind=' || event_type WHEN 'FINISH' THEN 'outcome=' || event_type ELSE substr(k, 1, 120) END AS summary FROM e""")
+def event_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line for each event of an agent, by its type; what is of no known type is cut at 120 characters."""
+    rows = table(spark, sf_dir, "events").select("event_id", _pick(_EVENTS, "event_id").alias("type"), F.get_json_object("props", "$.k").alias("k"), "event_type")
+    return rows.select("event_id", "type", records.event_summary(F.col("type"), F.col("k"), F.col("event_type")).alias("summary"))

@@ -30,3 +30,13 @@ def unique(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 def sink(df: DataFrame, path: str, checkpoint: str, mode: str = "append", fmt: str = "parquet") -> StreamingQuery:
     """Everything that is there now, then stop."""
     return df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
+def parsed_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """Lines of JSON (column value) as columns of the schema, with an error for those that can't be parsed; blank lines go.
+
+    A bad line is a row with an error, on streams and tables alike, and never stops the others.
+    """
+    rows = lines.where(F.trim("value") != "").select("value", F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    fields = [f.name for f in rows.schema["r"].dataType.fields if f.name != "_corrupt"]
+    return rows.select(*(F.col(f"r.{f}").alias(f) for f in fields), F.when(F.col("r._corrupt").isNotNull(), F.concat(F.lit("bad line: "), F.substring("value", 1, 200))).alias("error"))

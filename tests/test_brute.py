@@ -90,3 +90,22 @@ def test_embedded_json(spark):
         return out
 
     assert [None if v is None else [json.loads(x) for x in v] for v in got] == [scan(said[0]), [], None, scan(said[3]), [{"k": 1}], []]
+
+
+def test_retargeted_patch(spark):
+    diff = "diff --git a/x/a.py b/x/a.py\n--- a/x/a.py\n+++ b/x/a.py\n@@ -1 +1 @@\n-a\n+b"
+    row = spark.createDataFrame([(diff,)], "d string").select(candidates.retargeted(F.col("d"), F.lit("src/a.py")).alias("d"), candidates.target_fault(F.col("d"), F.array(F.lit("src/a.py"))).alias("f")).first()
+    assert row.d == "diff --git a/src/a.py b/src/a.py\n--- a/src/a.py\n+++ b/src/a.py\n@@ -1 +1 @@\n-a\n+b" and row.f is None
+
+
+def test_bad_lines_do_not_stop_a_stream(spark, tmp_path):
+    from corpuscope.streaming import telemetry
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('{"step": 1, "loss": 0.5}\n\n{broken\n{"step": 2}\n')
+    stream = telemetry.parsed_lines(spark.readStream.text(str(tmp_path / "in")), "step int, loss double")
+    job = stream.writeStream.format("memory").queryName("lines").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    got = sorted(map(tuple, spark.table("lines").collect()), key=repr)
+    batch = sorted(map(tuple, telemetry.parsed_lines(spark.read.text(str(tmp_path / "in")), "step int, loss double").collect()), key=repr)
+    assert got == batch == sorted([(1, 0.5, None), (2, None, None), (None, None, "bad line: {broken")], key=repr)
