@@ -71,7 +71,9 @@ def drop_reason(flags: Column, path: Column) -> Column:
 
 def word_shingles(tokens: Column, size: int = 5) -> Column:
     """Runs of `size` tokens, joined by blanks; fewer tokens have none."""
-    return F.when(F.size(tokens) >= size, F.transform(F.sequence(F.lit(1), F.size(tokens) - (size - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - (size - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(size)), " "))
+    # An array of one, so that the tokens are found once and not for each run.
+    return F.element_at(F.transform(F.array(tokens), lambda t: F.when(F.size(t) >= size, runs(t)).otherwise(F.array().cast("array<string>"))), 1)
 
 
 def chunk_id(path: Column, start: Column, text: Column) -> Column:

@@ -136,13 +136,14 @@ def fused_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-{_DENSE} SELECT query, 'BM25' AS stage, doc, rank, round(score, 4) AS score FROM bm UNION ALL SELECT query, 'dense', doc, rank, round(score, 4) + 0.0 FROM de UNION ALL SELECT query, 'RRF', doc, rank, round(score, 4) FROM fu""")
+{_DENSE}, every AS (SELECT query, 'BM25' AS stage, doc, rank, score FROM bm UNION ALL SELECT query, 'dense', doc, rank, score FROM de UNION ALL SELECT query, 'RRF', doc, rank, score FROM fu)
+SELECT query, stage, doc, rank, floor(score * 10000 + 0.5) / 10000 AS score FROM every""")
 def fusion_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of each list and of their fusion, one row for each stage and candidate."""
     lists = {"BM25": cut(_bm25(spark, sf_dir)), "dense": cut(_dense(spark, sf_dir))}
     lists["RRF"] = _fused(list(lists.values()))
-    row = lambda stage, df: df.select("query", F.lit(stage).alias("stage"), "doc", F.col("rank").cast("long").alias("rank"), (F.round(F.round("score", 6), 4) + 0.0).alias("score"))
-    stages = [row(stage, df) for stage, df in lists.items()]
+    row = lambda stage, df, digits: df.select("query", F.lit(stage).alias("stage"), "doc", F.col("rank").cast("long").alias("rank"), (F.floor(F.round("score", digits) * 10000 + 0.5) / 10000).alias("score"))
+    stages = [row(stage, df, 9 if stage == "RRF" else 6) for stage, df in lists.items()]
     return stages[0].unionByName(stages[1]).unionByName(stages[2])
 
 
