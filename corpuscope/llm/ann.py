@@ -8,11 +8,16 @@ rehashing: no other hash table is needed for a larger radius); each vector count
 exceed the collision threshold these are verified by their exact inner product, in double precision, on the original
 vectors.
 
-Work is dealt in blocks: every block of queries meets every block of rows once, blocks being of bounded size, and the
-best of each block are ranked at last. Nothing is capped: of vectors that tie all are verified.
+Work is dealt in tiles: a block of rows with a group of query blocks, all of bounded size; the best of each block of rows
+are ranked at last. Nothing is capped: windows widen until VERIFIED * k vectors of a block collide often enough, and of
+vectors that tie all are verified. As a block is a smaller and smaller part of a growing table, it holds fewer and fewer of
+the true neighbours, so what is verified per block stays a multiple of k. Counting collisions takes a fixed part of an
+operation for each query and row; on vectors without any structure single projections leave no rows out before that, so
+work grows with queries times rows.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of another than the most
-frequent length. Rows that repeat an id count once (with the smallest vector). An empty table gives an empty result.
+frequent length. Rows that repeat an id count once (with the smallest vector). Only the id and the vector are read, so other
+columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +34,12 @@ from corpuscope.llm.shared import batches_of, stored
 PROJECTIONS = 128
 #: Buckets of equal size in a sorted array; windows are widened by whole buckets.
 BUCKETS = 64
-#: Share of the arrays in which a vector must collide, and share of a block's vectors that must do so.
-THRESHOLD, ENOUGH = 0.75, 0.25
+#: Share of the arrays in which a vector must collide, and how many vectors of a block must do so, as a multiple of k.
+THRESHOLD, VERIFIED = 0.75, 16
 #: First half width of a window and its growth, in standard deviations of a random unit vector's projection.
-WIDTH, GROWTH = 0.8, 1.08
-#: Vectors in a block of rows and of queries.
-ROWS, QUERIES = 8192, 512
+WIDTH, GROWTH = 0.5, 1.15
+#: Vectors in a block of rows and of queries, and query blocks in a tile.
+ROWS, QUERIES, GROUP = 8192, 512, 64
 
 
 def projections(dim: int) -> np.ndarray:
@@ -103,7 +108,7 @@ class Index:
         n, dim = self.x.shape
         qd = q.astype(np.float64)
         hq = (qd / np.sqrt((qd**2).sum(1))[:, None] @ self.directions[:, :dim].T).astype(np.float32)
-        need = min(n, max(int(ENOUGH * n), 8 * k))
+        need = min(n, VERIFIED * k)
         for c in range(0, len(q), 64):
             width, open_ = WIDTH, np.arange(c, min(c + 64, len(q)))
             while len(open_):
@@ -158,9 +163,16 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", ve
     query_blocks = blocks(asked, -(-count // every), QUERIES, "query-blocks")
     kind = "<f4" if "float" in rows.schema["embedding"].dataType.simpleString() else "<f8"
     last = max(1, -(-count // ROWS)) - 1
-    # Every block of queries goes to every block of rows: an equi-join on the row block's number.
-    dealt = query_blocks.select(F.col("ids").alias("query_ids"), F.col("values").alias("query_values"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("block"))
-    pairs = dealt.join(row_blocks, "block").select("query_ids", "query_values", "ids", "values")
+    # A tile is a block of rows and a group of query blocks; tiles are many enough that none holds more than GROUP blocks.
+    last = max(1, -(-count // ROWS)) - 1
+    groups = max(1, -(-(-(-count // every)) // (QUERIES * GROUP)))
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("block")
+    dealt = query_blocks.select((F.col("block") % groups).alias("group"), F.col("ids").alias("query_ids"), F.col("values").alias("query_values"), every_block)
+    rows_of = row_blocks.select("block", "ids", "values", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
+    # Tiles are few bytes and much work: a fixed number of partitions keeps them from being merged into a few tasks.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (last + 1) * groups)
+    spread = lambda side: side.repartition(tasks, "block", "group")
+    pairs = spread(dealt).join(spread(rows_of).hint("merge"), ["block", "group"]).select("query_ids", "query_values", "ids", "values")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, held = None, None
