@@ -7,7 +7,9 @@ one) is removed. Strings never cross documents, and all are judged on the input.
 2. In every window of LENGTH bytes the smallest hash of its GRAM-byte strings picks an anchor, so equal windows have
    equal anchors. Chunks exchange the hashes of their distinct anchors; what occurs once can't be in a repeat.
 3. The suffixes at the other anchors are sorted in each chunk. Anchors with equal surroundings are settled there (all but
-   the first are repeats); the rest leaves as sorted, front-coded runs, dealt by ranges of suffixes.
+   the first are repeats); the rest leaves as sorted, front-coded runs, dealt by ranges of suffixes. An anchor whose gram
+   stands in very many chunks leaves as up to SIDES rows, each for the windows that hold the gram at some of its places:
+   these windows share most of what is around the gram, and are dealt by it, so a common line is many groups.
    Very large corpora have several classes of grams, each with its own ranges.
 4. Each range merges its runs with a loser tree that knows the common prefix of every player with the last winner and
    compares only what follows it. Suffixes that share a gram end up side by side; their windows are compared by hash,
@@ -47,6 +49,8 @@ SLICE, SLICES = 6000, 8
 #: Bytes of text for each range of suffixes, and ranges for each class of grams: beyond that there are several classes, each
 #: with ranges of its own, so that neither a range nor the list of splitters grows with the corpus.
 RANGE_BYTES, RANGES = 16 << 20, 4096
+#: Chunks from which on a gram's windows are dealt by what they share, and into how many kinds they fall by the gram's place.
+HOT_CHUNKS, SIDES = 4096, 4
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -153,7 +157,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def repeated_anchors(chunks: DataFrame, total: int) -> DataFrame:
-    """chunk, bucket and a bit for each of the chunk's distinct hashes in the bucket: does it occur elsewhere too?"""
+    """chunk, bucket and bits for each of the chunk's distinct hashes in the bucket: does it occur elsewhere too, in very many chunks?"""
     bits = max(6, int(total * 0.03 * 8 / BUCKET_BYTES).bit_length())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,19 +189,27 @@ def repeated_anchors(chunks: DataFrame, total: int) -> DataFrame:
         again = np.zeros(len(grams), bool)
         again[order] = np.append(same, False) | np.append(False, same)
         again |= twice
+        first = np.flatnonzero(np.append(True, ~same))
+        sizes = np.diff(np.append(first, len(grams)))
+        hot = np.zeros(len(grams), bool)
+        hot[order] = np.repeat(sizes > HOT_CHUNKS, sizes)
         cut = np.cumsum(lens) - lens
         keep = np.add.reduceat(again, cut) > 0
-        flags = [np.packbits(again[a : a + n]).tobytes() for a, n, k in zip(cut, lens, keep, strict=True) if k]
+        bits_of = lambda x: pa.array([np.packbits(x[a : a + n]).tobytes() for a, n, k in zip(cut, lens, keep, strict=True) if k], pa.binary())
         kept = pa.array(keep)
-        return pa.table({"chunk": t.column("chunk").filter(kept), "bucket": t.column("bucket").filter(kept), "flags": pa.array(flags, pa.binary())})
+        return pa.table({"chunk": t.column("chunk").filter(kept), "bucket": t.column("bucket").filter(kept), "flags": bits_of(again), "hot": bits_of(hot)})
 
     sent = chunks.select("chunk", "ids", "lens", "packed").mapInArrow(send, "bucket bigint, chunk bigint, grams binary, twice binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "chunk bigint, bucket bigint, flags binary").withColumn("bits", F.lit(bits))
+    return sent.groupBy("bucket").applyInArrow(meet, "chunk bigint, bucket bigint, flags binary, hot binary").withColumn("bits", F.lit(bits))
 
 
 # --- sorted runs ---------------------------------------------------------------------------------------------------
 
 
+#: Least and largest distance of the gram from the start of the windows of each kind.
+_SIDES = [(a, a + (LENGTH - GRAM) // SIDES - 1 if k + 1 < SIDES else LENGTH - GRAM) for k in range(SIDES) for a in [k * ((LENGTH - GRAM) // SIDES)]]
+
+
 def run_of(texts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, bytes]:
     """Front coding of sorted suffixes (rows padded to LENGTH): common prefixes with the row before, and what follows."""
     common = np.zeros(len(texts), np.uint8)
@@ -221,14 +233,15 @@ def sorted_runs(chunks: DataFrame, flags: DataFrame, splitters: list[int], class
             data, offsets, ids = opened(row)
             place, first, last, gram = anchors(data, offsets)
             grams, which = np.unique(gram, return_inverse=True)
-            dup = np.zeros(len(grams), bool)
+            dup, common = np.zeros(len(grams), bool), np.zeros(len(grams), bool)
             bits = right.column("bits")[0].as_py()
             bucket = (grams >> np.uint64(64 - bits)).astype(np.int64)
-            for b, f in zip(right.column("bucket").to_pylist(), right.column("flags").to_pylist(), strict=True):
+            for b, f, c in zip(*(right.column(x).to_pylist() for x in ("bucket", "flags", "hot")), strict=True):
                 lo, hi = np.searchsorted(bucket, [b, b + 1])
                 dup[lo:hi] = np.unpackbits(np.frombuffer(f, np.uint8))[: hi - lo]
+                common[lo:hi] = np.unpackbits(np.frombuffer(c, np.uint8))[: hi - lo]
             pick = dup[which]
-            place, first, last, gram = place[pick], first[pick], last[pick], gram[pick]
+            place, first, last, gram, hot = place[pick], first[pick], last[pick], gram[pick], common[which][pick]
             end = last + LENGTH
             doc = np.searchsorted(offsets, place, side="right") - 1
             rank = np.empty(len(ids), np.int64)
@@ -242,13 +255,24 @@ def sorted_runs(chunks: DataFrame, flags: DataFrame, splitters: list[int], class
             settled, kept = order[again], order[~again]
             if len(settled):
                 out.append((None, pack(np.stack([doc[settled], (first - offsets[doc])[settled], (end - offsets[doc])[settled]]).astype("<i4").tobytes())))
-            place, first, end, doc, gram = place[kept], first[kept], end[kept], doc[kept], gram[kept]
+            place, first, end, doc, gram, hot = place[kept], first[kept], end[kept], doc[kept], gram[kept], hot[kept]
+            part = np.searchsorted(limits, (prefixes(data, place) >> np.uint64(1)).astype(np.int64), side="right") + (gram % np.uint64(classes)).astype(np.int64) * (len(limits) + 1)
+            rows_of = [(x[~hot] for x in (place, first, end, doc, part))]
+            for side, (low, high) in enumerate(_SIDES if hot.any() else ()):
+                # Windows that hold the gram `low` to `high` bytes from their start hold all from `low` bytes before it on.
+                start = np.maximum(first[hot], place[hot] - high)
+                stop = np.minimum(end[hot] - LENGTH, place[hot] - low)
+                some = start <= stop
+                at, start, stop = place[hot][some], start[some], stop[some]
+                a, z = at - low, at + LENGTH - high
+                shared = mixed(mixed((sums[z] - sums[a]) * powers(INVERSE, len(data))[a]) + np.uint64(side))
+                rows_of.append((at, start, stop + LENGTH, doc[hot][some], classes * (len(limits) + 1) + (shared % np.uint64(classes * (len(limits) + 1))).astype(np.int64)))
+            place, first, end, doc, part = map(np.concatenate, zip(*rows_of, strict=True))
             # Sorted suffixes at the anchors, as far as windows reach.
             lens = end - place
             column = np.arange(LENGTH)
             rows = np.where(column < lens[:, None], data[np.minimum(place[:, None] + column, len(data) - 1)], 0).astype(np.uint8)
             order = np.argsort(rows.view(f"S{LENGTH}").ravel(), kind="stable")
-            part = np.searchsorted(limits, (prefixes(data, place) >> np.uint64(1)).astype(np.int64), side="right") + (gram % np.uint64(classes)).astype(np.int64) * (len(limits) + 1)
             order = order[np.argsort(part[order], kind="stable")]
             part, rows, lens, place, first, doc = part[order], rows[order], lens[order], place[order], first[order], doc[order]
             for p in np.unique(part):

@@ -52,6 +52,7 @@ def test_a_line_in_many_surroundings(spark, monkeypatch, small):
         monkeypatch.setattr(suffix_dedup, "RANGES", 4)
         monkeypatch.setattr(suffix_dedup, "SLICE", 7)
         monkeypatch.setattr(suffix_dedup, "SLICES", 2)
+        monkeypatch.setattr(suffix_dedup, "HOT_CHUNKS", 3)
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 7))
     line = "This very line of more than thirty-two bytes stands in every text of the table. "
