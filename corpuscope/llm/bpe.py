@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.shared import batches_of, parts, utf8
+from corpuscope.llm.shared import batches_of, given_back, parts, utf8
 
 # --- classes and symbols -------------------------------------------------------------------------------------------
 
@@ -125,6 +125,13 @@ def cuts(symbol: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out.T.reshape(-1)[:n])
 
 
+def distinct_slices(raw: bytes, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct pieces (large_binary) between the starts, the last of which is the end, and each piece's number among them."""
+    slices = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(raw)])
+    coded = slices.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets at which pieces begin (and the end of all), and each text's first piece (and the number of pieces)."""
     if not len(data):
@@ -297,6 +304,7 @@ class Vocabulary:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: b for b, i in self.ranks.items()}
+        self.token_bytes = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.large_binary())
         ranks = self.ranks
         pairs = np.array([(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks], np.int64)
         self.merger = Merger(np.array([ranks[bytes([b])] for b in range(256)]), pairs[:, 0], pairs[:, 1], pairs[:, 2], pairs[:, 2])
@@ -310,8 +318,21 @@ class Vocabulary:
         it = iter(zip(cut, cut[1:], strict=False))
         return [w.to_bytes(4, "little") if w is not None else raw.__getitem__(slice(*next(it))) for w in whole]
 
-    def decoded(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def encoded(self, raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and the offsets of each piece's ids; each distinct piece is looked up once."""
+        found, which = distinct_slices(raw, starts)
+        packed = self.cache.all_of(found.to_pylist())
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        flat, base = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(sizes) - sizes
+        ends = np.cumsum(sizes[which])
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(base[which] - (ends - sizes[which]), sizes[which])
+        return flat[at], np.concatenate([[0], ends])
+
+    def decoded(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The bytes that ids stand for, and the offset of each token in them (and the end)."""
+        rows = self.token_bytes.take(pa.array(ids.astype(np.int64)))
+        offsets = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+        return memoryview(rows.buffers()[2] or b""), offsets
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
@@ -345,34 +366,30 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        sizes = None
-        for batch in batches:
+        decodes = {"decoded_sha256", "decoded", "token_offsets"}.intersection(outputs)
+        for batch in given_back(batches):
             data, offsets = utf8(batch.column(len(names)))
             got: dict[str, list] = {k: [] for k in outputs}
             for a, b in parts(offsets):
                 part = data[offsets[a] : offsets[b]]
                 starts, first = pieces(part, offsets[a : b + 1] - offsets[a])
-                raw, cut, rows = part.tobytes(), starts.tolist(), first.tolist()
-                encoded = vocab.cache.all_of([raw[x:y] for x, y in zip(cut, cut[1:], strict=False)])
-                for k in range(b - a):
-                    packed = b"".join(encoded[rows[k] : rows[k + 1]])
-                    ids = np.frombuffer(packed, "<u4")
+                every, at = vocab.encoded(part.tobytes(), starts)
+                rows = at[first]
+                plain, places = vocab.decoded(every) if decodes else (None, None)
+                for x, y in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+                    ids = every[x:y]
                     if "n_tokens" in got:
-                        got["n_tokens"].append(len(ids))
+                        got["n_tokens"].append(y - x)
                     if "ids" in got:
                         got["ids"].append(ids.astype(np.int32))
                     if "ids_sha256" in got:
-                        got["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
+                        got["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
                     if "decoded_sha256" in got:
-                        got["decoded_sha256"].append(hashlib.sha256(vocab.decoded(ids)).hexdigest())
+                        got["decoded_sha256"].append(hashlib.sha256(plain[places[x] : places[y]]).hexdigest())
                     if "decoded" in got:
-                        got["decoded"].append(vocab.decoded(ids).decode())
+                        got["decoded"].append(bytes(plain[places[x] : places[y]]).decode())
                     if "token_offsets" in got:
-                        if sizes is None:
-                            sizes = np.zeros(max(vocab.tokens) + 1, np.int32)
-                            for i, x in vocab.tokens.items():
-                                sizes[i] = len(x)
-                        got["token_offsets"].append((np.cumsum(sizes[ids]) - sizes[ids]).astype(np.int32))
+                        got["token_offsets"].append((places[x:y] - places[x]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(got[k], OUTPUTS[k][1]) for k in outputs)], [*names, *outputs])
 
     return src.mapInArrow(run, ", ".join([*fields, *(f"`{k}` {OUTPUTS[k][0]}" for k in outputs)]))

@@ -89,6 +89,13 @@ def parts(offsets: np.ndarray, most: int = WORK_BYTES) -> Iterator[tuple[int, in
         a = b
 
 
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; between them Arrow's allocator returns what it holds unused, so that workers stay small."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of uint64 values (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
