@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.bpe import Merger, pieces
-from corpuscope.llm.shared import batches_of, parts, stored, utf8
+from corpuscope.llm.bpe import Merger, distinct_slices, pieces
+from corpuscope.llm.shared import batches_of, given_back, parts, stored, utf8
 
 #: Bounds of the broadcast table: pre-tokens, and bytes of each.
 HOT, HOT_BYTES = 1 << 17, 64
@@ -51,8 +51,8 @@ class Counter:
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))).encode()) if special else None
 
-    def frequencies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pre-tokens; document, pre-token's number and frequency of each pair; special tokens of each document."""
+    def occurrences(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pre-tokens (large_binary); document and pre-token's number of each occurrence; special tokens of each document."""
         raw = data.tobytes()
         n = len(offsets) - 1
         extra = np.zeros(n, np.int64)
@@ -67,13 +67,17 @@ class Counter:
             owner = np.searchsorted(offsets, bounds[:-1], side="right") - 1
             owner[[k for k, x in enumerate(marks[:-1]) if x in inside]] = -1
         starts, first = pieces(data, bounds)
-        cut = starts.tolist()
-        slices = [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-        number: dict[bytes, int] = {}
-        which = np.fromiter((number.setdefault(p, len(number)) for p in slices), np.int64, len(slices))
         row = np.repeat(owner, np.diff(first))
-        pairs, times = np.unique(row[row >= 0] * max(1, len(number)) + which[row >= 0], return_counts=True)
-        return list(number), pairs // max(1, len(number)), pairs % max(1, len(number)), times, extra
+        found, which = distinct_slices(raw, starts)
+        if (row < 0).any():  # special strings; as pre-tokens, their own letters have no occurrences
+            row, which = row[row >= 0], which[row >= 0]
+        return found, row, which, extra
+
+    def frequencies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pre-tokens; document, pre-token's number and frequency of each pair; special tokens of each document."""
+        found, row, which, extra = self.occurrences(data, offsets)
+        pairs, times = np.unique(row * max(1, len(found)) + which, return_counts=True)
+        return found, pairs // max(1, len(found)), pairs % max(1, len(found)), times, extra
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -91,11 +95,11 @@ def piece_counts(texts: DataFrame, path: str) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = counter(path)
-        for batch in batches:
+        for batch in given_back(batches):
             data, offsets = utf8(batch.column(0))
             for a, b in parts(offsets):
-                found, _, which, times, _ = tool.frequencies(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(np.bincount(which, times, len(found)).astype(np.int64))], ["piece", "freq"])
+                found, _, which, _ = tool.occurrences(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([found.cast(pa.binary()), pa.array(np.bincount(which, minlength=len(found)))], ["piece", "freq"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = counter(path)
@@ -135,14 +139,14 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, known = counter(path), shared.value
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in given_back(batches):
             data, offsets = utf8(batch.column(1))
             for a, b in parts(offsets):
                 found, doc, which, times, total = tool.frequencies(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                tokens = np.fromiter((known.get(p, -1) for p in found), np.int64, len(found))[which]
+                tokens = np.fromiter((known.get(p, -1) for p in found.to_pylist()), np.int64, len(found))[which]
                 np.add.at(total, doc[tokens >= 0], (times * tokens)[tokens >= 0])
                 cold = np.flatnonzero(tokens < 0)
-                rest = pa.StructArray.from_arrays([pa.array([found[w] for w in which[cold].tolist()], pa.binary()), pa.array(times[cold], pa.int64())], ["piece", "times"])
+                rest = pa.StructArray.from_arrays([found.take(pa.array(which[cold])).cast(pa.binary()), pa.array(times[cold], pa.int64())], ["piece", "times"])
                 rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[cold], np.arange(b - a + 1)), pa.int32()), rest)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b - a)), batch.column(0).slice(a, b - a), pa.array(np.diff(offsets[a : b + 1])), pa.array(total), rest], ["row", "kept", "n_bytes", "known", "rest"])
                 row += b - a
