@@ -36,8 +36,8 @@ PROJECTIONS = 128
 BUCKETS = 64
 #: Share of the arrays in which a vector must collide, and how many vectors of a block must do so, as a multiple of k.
 THRESHOLD, VERIFIED = 0.75, 16
-#: First half width of a window and its growth, in standard deviations of a random unit vector's projection.
-WIDTH, GROWTH = 0.5, 1.15
+#: First half width of the first windows in a block, and their growth, in standard deviations of a random unit vector's projection.
+WIDTH, GROWTH = 0.5, 1.1
 #: Vectors in a block of rows and of queries, and query blocks in a tile.
 ROWS, QUERIES, GROUP = 8192, 512, 64
 
@@ -109,11 +109,14 @@ class Index:
         qd = q.astype(np.float64)
         hq = (qd / np.sqrt((qd**2).sum(1))[:, None] @ self.directions[:, :dim].T).astype(np.float32)
         need = min(n, VERIFIED * k)
+        first = WIDTH
         for c in range(0, len(q), 64):
-            width, open_ = WIDTH, np.arange(c, min(c + 64, len(q)))
+            width, enough, open_ = first, None, np.arange(c, min(c + 64, len(q)))
             while len(open_):
                 hits = self.colliding(hq[open_], width)
                 done = hits.sum(1) >= need
+                if enough is None and done.any():
+                    enough = width
                 for i, hit in zip(open_[done].tolist(), hits[done], strict=True):
                     good = np.flatnonzero(hit)
                     good = good[self.ids[good] != qids[i]]
@@ -126,6 +129,8 @@ class Index:
                     yield int(qids[i]), self.ids[good[best]], scores[best]
                 open_ = open_[~done]
                 width *= GROWTH
+            # The next queries' windows begin a step below what was enough for the first of these, or narrower if all were at once.
+            first = enough / GROWTH if enough > first else first / GROWTH**2
 
 
 def blocks(vectors: DataFrame, count: int, size: int, name: str) -> DataFrame:
@@ -169,8 +174,8 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", ve
     every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("block")
     dealt = query_blocks.select((F.col("block") % groups).alias("group"), F.col("ids").alias("query_ids"), F.col("values").alias("query_values"), every_block)
     rows_of = row_blocks.select("block", "ids", "values", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
-    # Tiles are few bytes and much work: a fixed number of partitions keeps them from being merged into a few tasks.
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (last + 1) * groups)
+    # Tiles are few bytes and much work: a fixed number of partitions, more than tiles, keeps them from sharing a task.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * (last + 1) * groups)
     spread = lambda side: side.repartition(tasks, "block", "group")
     pairs = spread(dealt).join(spread(rows_of).hint("merge"), ["block", "group"]).select("query_ids", "query_values", "ids", "values")
 
