@@ -65,7 +65,7 @@ def pack_chunks(docs: DataFrame, text: str, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, made = TaskContext.get().partitionId(), 0
         ids, lens, held = [], [], []
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=6).compress  # kept and dealt twice
 
         def chunk() -> pa.RecordBatch:
             nonlocal made
@@ -221,12 +221,12 @@ def run_of(texts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def sorted_runs(chunks: DataFrame, flags: DataFrame, splitters: list[int], classes: int) -> DataFrame:
-    """Two kinds of rows by chunk: sorted runs for a range (part), and repeats settled in the chunk (part null)."""
+    """Two kinds of rows by chunk: sorted runs for a range (part), and repeats settled in the chunk (part below 0)."""
     limits = np.array(splitters, np.int64)
     fields = "part int, chunk bigint, payload binary"
 
     def make(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int | None, bytes]] = []
+        out: list[tuple[int, bytes]] = []
         pack = zstandard.ZstdCompressor(level=3).compress
         if len(right) and len(left):
             row = left.to_pylist()[0]
@@ -254,7 +254,7 @@ def sorted_runs(chunks: DataFrame, flags: DataFrame, splitters: list[int], class
             again = np.append(False, (gram[order][1:] == gram[order][:-1]) & (around[order][1:] == around[order][:-1]))
             settled, kept = order[again], order[~again]
             if len(settled):
-                out.append((None, pack(np.stack([doc[settled], (first - offsets[doc])[settled], (end - offsets[doc])[settled]]).astype("<i4").tobytes())))
+                out.append((-1 - key[0].as_py() % (classes * (len(limits) + 1)), pack(np.stack([doc[settled], (first - offsets[doc])[settled], (end - offsets[doc])[settled]]).astype("<i4").tobytes())))
             place, first, end, doc, gram, hot = place[kept], first[kept], end[kept], doc[kept], gram[kept], hot[kept]
             part = np.searchsorted(limits, (prefixes(data, place) >> np.uint64(1)).astype(np.int64), side="right") + (gram % np.uint64(classes)).astype(np.int64) * (len(limits) + 1)
             rows_of = [(x[~hot] for x in (place, first, end, doc, part))]
@@ -431,9 +431,11 @@ def window_repeats(parts: list[Run], base: np.ndarray, pick: np.ndarray, group:
 
 
 def merged_repeats(runs: DataFrame) -> DataFrame:
-    """Repeats found among the runs of each range: chunk and payload (document, from, to)."""
+    """Repeats found among the runs of each range, and those settled before: chunk and payload (document, from, to)."""
 
     def merge(t: pa.Table) -> pa.Table:
+        if t.column("part")[0].as_py() < 0:
+            return t.select(["chunk", "payload"])
         t = t.sort_by("chunk")
         parts = [Run(c, p) for c, p in zip(t.column("chunk").to_pylist(), t.column("payload").to_pylist(), strict=True)]
         base = np.cumsum([0, *(r.n for r in parts)]).tolist()
@@ -464,7 +466,7 @@ def merged_repeats(runs: DataFrame) -> DataFrame:
             payloads.append(zstandard.ZstdCompressor(level=3).compress(hits[1:, hits[0] == c].astype("<i4").tobytes()))
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "payload": pa.array(payloads, pa.binary())})
 
-    return runs.where("part is not null").groupBy("part").applyInArrow(merge, "chunk bigint, payload binary")
+    return runs.groupBy("part").applyInArrow(merge, "chunk bigint, payload binary")
 
 
 # --- removal -------------------------------------------------------------------------------------------------------
@@ -512,6 +514,5 @@ def dedup_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", wit
     shares = [k / ranges for k in range(1, ranges)]
     splitters = chunks.select(F.explode("sample").alias("x")).agg(F.percentile_approx("x", shares or [0.5], 20_000)).first()[0] or []
     flags = repeated_anchors(chunks, total)
-    runs = stored(sorted_runs(chunks, flags, splitters, classes), "runs")
-    repeats = runs.where("part is null").select("chunk", "payload").union(merged_repeats(runs))
+    repeats = merged_repeats(sorted_runs(chunks, flags, splitters, classes))
     return removed(chunks, repeats, with_text).withColumnRenamed("id", key)
