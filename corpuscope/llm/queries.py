@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import ann, bpe, fingerprint, langid, mixing, neardup, pii, suffix_dedup, token_count, url_filter
+from corpuscope.llm import ann, bpe, conversation, decontamination, fingerprint, langid, mixing, neardup, pii, resampling, suffix_dedup, token_count, url_filter
 
 URL_RULES = [
     ("allow", "com", "/"),
@@ -82,6 +82,33 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults that a checksum of their id and turn deals out: rows dropped, emptied, unpunctuated, repeated or said by the user."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    draw = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn")).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), draw.alias("draw")).where("draw <> 0")
+    text = F.when(F.col("draw") == 1, "").when(F.col("draw") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("draw") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("draw") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    repaired, _ = conversation.repair(damaged(rows), with_turns=False)
+    every = rows.select(F.col("conv_id").alias("conv")).distinct()
+    out = every.join(repaired, F.col("conv").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=1, buckets=10_000, least_words=20, percent=10, seed=2024)
+
+
 _SQL3 = r"""
 WITH d AS (
   SELECT doc_id, source IS NULL AS sn, coalesce(source, '') AS s,
@@ -184,6 +211,113 @@ WITH RECURSIVE w AS (
 SELECT doc_id, len(s) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept FROM sets JOIN reach ON a = doc_id GROUP BY doc_id, s
 """
 
+_SQL11 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), d AS (
+  SELECT row_number() OVER () AS row, doc_id, w, len(w) AS n FROM w
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), r AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS m, unnest(list_transform(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1), lambda s: array_to_string(w[s : s + 9], ' '))) AS run FROM i
+), l AS (
+  SELECT DISTINCT m FROM r
+), o AS (
+  SELECT row, m, s, array_to_string(w[s : s + m - 1], ' ') AS run FROM (SELECT row, w, m, unnest(range(1, n - m + 2)) AS s FROM d, l WHERE n >= m)
+), h AS (
+  SELECT row, s, o.m, run, item_id FROM o JOIN r USING (run)
+), c AS (
+  SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(s, s + m)) AS k FROM h) GROUP BY row
+), t AS (
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY row
+)
+SELECT doc_id, n AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (row) LEFT JOIN t USING (row)
+"""
+
+#: The table of checksums by byte, as a list.
+_CRC = """crc AS (
+  SELECT list(c ORDER BY b) AS crc FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS t(b))
+)"""
+
+
+def _crc32(text: str) -> str:
+    """The checksum of a text's UTF-8 bytes, where crc is in scope."""
+    byte = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), i * 2 + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {byte}), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295)"
+
+
+#: Row by row, for each state the cheapest and least edits that lead to it; two ways of one cost are never a prefix of each other.
+_SQL12 = rf"""
+WITH RECURSIVE {_CRC}, o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS draw FROM conversations, crc
+), g AS (
+  SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE draw WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM o WHERE draw <> 0
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM g
+), f AS (
+  SELECT *, left(role, 1) AS r, coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault
+  FROM n
+), e AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal, max(n) AS last
+  FROM f GROUP BY conv_id
+), way AS (
+  SELECT conv_id, 0::BIGINT AS n, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS o, {{'c': 1000000000::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS s, {{'c': 3::BIGINT, 'a': 'I', 't': ['user:']}} AS u, {{'c': 6::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}} AS a FROM e
+  UNION ALL
+  SELECT conv_id, n, o, s, u, list_min([a, {{'c': u.c + 3, 'a': u.a || 'I', 't': list_append(u.t, 'assistant:')}}]) AS a FROM (
+    SELECT conv_id, n, o, s, list_min([u, {{'c': o.c + 3, 'a': o.a || 'I', 't': list_append(o.t, 'user:')}}, {{'c': s.c + 3, 'a': s.a || 'I', 't': list_append(s.t, 'user:')}}, {{'c': a.c + 3, 'a': a.a || 'I', 't': list_append(a.t, 'user:')}}]) AS u, a FROM (
+      SELECT conv_id, n,
+        {{'c': o.c + 4, 'a': o.a || 'D', 't': o.t}} AS o,
+        list_min([{{'c': s.c + 4, 'a': s.a || 'D', 't': s.t}}, {{'c': o.c + ks, 'a': o.a || 'K', 't': list_append(o.t, said)}}]) AS s,
+        list_min([{{'c': u.c + 4, 'a': u.a || 'D', 't': u.t}}, {{'c': o.c + ku, 'a': o.a || 'K', 't': list_append(o.t, said)}}, {{'c': s.c + ku, 'a': s.a || 'K', 't': list_append(s.t, said)}}, {{'c': a.c + ku, 'a': a.a || 'K', 't': list_append(a.t, said)}},
+                  {{'c': o.c + kr, 'a': o.a || 'R', 't': list_append(o.t, 'user:' || text)}}, {{'c': s.c + kr, 'a': s.a || 'R', 't': list_append(s.t, 'user:' || text)}}, {{'c': a.c + kr, 'a': a.a || 'R', 't': list_append(a.t, 'user:' || text)}}]) AS u,
+        list_min([{{'c': a.c + 4, 'a': a.a || 'D', 't': a.t}}, {{'c': u.c + ka, 'a': u.a || 'K', 't': list_append(u.t, said)}}, {{'c': u.c + kr, 'a': u.a || 'R', 't': list_append(u.t, 'assistant:' || text)}}]) AS a
+      FROM (
+        SELECT way.conv_id, f.n, o, s, u, a, text, role || ':' || text AS said, base + CASE r WHEN 's' THEN 0 ELSE 1000000000 END AS ks, base + CASE r WHEN 'u' THEN 0 ELSE 1000000000 END AS ku, base + CASE r WHEN 'a' THEN 0 ELSE 1000000000 END AS ka, base + 3 AS kr
+        FROM way JOIN (SELECT *, CASE fault WHEN 't' THEN 3 WHEN '' THEN 0 ELSE 1000000000 END AS base FROM f) AS f ON f.conv_id IS NOT DISTINCT FROM way.conv_id AND f.n = way.n + 1
+      )
+    )
+  )
+), best AS (
+  SELECT e.*, list_min([o, a]) AS w FROM way JOIN e ON e.conv_id IS NOT DISTINCT FROM way.conv_id AND n = last
+)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.c, 0) AS cost,
+  coalesce(w.a, '') AS audit, sha256(coalesce(array_to_string(w.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS d LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+_SQL13 = rf"""
+WITH {_CRC}, d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), f AS (
+  SELECT row, w, count(*) AS n FROM (SELECT row, unnest(w) AS w FROM d) GROUP BY row, w
+), v AS (
+  SELECT w, {_crc32("w")} % 10000 AS bucket FROM (SELECT w FROM f UNION SELECT w FROM i), crc
+), s AS (
+  SELECT bucket, sum(n) AS s FROM f JOIN v USING (w) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM i JOIN v USING (w) GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (ss + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * (tt + 10000.0::DOUBLE))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), (SELECT coalesce(sum(s), 0) AS ss FROM s), (SELECT coalesce(sum(t), 0) AS tt FROM t)
+), m AS (
+  SELECT row, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS total FROM f JOIN v USING (w) JOIN g USING (bucket) GROUP BY row
+), k AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+    floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS gumbel
+  FROM d LEFT JOIN m USING (row)
+), p AS (
+  SELECT doc_id, n_features, weight, weight + gumbel AS score, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + gumbel DESC, doc_id NULLS FIRST, n_features) END AS place,
+    10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS drawn
+  FROM k
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM p
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [n for n in globals() if n.startswith("op")]
@@ -191,4 +325,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": _SQL2, "op3_mixing": _SQL3, "op5_ann": _SQL5, "op7_url_filter": _SQL7, "op8_near_dedup": _SQL8}
+    return {"op2_suffix_dedup": _SQL2, "op3_mixing": _SQL3, "op5_ann": _SQL5, "op7_url_filter": _SQL7, "op8_near_dedup": _SQL8, "op11_decontamination": _SQL11, "op12_conversation_repair": _SQL12, "op13_resampling": _SQL13}

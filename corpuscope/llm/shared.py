@@ -157,3 +157,37 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(1, size):
         out = mixed(out * np.uint64(0xD1342543DE82EF95) + words[k : n - size + 1 + k])
     return np.unique(out)
+
+
+_ALNUM = np.arange(256) >= 128
+_ALNUM[48:58] = _ALNUM[97:123] = True
+
+
+def word_slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of each row, A-Z lower-cased before.
+
+    Gives the words' bytes without what lies between, the offsets of the words in them (one more than words), and the
+    range of words of each row (one more than rows). A word never crosses rows.
+    """
+    low = _LOWER[data]
+    solid = _ALNUM[low]
+    fresh = solid.copy()
+    fresh[1:] &= ~solid[:-1]
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]
+    fresh[first] = solid[first]
+    starts = np.flatnonzero(fresh)
+    flat = low[solid]
+    at = np.empty(len(starts) + 1, np.int64)
+    at[:-1] = np.flatnonzero(fresh[solid])
+    at[-1] = len(flat)
+    return flat, at, np.searchsorted(starts, offsets)
+
+
+def slice_hashes(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the slices flat[at[i]:at[i + 1]], none of them empty."""
+    if len(at) < 2:
+        return np.zeros(0, np.uint64)
+    lens = np.diff(at)
+    inside = np.arange(len(flat)) - np.repeat(at[:-1], lens)
+    values = (flat.astype(np.uint64) + np.uint64(1)) * powers(0x9E3779B97F4A7C15, int(lens.max()))[inside]
+    return mixed(np.add.reduceat(values, at[:-1]) + lens.astype(np.uint64))
