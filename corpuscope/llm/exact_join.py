@@ -20,6 +20,8 @@ from corpuscope.llm.shared import shingle_hashes, stored, word_hashes
 
 #: Bits of a bucket number, 64-bit words of a set's parity bits, and sizes in a band are within this factor.
 BUCKET_BITS, PARITY, BAND = 18, 8, 1.05
+#: Rows of a shingle and band that meet in one task at most, unless more than MOST_HOT keys would have more.
+BLOCK, MOST_HOT = 8192, 50_000
 
 
 def set_of(packed: bytes, shingle: int) -> np.ndarray:
@@ -80,28 +82,35 @@ def _rows(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
 def similar_candidates(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs a < b of different components, all similar ones among them; texts: rep, component and compressed text.
 
-    Rows of a shingle are parted by bands of sizes, so that a shingle of very many sets is many keys, and rows that no
-    other row of their shingle suits, or that see their own component only, go before any pair is made.
+    Rows of a shingle are parted by bands of sizes, and rows that no other row of their shingle suits, or that see
+    their own component only, go before. Sizes, positions and parity bits are compared inside the join, so that only pairs
+    which may be similar leave it. A shingle and band of very many rows is dealt in blocks: each block of one side meets
+    each of the other in a task of its own.
     """
-    rows = stored(_rows(texts, shingle, percent), "prefixes")
     parity = [f"p{k}" for k in range(PARITY)]
-    few = ["token", "rep", "component", "size", "least", "most"]
+    rows = stored(_rows(texts, shingle, percent), "prefixes")
     of = rows.groupBy("token").agg(F.min("size").alias("smallest"), F.max("most").alias("widest"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    of = of.where("c0 < c1")
-    rows_of = rows.select(few).join(of, "token").where("most >= smallest and size <= widest")
+    live = stored(rows.join(of.where("c0 < c1"), "token").where("most >= smallest and size <= widest").select(*rows.columns), "prefixes-live")
     band = lambda x: F.floor(F.log(x) / float(np.log(BAND))).cast("long")
-    live = stored(rows_of.select(few), "prefixes-live")
-    one = live.select("token", band(F.col("size")).alias("band"), *(F.col(c).alias(f"{c}_a") for c in few[1:]))
+    one = live.withColumn("band", band(F.col("size")))
     # Partners at most as large as b: the pair is found from its larger side, or from the larger id if sizes are equal.
-    reach = F.sequence(band(F.col("least")), band(F.least("most", "size")))
-    two = live.where("least <= most").select("token", F.explode(reach).alias("band"), *(F.col(c).alias(f"{c}_b") for c in few[1:]))
+    two = live.where("least <= most").withColumn("band", F.explode(F.sequence(band(F.col("least")), band(F.least("most", "size")))))
+
+    # At most MOST_HOT keys have more than `block` rows, so their table has a bound.
+    block = max(BLOCK, live.count() // MOST_HOT)
+    hot = one.select("token", "band").union(two.select("token", "band")).groupBy("token", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    hot = F.broadcast(stored(hot, "hot-prefixes"))
+
+    def dealt(df: DataFrame, mine: str, other: str) -> DataFrame:
+        """Each row goes to the block of its id on its own side, and to all blocks of the other side."""
+        df = df.join(hot, ["token", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        return df.withColumn(mine, F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    ends = lambda df, end: df.select("i", "j", "token", "band", *(F.col(c).alias(f"{c}_{end}") for c in rows.columns if c != "token"))
+    left, right = ends(dealt(one, "i", "j"), "a"), ends(dealt(two, "j", "i"), "b")
     fit = "component_a <> component_b and (size_a < size_b or (size_a = size_b and rep_a < rep_b)) and size_a <= most_b and size_b <= most_a and size_a >= least_b"
-    pairs = one.join(two.hint("merge"), ["token", "band"]).where(fit).select("rep_a", "rep_b", "size_a", "size_b").distinct()
     # Sets that differ in d shingles differ in at most d parity bits.
-    bits = rows.select("rep", *parity).distinct()
-    for end in "ab":
-        pairs = pairs.join(bits.select(F.col("rep").alias(f"rep_{end}"), *(F.col(p).alias(f"{p}_{end}") for p in parity)), f"rep_{end}")
-    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in parity), F.lit(0))
-    total = F.col("size_a") + F.col("size_b")
-    pairs = pairs.where(apart * (100 + percent) <= total * (100 - percent))
-    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    apart = " + ".join(f"bit_count({p}_a ^ {p}_b)" for p in parity)
+    same = " and ".join(f"l.{c} = r.{c}" for c in ("token", "band", "i", "j"))
+    pairs = left.alias("l").join(right.alias("r").hint("merge"), F.expr(f"{same} and {fit} and ({apart}) * {100 + percent} <= (size_a + size_b) * {100 - percent}"))
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()

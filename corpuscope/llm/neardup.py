@@ -11,7 +11,8 @@ where they aren't connected yet. Components of confirmed links come from star co
 
 Classes are numbered by rows of a stored table, in the order of their smallest ids, so an id may repeat: rows that repeat
 id and text share their class, rows that repeat an id with other texts are judged by their own texts. Null and empty texts
-have empty sets and are linked with nothing; rows with a null id stay apart. Whole texts of any length are compared. Extra
+have empty sets and are linked with nothing; rows with a null id stay apart. Which rows lie in which partition changes
+nothing: windows reach over any number of partitions, and keys that tie are ordered by the class's number. Whole texts of any length are compared. Extra
 columns may have any names. An empty table gives an empty result.
 """
 
@@ -116,7 +117,9 @@ def _arrays(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return t.column("tree").to_numpy(), fixed("key", 2 * DEPTH), t.column("rep").to_numpy(), t.column("n_shingles").to_numpy(), fixed("sketch", SKETCH)
 
 
-_FOUND = "a bigint, b bigint, border int, side int, tree int, key binary, rep bigint, n_shingles bigint, sketch binary"
+#: Rows at the ends of a partition, and all rows of one that holds less than a window.
+TAIL, HEAD, WHOLE = 0, 1, 2
+_FOUND = "a bigint, b bigint, part int, side int, tree int, key binary, rep bigint, n_shingles bigint, sketch binary"
 
 
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
@@ -132,15 +135,15 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
         null = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *null], names)
 
-    def border(t: pa.Table, at: int, side: int) -> Iterator[pa.RecordBatch]:
+    def border(t: pa.Table, part: int, side: int) -> Iterator[pa.RecordBatch]:
         m = len(t)
-        cols = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([at] * m, pa.int32()), pa.array([side] * m, pa.int32()), *(t.column(c).combine_chunks() for c in _ROWS)]
+        cols = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([part] * m, pa.int32()), pa.array([side] * m, pa.int32()), *(t.column(c).combine_chunks() for c in _ROWS)]
         yield from pa.Table.from_arrays(cols, names).to_batches()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
         held, base, kept, waiting = 0, 0, None, []
-        started = False
+        started = small = False
         batches = iter(batches)
         while True:
             batch = next(batches, None)
@@ -150,7 +153,8 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
                 t = pa.Table.from_batches(waiting)
                 waiting = []
                 if not started:
-                    yield from border(t.slice(0, NEAR + 2), pid - 1, 1)
+                    small = batch is None and len(t) < NEAR + 2
+                    yield from border(t.slice(0, NEAR + 2), pid, WHOLE if small else HEAD)
                     started = True
                 if kept is not None:
                     t = pa.concat_tables([kept, t])
@@ -160,18 +164,24 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
                 held = len(kept)
             if batch is None:
                 break
-        if kept is not None:
-            yield from border(kept.slice(max(0, len(kept) - NEAR - 2)), pid, 0)
+        if kept is not None and not small:
+            yield from border(kept.slice(max(0, len(kept) - NEAR - 2)), pid, TAIL)
 
     found = stored(forest.mapInArrow(scan, _FOUND), "forest")
 
     def across(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("side", "ascending"), ("tree", "ascending"), ("key", "ascending"), ("rep", "ascending")])
-        a, b = near_pairs(*_arrays(t), 1, int((t.column("side").to_numpy() == 0).sum()), percent)
+        t = t.sort_by([("tree", "ascending"), ("key", "ascending"), ("rep", "ascending")])
+        a, b = near_pairs(*_arrays(t), 1, int((t.column("side").to_numpy() == TAIL).sum()), percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    borders = found.where("border is not null").groupBy("border").applyInArrow(across, "a bigint, b bigint")
-    pairs = found.where("border is null").select("a", "b").union(borders).where("a <= b")
+    # A gap lies between two partitions that hold a window each: the end of one, all smaller partitions between, the start
+    # of the other. So neighbours meet however the rows are dealt; a row for each partition tells which gap is which.
+    ends = found.where("part is not null")
+    gaps = ends.groupBy("part").agg((F.min("side") != WHOLE).cast("int").alias("wide"))
+    gaps = gaps.withColumn("gap", F.sum("wide").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)))
+    near_gap = ends.join(gaps.select("part", "gap"), "part").withColumn("gap", F.col("gap") - (F.col("side") == HEAD).cast("int"))
+    borders = near_gap.select("gap", "side", *_ROWS).groupBy("gap").applyInArrow(across, "a bigint, b bigint")
+    pairs = found.where("part is null").select("a", "b").union(borders).where("a <= b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("hits"))
 
 
