@@ -6,18 +6,18 @@ one) is removed. Strings never cross documents, and all are judged on the input.
 1. Texts are packed into chunks, the unit of all later work.
 2. In every window of LENGTH bytes the smallest hash of its GRAM-byte strings picks an anchor, so equal windows have
    equal anchors. Chunks exchange the hashes of their distinct anchors; what occurs once can't be in a repeat.
-3. The suffixes at the other anchors are sorted in each chunk. Anchors with equal surroundings are settled there (all but
-   the first are repeats); the rest leaves as sorted, front-coded runs, dealt by ranges of suffixes. An anchor whose gram
-   stands in very many chunks leaves as up to SIDES rows, each for the windows that hold the gram at some of its places:
-   these windows share most of what is around the gram, and are dealt by it, so a common line is many groups.
-   Very large corpora have several classes of grams, each with its own ranges.
-4. Each range merges its runs with a loser tree that knows the common prefix of every player with the last winner and
+3. Anchors with equal surroundings hold the same windows, so all but the first are repeats: they are settled within each
+   chunk, then between chunks, which exchange hashes of their surroundings and learn which of them are the first.
+4. The suffixes at the anchors that are left are sorted in each chunk and leave as sorted, front-coded runs, dealt by ranges of
+   suffixes. An anchor whose gram stands in more than HOT_CHUNKS chunks leaves as up to SIDES rows, each for the windows that
+   hold the gram at some of its places: these windows share most of what is around the gram, and are dealt by it, so a
+   common line is many groups. Very large corpora have several classes of grams, each with its own ranges.
+5. Each range merges its runs with a loser tree that knows the common prefix of every player with the last winner and
    compares only what follows it. Suffixes that share a gram end up side by side; their windows are compared by hash,
    and all but the earliest of equal windows are repeats.
-5. Repeats go back to their chunks, where the bytes they cover are cut out.
+6. Repeats go back to their chunks, where the bytes they cover are cut out.
 
-The earliest copy of anything is kept by every chunk before runs are exchanged, so a string that all documents hold
-arrives once from each chunk, not once from each document.
+So of a passage that all documents hold one copy reaches a range, and what a task is sent for it is a hash from each chunk.
 
 Null text counts as empty. A null id comes before all others; rows that repeat an id are ordered by where they are stored.
 Texts shorter than LENGTH stay whole, longer ones are a chunk of their own, of any length. No column but text and key is
@@ -50,7 +50,7 @@ SLICE, SLICES = 6000, 8
 #: with ranges of its own, so that neither a range nor the list of splitters grows with the corpus.
 RANGE_BYTES, RANGES = 16 << 20, 4096
 #: Chunks from which on a gram's windows are dealt by what they share, and into how many kinds they fall by the gram's place.
-HOT_CHUNKS, SIDES = 4096, 4
+HOT_CHUNKS, SIDES = 64, 4
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -220,39 +220,104 @@ def run_of(texts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, bytes]:
     return common, texts[(column >= common[:, None]) & (column < lens[:, None])].tobytes()
 
 
+class Repeated:
+    """A chunk's anchors whose gram occurs elsewhere too. Of those with equal surroundings, all but the first are settled."""
+
+    def __init__(self, row: dict, flags: list[dict]) -> None:
+        self.data, self.offsets, self.ids = opened(row)
+        data, offsets, ids = self.data, self.offsets, self.ids
+        place, first, last, gram = anchors(data, offsets)
+        grams, which = np.unique(gram, return_inverse=True)
+        dup, common = np.zeros(len(grams), bool), np.zeros(len(grams), bool)
+        for x in flags:
+            lo, hi = np.searchsorted((grams >> np.uint64(64 - x["bits"])).astype(np.int64), [x["bucket"], x["bucket"] + 1])
+            dup[lo:hi] = np.unpackbits(np.frombuffer(x["flags"], np.uint8))[: hi - lo]
+            common[lo:hi] = np.unpackbits(np.frombuffer(x["hot"], np.uint8))[: hi - lo]
+        pick = dup[which]
+        place, first, last, gram, hot = place[pick], first[pick], last[pick], gram[pick], common[which][pick]
+        end = last + LENGTH
+        doc = np.searchsorted(offsets, place, side="right") - 1
+        rank = np.empty(len(ids), np.int64)
+        rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
+        around = mixed((sums[end] - sums[first]) * powers(INVERSE, len(data))[first]) + mixed((end - first).astype(np.uint64) << np.uint64(8) | (place - first).astype(np.uint64))
+        order = np.lexsort((place, rank[doc], around, gram))
+        again = np.append(False, (gram[order][1:] == gram[order][:-1]) & (around[order][1:] == around[order][:-1]))
+        self.settled, self.kept = order[again], order[~again]
+        self.sums, self.place, self.first, self.end, self.doc, self.gram, self.hot, self.around = sums, place, first, end, doc, gram, hot, around
+
+    def dealt(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The kept anchors in the order of their buckets by surroundings, and these buckets."""
+        bucket = (mixed(self.gram[self.kept] ^ mixed(self.around[self.kept])) >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return self.kept[order], bucket[order]
+
+
+def first_surroundings(chunks: DataFrame, flags: DataFrame, total: int) -> DataFrame:
+    """chunk, bucket and bits for each of the chunk's kept anchors in the bucket: does an earlier document have the same surroundings?"""
+    bits = max(6, int(total * 0.03 * 20 / BUCKET_BYTES).bit_length())
+
+    def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if len(right) and len(left):
+            r = Repeated(left.to_pylist()[0], right.to_pylist())
+            kept, bucket = r.dealt(bits)
+            for b, a, z in _spans(bucket):
+                k = kept[a:z]
+                rows.append((b, r.around[k].tobytes(), r.gram[k].astype("<u4").tobytes(), r.ids[r.doc[k]].astype("<i8").tobytes()))
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.table({"bucket": pa.array(cols[0], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), **{n: pa.array(c, pa.binary()) for n, c in zip(("around", "gram", "ids"), cols[1:], strict=True)}})
+
+    def meet(t: pa.Table) -> pa.Table:
+        flat = lambda name, kind: [np.frombuffer(x, kind) for x in t.column(name).to_pylist()]
+        around, lens = flat("around", np.uint64), np.array([len(x) // 8 for x in t.column("around").to_pylist()])
+        around, gram, ids = np.concatenate(around), np.concatenate(flat("gram", "<u4")), np.concatenate(flat("ids", "<i8"))
+        chunk = np.repeat(t.column("chunk").to_numpy(), lens)
+        order = np.lexsort((chunk, ids, gram, around))
+        later = np.zeros(len(around), bool)
+        later[order[1:]] = (around[order][1:] == around[order][:-1]) & (gram[order][1:] == gram[order][:-1])
+        cut = np.cumsum(lens) - lens
+        some = np.add.reduceat(later, cut) > 0
+        kept = pa.array(some)
+        return pa.table({"chunk": t.column("chunk").filter(kept), "bucket": t.column("bucket").filter(kept), "flags": pa.array([np.packbits(later[a : a + n]).tobytes() for a, n, k in zip(cut, lens, some, strict=True) if k], pa.binary())})
+
+    sent = chunks.select("chunk", "ids", "lens", "packed").groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(send, "bucket bigint, chunk bigint, around binary, gram binary, ids binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "chunk bigint, bucket bigint, flags binary").withColumn("bits", F.lit(bits))
+
+
+def _spans(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Value, start and end of each span of equal values."""
+    if len(values):
+        first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        yield from zip(values[first].tolist(), first.tolist(), [*first[1:].tolist(), len(values)], strict=True)
+
+
 def sorted_runs(chunks: DataFrame, flags: DataFrame, splitters: list[int], classes: int) -> DataFrame:
-    """Two kinds of rows by chunk: sorted runs for a range (part), and repeats settled in the chunk (part below 0)."""
+    """Two kinds of rows by chunk: sorted runs for a range (part), and repeats settled in the chunk (part below 0).
+
+    flags has the rows of repeated_anchors and those of first_surroundings, whose `hot` is null.
+    """
     limits = np.array(splitters, np.int64)
     fields = "part int, chunk bigint, payload binary"
 
     def make(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, bytes]] = []
         pack = zstandard.ZstdCompressor(level=3).compress
-        if len(right) and len(left):
-            row = left.to_pylist()[0]
-            data, offsets, ids = opened(row)
-            place, first, last, gram = anchors(data, offsets)
-            grams, which = np.unique(gram, return_inverse=True)
-            dup, common = np.zeros(len(grams), bool), np.zeros(len(grams), bool)
-            bits = right.column("bits")[0].as_py()
-            bucket = (grams >> np.uint64(64 - bits)).astype(np.int64)
-            for b, f, c in zip(*(right.column(x).to_pylist() for x in ("bucket", "flags", "hot")), strict=True):
-                lo, hi = np.searchsorted(bucket, [b, b + 1])
-                dup[lo:hi] = np.unpackbits(np.frombuffer(f, np.uint8))[: hi - lo]
-                common[lo:hi] = np.unpackbits(np.frombuffer(c, np.uint8))[: hi - lo]
-            pick = dup[which]
-            place, first, last, gram, hot = place[pick], first[pick], last[pick], gram[pick], common[which][pick]
-            end = last + LENGTH
-            doc = np.searchsorted(offsets, place, side="right") - 1
-            rank = np.empty(len(ids), np.int64)
-            rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-            # Anchors with the same surroundings: all but the earliest are repeats as a whole.
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
-            around = mixed((sums[end] - sums[first]) * powers(INVERSE, len(data))[first]) + mixed((end - first).astype(np.uint64) << np.uint64(8) | (place - first).astype(np.uint64))
-            order = np.lexsort((place, rank[doc], around, gram))
-            again = np.append(False, (gram[order][1:] == gram[order][:-1]) & (around[order][1:] == around[order][:-1]))
-            settled, kept = order[again], order[~again]
+        told = right.to_pylist()
+        if told and len(left):
+            r = Repeated(left.to_pylist()[0], [x for x in told if x["hot"] is not None])
+            data, offsets, ids, sums = r.data, r.offsets, r.ids, r.sums
+            place, first, end, doc, gram, hot = r.place, r.first, r.end, r.doc, r.gram, r.hot
+            settled, kept = r.settled, r.kept
+            if later := [x for x in told if x["hot"] is None]:
+                kept, bucket = r.dealt(later[0]["bits"])
+                repeat = np.zeros(len(kept), bool)
+                for x in later:
+                    lo, hi = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])
+                    repeat[lo:hi] = np.unpackbits(np.frombuffer(x["flags"], np.uint8))[: hi - lo]
+                # What a chunk settled itself repeats its own first one, which may be a repeat in turn.
+                settled, kept = np.concatenate([settled, kept[repeat]]), kept[~repeat]
             if len(settled):
                 out.append((-1 - key[0].as_py() % (classes * (len(limits) + 1)), pack(np.stack([doc[settled], (first - offsets[doc])[settled], (end - offsets[doc])[settled]]).astype("<i4").tobytes())))
             place, first, end, doc, gram, hot = place[kept], first[kept], end[kept], doc[kept], gram[kept], hot[kept]
@@ -513,6 +578,7 @@ def dedup_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", wit
     ranges = -(-ranges // classes)
     shares = [k / ranges for k in range(1, ranges)]
     splitters = chunks.select(F.explode("sample").alias("x")).agg(F.percentile_approx("x", shares or [0.5], 20_000)).first()[0] or []
-    flags = repeated_anchors(chunks, total)
-    repeats = merged_repeats(sorted_runs(chunks, flags, splitters, classes))
+    flags = stored(repeated_anchors(chunks, total), "flags")
+    later = first_surroundings(chunks, flags, total).select("chunk", "bucket", "flags", F.lit(None).cast("binary").alias("hot"), "bits")
+    repeats = merged_repeats(sorted_runs(chunks, flags.unionByName(later), splitters, classes))
     return removed(chunks, repeats, with_text).withColumnRenamed("id", key)
