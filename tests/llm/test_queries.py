@@ -13,6 +13,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -299,12 +300,20 @@ def test_pipeline(spark, sf, empty):
     # One row of each group stays, one with its smallest id; which of several such rows isn't laid down.
     kept = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), sf).collect()
     assert Counter(r.doc_id for r in kept) == Counter(r[0] for r in stay)
-    rows = [(r.doc_id, pii.masked(r.text), r.lang, r.source) for r in kept]
+    # Each text's language is what the model says of it, labelled or not.
+    labelled = [(r[1], r[2]) for r in documents() if r[1] and r[2] and (r[0] is None or zlib.crc32(str(r[0]).encode()) % 4 != 2)]
+    model = langid.train(spark.createDataFrame(labelled, "text string, lang string"))
+    said = dict(zip([r.text for r in kept], langid.predicted(model, pa.array([r.text for r in kept]))[0], strict=True))
+    assert all(said[t] == lang for d, t, lang, _ in documents() if d is not None and d < 120 and t in said)
+    rows = [(r.doc_id, pii.masked(r.text), said[r.text], r.source) for r in kept]
+    assert {None, "en"} <= {r[2] for r in documents() if r[1] in said}
     want = []
-    for (d, t, _, s), n in zip(rows, mixed(rows), strict=True):
+    for (d, t, lang, s), n in zip(rows, mixed(rows), strict=True):
         ids = lib.encode_ordinary(t)
-        want += [(d, s, len(ids), ids, sha(np.array(ids, "<u4").tobytes()), sha(t.encode()))] * n
-    same(corpus_pipeline.run(spark, sf).select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"), want)
+        want += [(d, lang, s, len(ids), ids, sha(np.array(ids, "<u4").tobytes()), sha(t.encode()))] * n
+    same(corpus_pipeline.run(spark, sf).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"), want)
     assert corpus_pipeline.run(spark, empty).count() == 0
+    clash = spark.createDataFrame([(1, "the cat and the dog", None, "s", 19, "mine", 7)], "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score int").unionByName(spark.createDataFrame([(0, "the cat", "en", "s", 7, "mine", 7)], "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score int"))
+    assert sorted(map(tuple, corpus_pipeline.language_stage(spark, clash, sf).collect())) == [(0, "the cat", "en", "s", 7, "mine", 7), (1, "the cat and the dog", "en", "s", 19, "mine", 7)]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).columns == ["doc_id", "text", "lang", "source", "n_chars"], name
