@@ -13,10 +13,16 @@ from corpuscope.llm.shared import drop_stored, stored, stored_count
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null texts and texts without a letter) go; null and repeated ids are kept."""
+    """`lang` becomes the predicted language, also where it was null; documents without a language go.
+
+    Those are null texts and texts without a letter. The model learns from the training fold's labels. Null and repeated ids
+    are kept, and so are columns named like a prediction.
+    """
+    free = lambda name: name if name not in docs.columns else free(f"{name}_")
+    lang, score = free("lang_pred"), free("score")
     model = langid.train(docs.where(langid.in_training(F.col("doc_id"))))
-    found = langid.identify(docs, model, lang_out="__lang", score_out="__score")
-    return found.where(F.col("__lang") != langid.UND).select(*docs.columns)
+    found = langid.identify(docs, model, lang_out=lang, score_out=score).where(F.col(lang) != langid.UND)
+    return found.withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +44,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the texts, and proof that they decode to the same bytes; null text counts as empty."""
+    """Language, source and ids of the texts, and proof that they decode to the same bytes; null text counts as empty."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode(docs, path, keep=("doc_id", "source"), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+    return bpe.encode(docs, path, keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
