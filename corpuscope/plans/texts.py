@@ -94,29 +94,62 @@ def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("conv_id", "turn", candidates.line_changes(broken(F.col("text")), broken(F.col("after"))).alias("changed"))
 
 
-_PROGRAMS = ["import os\ndef f(x):\n    if not x:\n        raise ValueError(1)\n    return int(x) + 1\n", "def g(n):\n    total = 0\n    for i in range(10):\n        total += i\n    return str(total)\n", "x = 1\nfrom a import b\nimport sys\ny = float(x) == 2\n", "pass"]
+# Programs that are written from an order's numbers: {0} is its customer, {1} its key.
+_PROGRAMS = [
+    "import os\ndef f(x):\n    if not x:\n        raise ValueError({0})\n    return int(x) + {1}\n",
+    "def g(n):\n    total = 0\n    for i in range({0}):\n        total += i\n    return str(total)\n",
+    "x = {0}\nfrom a import b\nimport sys\ny = float(x) == {1}\n",
+    "def h(a):\n    if a is not None:\n        b = a - {0}\n    return [1][:{1}] and a >= range(2, {0})\n",
+]
+_CODE = f"replace(replace({_pick_sql(_PROGRAMS, 'o_orderkey')}, '{{0}}', o_custkey::VARCHAR), '{{1}}', o_orderkey::VARCHAR) AS code"
+
+
+def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.replace(F.replace(_pick(_PROGRAMS, "o_orderkey"), F.lit("{0}"), F.col("o_custkey").cast("string")), F.lit("{1}"), F.col("o_orderkey").cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"))
 
 
 @query(rf"""
-WITH p AS (SELECT o_orderkey, {_pick_sql(_PROGRAMS, 'o_orderkey')} AS code FROM orders)
+WITH p AS (SELECT o_orderkey, {_CODE} FROM orders)
 SELECT o_orderkey, regexp_replace(code, '(?m)^import (\w)', 'import _missing_\1') AS broken_import, CASE WHEN contains(code, 'int(') THEN regexp_replace(code, 'int\(', 'float(') WHEN contains(code, 'float(') THEN regexp_replace(code, 'float\(', 'int(') WHEN contains(code, 'str(') THEN regexp_replace(code, 'str\(', 'int(') ELSE code END AS wrong_conversion,
   regexp_replace(regexp_replace(code, '\n$', ''), '(?m)^(\s*)return\b', '\1if True:' || chr(10) || '\1    pass  # unreachable' || chr(10) || '\1return') AS dead_code FROM p""")
 def plain_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mutations that draw no numbers; programs are dealt by order."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", _pick(_PROGRAMS, "o_orderkey").alias("code"))
+    """The mutations that draw no numbers, of a program for each order."""
     program = F.col("code")
-    return rows.select("o_orderkey", candidates.broken_import(program).alias("broken_import"), candidates.wrong_conversion(program).alias("wrong_conversion"), candidates.dead_code(program).alias("dead_code"))
+    return _programs(spark, sf_dir).select("o_orderkey", candidates.broken_import(program).alias("broken_import"), candidates.wrong_conversion(program).alias("wrong_conversion"), candidates.dead_code(program).alias("dead_code"))
+
+
+def _draw_sql(name: str, n: str) -> str:
+    return f"(('0x' || substr(md5(o_orderkey || ':{name}'), 1, 8))::BIGINT % ({n}))"
+
 
+def _respelled_sql(pattern: str, at: str, new: str) -> str:
+    """SQL for code with its match number `at` (from 0, {m} is the number of matches) spelled as `new`, where {x} is the match."""
+    found = f"regexp_extract_all(code, '{pattern}')"
+    m = f"greatest(1, len({found}))"
+    return f"array_to_string(list_transform(regexp_split_to_array(code, '{pattern}'), lambda b, i: b || CASE WHEN i - 1 = {at.format(m=m)} AND len({found}) > 0 THEN {new.format(x=f'{found}[i]')} ELSE coalesce({found}[i], '') END), '')"
 
-@query()  # mutations follow Python's generator; a test compares them one by one
+
+_OPPOSITE_SQL = "CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in candidates.OPPOSITE.items()) + " END"
+_OPERATORS_SQL = "[" + ", ".join(f"'{x}'" for x in candidates.OPERATORS) + "]"
+_CONSTANT_SQL = _respelled_sql(candidates.NUMBERS, _draw_sql("constant:place", "{m}"), f"({{x}}::BIGINT + ([1, -1, 2, -2])[{_draw_sql('constant:shift', '4')} + 1])::VARCHAR")
+
+
+@query(rf"""
+WITH p AS (SELECT o_orderkey, {_CODE} FROM orders),
+r AS (SELECT *, CASE WHEN regexp_matches(code, '\brange\(\d+\)') THEN regexp_replace(code, '\brange\(\d+\)', 'range(' || (regexp_extract(code, '\brange\((\d+)\)', 1)::BIGINT + 1) || ')')
+  WHEN regexp_matches(code, '\brange\(\d+,\s*\d+\)') THEN regexp_replace(code, '\brange\(\d+,\s*\d+\)', regexp_extract(code, '\b(range\(\d+,\s*)\d+\)', 1) || (regexp_extract(code, '\brange\(\d+,\s*(\d+)\)', 1)::BIGINT + 1) || ')') ELSE code END AS bound,
+  CASE WHEN regexp_matches(code, '\s*if\s+\w+\s+is\s+not\s+None:') THEN regexp_replace(code, '(?s)\s*if\s+\w+\s+is\s+not\s+None:\s*\n(.*?)\n\s*', repeat(chr(10), 3) || '    pass' || chr(10))
+  WHEN regexp_matches(code, '\s*if\s+not\s+\w+:') THEN regexp_replace(code, '(?s)\s*if\s+not\s+\w+:\s*\n(.*?)\n\s*raise', repeat(chr(10), 2) || '    pass' || chr(10)) ELSE code END AS unguarded,
+  {_CONSTANT_SQL} AS constant, {_respelled_sql(candidates.COMPARISONS, _draw_sql("comparison:place", "{m}"), _OPPOSITE_SQL)} AS opposite,
+  {_respelled_sql(candidates.OPERANDS, _draw_sql("operand:place", "{m}"), f"({_OPERATORS_SQL})[(list_position({_OPERATORS_SQL}, {{x}}) + {_draw_sql('operand:step', '6')}) % 7 + 1]")} AS operand FROM p),
+o AS (SELECT *, ([{", ".join(f"'{x}'" for x in candidates.DRAWN)}])[(o_orderkey % 5 + 1)::INT] AS operator, CASE o_orderkey % 5 WHEN 0 THEN bound WHEN 1 THEN opposite WHEN 2 THEN unguarded WHEN 3 THEN operand ELSE constant END AS bad FROM r)
+SELECT o_orderkey, 'Repair the bug.' AS instruction, operator, CASE WHEN bad = code THEN constant ELSE bad END AS bad_code, code AS fixed_code FROM o""")
 def repair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repair tasks, one for each order, of five mutations that draw numbers, seeded by the order."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", _pick(_PROGRAMS, "o_orderkey").alias("code"))
-    out = None
-    for n, name in enumerate(candidates.DRAWN):
-        mine = rows.where(F.col("o_orderkey") % len(candidates.DRAWN) == n).withColumn("operator", F.lit(name)).withColumn("bad_code", candidates.mutated(F.col("code"), name, F.col("o_orderkey")))
-        out = mine if out is None else out.unionByName(mine)
-    return out.select("o_orderkey", F.lit("Repair the bug.").alias("instruction"), "operator", "bad_code", F.col("code").alias("fixed_code"))
+    """Repair tasks, one for each order, of five mutations that draw by hashes, seeded by the order."""
+    names, n = list(candidates.DRAWN), F.col("o_orderkey") % len(candidates.DRAWN)
+    bad = F.coalesce(*(F.when(n == k, candidates.mutated(F.col("code"), name, F.col("o_orderkey"))) for k, name in enumerate(names)))
+    return _programs(spark, sf_dir).select("o_orderkey", F.lit("Repair the bug.").alias("instruction"), F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int")).alias("operator"), bad.alias("bad_code"), F.col("code").alias("fixed_code"))
 
 
 @query("""

@@ -5,7 +5,6 @@ from __future__ import annotations
 import difflib
 import hashlib
 import json
-import random
 import re
 import zlib
 
@@ -28,21 +27,57 @@ def test_line_changes(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("operator", [*candidates.DRAWN, *candidates.PLAIN])
+def draw(seed, name, n):
+    return int(hashlib.md5(f"{seed}:{name}".encode()).hexdigest()[:8], 16) % n
+
+
+def spelled(code, pattern, at, new):
+    """The match number `at` of a pattern, spelled anew."""
+    m = list(re.finditer(pattern, code, re.DOTALL))[at]
+    return code[: m.start()] + new(m) + code[m.end() :]
+
+
+def mistaken(code, operator, seed):
+    """One mistake, by rules of this test's own."""
+    count = lambda pattern: len(re.findall(pattern, code, re.DOTALL))
+    numbers, operands = r"\b\d{1,18}\b", ["+", "-", "*", "/", "%", " and ", " or "]
+    constant = spelled(code, numbers, draw(seed, "constant:place", count(numbers)), lambda m: str(int(m[0]) + [1, -1, 2, -2][draw(seed, "constant:shift", 4)])) if count(numbers) else code
+    out = code
+    if operator == "off-by-one":
+        kind = [p for p in (r"(\brange\()(\d+)(\))", r"(\brange\(\d+,\s*)(\d+)(\))", r"(\b\[\s*:\s*)(\d+)(\s*\])") if count(p)]
+        out = spelled(code, kind[0], 0, lambda m: f"{m[1]}{int(m[2]) + 1}{m[3]}") if kind else constant
+    elif operator == "comparison-reversal" and count(p := "[=!<>]=|[<>]"):
+        out = spelled(code, p, draw(seed, "comparison:place", count(p)), lambda m: {"==": "!=", "!=": "==", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}[m[0]])
+    elif operator == "wrong-operand" and count(p := r"[-+*/%]| and | or "):
+        out = spelled(code, p, draw(seed, "operand:place", count(p)), lambda m: operands[(operands.index(m[0]) + 1 + draw(seed, "operand:step", 6)) % 7])
+    elif operator == "null-check-removal":
+        kind = [p for p in (r"\s*if\s+\w+\s+is\s+not\s+None:\s*\n.*?\n\s*", r"\s*if\s+not\s+\w+:\s*\n.*?\n\s*raise") if count(p)]
+        out = spelled(code, kind[0], 0, lambda m: "\n" * m[0].count("\n") + "    pass\n") if kind else code
+    return constant if out == code else out
+
+
+@pytest.mark.parametrize("operator", list(candidates.DRAWN))
 def test_mutations(spark, operator):
-    programs = [*texts._PROGRAMS, "def h(a):\n    if a is not None:\n        b = a\n    return [1][:1] and range(2, 5)\n"]
+    programs = [p.replace("{0}", "37").replace("{1}", "5") for p in texts._PROGRAMS] + ["pass", "", "a = b[ : 7 ]\n", "x!=1 and 99999999999999999999 <= y", None]
     rows = [(n, p) for n in range(20) for p in programs]
-    got = spark.createDataFrame(rows, "n long, code string").select("n", "code", candidates.mutated(F.col("code"), operator, F.col("n")).alias("bad")).collect()
-    for r in got:
-        if operator in candidates.DRAWN:
-            rng = random.Random(r.n)
-            want = candidates.DRAWN[operator](r.code, rng)
-            assert r.bad == (want if want != r.code else candidates._constant(r.code, rng))
-        changed = sum(x[0] != " " for x in difflib.ndiff(r.code.splitlines(), r.bad.splitlines()))
-        assert changed == 0 or r.bad != r.code
-        assert r.bad != r.code or not re.search(r"\d", r.code)
-    again = spark.createDataFrame(rows, "n long, code string").repartition(3).select("n", "code", candidates.mutated(F.col("code"), operator, F.col("n")).alias("bad")).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    df = spark.createDataFrame(rows, "n long, code string")
+    got = df.select("n", "code", candidates.mutated(F.col("code"), operator, F.col("n")).alias("bad")).collect()
+    assert [r.bad for r in got] == [None if p is None else mistaken(p, operator, n) for n, p in rows]
+
+
+def test_mutations_by_hand(spark):
+    made = lambda code, op: spark.createDataFrame([(1, code)], "n long, code string").select(candidates.mutated(F.col("code"), op, F.col("n"))).first()[0]
+    assert made("for i in range(10):\n    pass\n", "off-by-one") == "for i in range(11):\n    pass\n"
+    assert made("range(2,  99)", "off-by-one") == "range(2,  100)"
+    assert made("a < b", "comparison-reversal") == "a >= b"
+    assert made("a == b", "comparison-reversal") == "a != b"
+    assert made("def h(a):\n    if a is not None:\n        b = a\n    return b\n", "null-check-removal") == "def h(a):\n\n\n    pass\nreturn b\n"
+    assert made("def f(x):\n    if not x:\n        raise V\n    return x\n", "null-check-removal") == "def f(x):\n    if not x:\n        raise V\n    return x\n"
+    assert made("def f(x):\n    if not x:\n        log()\n        raise V\n", "null-check-removal") == "def f(x):\n\n\n    pass\n V\n"
+    assert made("7", "changed-constant") in ("6", "8", "9", "5") and made("none", "changed-constant") == "none"
+    assert made("a + b", "wrong-operand") in [f"a {o.strip()} b" for o in "-*/%"] + ["a  and  b", "a  or  b"]
+    assert made("int(x)", "wrong-type-conversion") == "float(x)" and made("import os", "broken-import") == "import _missing_os"
+    assert made("def f():\n    return 1\n", "dead-code") == "def f():\n    if True:\n        pass  # unreachable\n    return 1"
 
 
 def test_checksums(spark):
