@@ -104,7 +104,9 @@ class DocumentReader(DataSourceReader):
         fits = lambda p: p["least"] is not None and all((lo is None or p["largest"] >= lo) and (hi is None or p["least"] <= hi) for lo, hi in self.bounds)
         return [Range(p["file"]) for p in parts if p["rows"] and (not self.bounds or fits(p))]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Range | None) -> Iterator[tuple]:
+        if partition is None:  # Spark reads a source without partitions once
+            return
         files, root = _open(self.path)
         with files.open_input_stream(f"{root}/{partition.file}") as data:
             held = b""

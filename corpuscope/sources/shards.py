@@ -76,10 +76,12 @@ class ShardReader(DataSourceReader):
 
     def partitions(self) -> list[ShardFile]:
         files, root = _open(self.path)
-        found = [(x.path, _NAME.fullmatch(x.base_name)) for x in files.get_file_info(fs.FileSelector(root))]
+        found = [(x.path, _NAME.fullmatch(x.base_name)) for x in files.get_file_info(fs.FileSelector(root, allow_not_found=True))]
         return [ShardFile(path, m["part"], int(m["shard"])) for path, m in sorted(found, key=lambda f: f[0]) if m]
 
-    def read(self, partition: ShardFile) -> Iterator[tuple[str, int, bytes]]:
+    def read(self, partition: ShardFile | None) -> Iterator[tuple[str, int, bytes]]:
+        if partition is None:  # Spark reads a source without partitions once
+            return
         files, _ = _open(self.path)
         with files.open_input_stream(partition.path) as data:
             yield partition.part, partition.shard, data.read()
