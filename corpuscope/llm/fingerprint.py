@@ -24,6 +24,9 @@ SHINGLE = 5
 BLANKS = r"[\x20\x09-\x0D]+"
 RANGE = float(1 << 48)
 
+#: Rows of an id from which on they are dealt over SALTS keys, unless more than MOST_HOT ids have more.
+HOT_ROWS, MOST_HOT, SALTS = 5000, 1000, 32
+
 
 def words_of(text: Column) -> Column:
     """Words of a text, A-Z lower-cased."""
@@ -88,12 +91,12 @@ def written(a: Column) -> Column:
 
 
 def neighbours(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """__id, __next, __before (the documents after and before it, in a ring) and __asks: how many code points the
+    """__id, __rows (how many share it), __next, __before (the documents after and before it, in a ring) and __asks: how many code points the
     document before it wants. Rows that share an id are one place. The order is made by a distributed sort of ids."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col(key).alias("__id"), F.floor(F.coalesce(F.length(text), F.lit(0)) / 4).alias("__quarter"))
-    ids = ids.groupBy("__id").agg(F.max("__quarter").alias("__quarter"))
+    ids = ids.groupBy("__id").agg(F.max("__quarter").alias("__quarter"), F.count("*").alias("__rows"))
     ids = stored(ids.repartitionByRange(n, F.asc_nulls_first("__id")).withColumn("__part", F.spark_partition_id()), "ids")
     order = Window.partitionBy("__part").orderBy(F.asc_nulls_first("__id"))
     here = F.struct("__id", "__quarter")
@@ -106,8 +109,8 @@ def neighbours(docs: DataFrame, text: str, key: str) -> DataFrame:
         F.coalesce(F.lead("__first").over(ring), F.min_by("__first", "__part").over(every)).alias("__after_part"),
         F.coalesce(F.lag("__last").over(ring), F.max_by("__last", "__part").over(every)).alias("__before_part"),
     )
-    rows = ids.select("__part", "__id", F.lead(here).over(order).alias("__n"), F.lag(here).over(order).alias("__p")).join(edges, "__part")
-    return rows.select("__id", F.coalesce("__n", "__after_part")["__id"].alias("__next"), F.coalesce("__p", "__before_part").alias("__p")).select("__id", "__next", F.col("__p.__id").alias("__before"), F.col("__p.__quarter").alias("__asks"))
+    rows = ids.select("__part", "__id", "__rows", F.lead(here).over(order).alias("__n"), F.lag(here).over(order).alias("__p")).join(edges, "__part")
+    return rows.select("__id", "__rows", F.coalesce("__n", "__after_part")["__id"].alias("__next"), F.coalesce("__p", "__before_part").alias("__p")).select("__id", "__rows", "__next", F.col("__p.__id").alias("__before"), F.col("__p.__quarter").alias("__asks"))
 
 
 def edited(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K, shingle: int = SHINGLE) -> DataFrame:
@@ -117,14 +120,21 @@ def edited(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K,
     of ids, the first following the last. Of rows that share an id the smallest text is what the document before gets.
     """
     near = stored(neighbours(docs, text, key), "neighbours")
+    # An id that very many rows share (null, above all) is dealt over SALTS keys; at most MOST_HOT ids are.
+    bound = max(HOT_ROWS, (near.agg(F.sum("__rows")).first()[0] or 0) // MOST_HOT)
+    hot = F.broadcast(stored(near.where(F.col("__rows") > bound).select(F.col("__id").alias("__hot"), F.lit(SALTS).alias("__salts")), "hot-ids"))
+    salts_of = lambda df, c: df.join(hot, F.col(c).eqNullSafe(F.col("__hot")), "left").withColumn("__salts", F.coalesce("__salts", F.lit(1))).drop("__hot")
+    every = F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))
     # Ids are joined as structs: a null id equals itself, and every step finds rows dealt by the same key.
-    own = lambda c: F.struct(F.col(c).alias("id"))
-    near = near.select(own("__id").alias("__id"), own("__before").alias("__to"), "__asks")
+    own = lambda c, salt: F.struct(F.col(c).alias("id"), salt.alias("salt"))
+    near = salts_of(near, "__id").select("__id", "__before", "__asks", every.alias("__salt"))
+    near = near.select(own("__id", F.col("__salt")).alias("__id"), "__before", "__asks")
     # Each text is sketched once, before it is shuffled; its neighbour gets the sketch and the head.
-    rows = docs.select(F.struct(F.col(key).alias("id")).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    rows = salts_of(docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text")), "__id")
+    rows = rows.select(own("__id", F.pmod(F.xxhash64("__text"), F.col("__salts")).cast("int")).alias("__id"), "__text")
     beside = rows.withColumn("__sketch", sketch(F.col("__text"), k, shingle)).join(near, "__id")
-    sent = beside.select("__to", F.struct(F.expr("substring(__text, 1, int(__asks))").alias("head"), F.col("__sketch").alias("sketch")).alias("__sent"))
-    sent = sent.groupBy("__to").agg(F.min("__sent").alias("__sent")).withColumnRenamed("__to", "__id")
+    sent = salts_of(beside, "__before").select(F.struct(F.expr("substring(__text, 1, int(__asks))").alias("head"), F.col("__sketch").alias("sketch")).alias("__sent"), "__before", every.alias("__salt"))
+    sent = sent.groupBy(own("__before", F.col("__salt")).alias("__id")).agg(F.min("__sent").alias("__sent"))
     out = beside.select("__id", "__text", "__sketch").join(sent, "__id")
     long = F.length("__text")
     changed = F.concat(F.substring("__text", F.lit(1), long - F.floor(long / 4).cast("int")), F.substring(F.col("__sent.head"), F.lit(1), F.floor(long / 4).cast("int")))

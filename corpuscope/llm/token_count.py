@@ -14,6 +14,7 @@ replaced. An empty table gives an empty one.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -111,17 +112,22 @@ def piece_counts(texts: DataFrame, path: str) -> DataFrame:
     return stored(distinct.mapInArrow(count, "piece binary, freq bigint, tokens bigint"), "pieces")
 
 
+def hot_key(piece: bytes) -> bytes:
+    """A pre-token, or a longer one's digest with a byte before it, so that no short pre-token is like it."""
+    return piece if len(piece) <= HOT_BYTES else b"\0" + hashlib.sha512(piece).digest()
+
+
 def hot_pieces(counts: DataFrame) -> tuple[dict[bytes, int], float]:
-    """Tokens of the most frequent pre-tokens, and the level of frequency from which on they are taken."""
+    """Tokens of the most frequent pre-tokens by their keys, and the level of frequency from which on they are taken."""
     level = F.floor(F.log2("freq") * 8)
-    short = counts.where(F.octet_length("piece") <= HOT_BYTES)
     total, least = 0, float("inf")
-    for r in short.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundreds of rows
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundreds of rows
         total += r["count"]
         if total > HOT:
             break
         least = float(r["level"])
-    rows = short.where(level >= least).select("piece", "tokens").toArrow()  # at most HOT rows of at most HOT_BYTES
+    key = F.when(F.octet_length("piece") <= HOT_BYTES, F.col("piece")).otherwise(F.unhex(F.concat(F.lit("00"), F.sha2("piece", 512))))
+    rows = counts.where(level >= least).select(key.alias("key"), "tokens").toArrow()  # at most HOT rows of at most 65 bytes
     return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)), least
 
 
@@ -143,7 +149,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
             data, offsets = utf8(batch.column(1))
             for a, b in parts(offsets):
                 found, doc, which, times, total = tool.frequencies(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                tokens = np.fromiter((known.get(p, -1) for p in found.to_pylist()), np.int64, len(found))[which]
+                tokens = np.fromiter((known.get(hot_key(p), -1) for p in found.cast(pa.binary()).to_pylist()), np.int64, len(found))[which]
                 np.add.at(total, doc[tokens >= 0], (times * tokens)[tokens >= 0])
                 cold = np.flatnonzero(tokens < 0)
                 rest = pa.StructArray.from_arrays([found.take(pa.array(which[cold])).cast(pa.binary()), pa.array(times[cold], pa.int64())], ["piece", "times"])

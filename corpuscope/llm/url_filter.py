@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 Rule = tuple[str, str, str]
 RESULTS = ("host", "path", "rule", "verdict")
 
+#: Keys that a domain's or a url's rows are dealt over where rules are joined.
+SALTS = 16
+
 
 def host_of(url: Column) -> Column:
     """What follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; empty without `://`."""
@@ -100,12 +103,18 @@ def joined_rules(df: DataFrame, rules: list[Rule], default: str) -> DataFrame:
     keys = df.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    # A domain that very many urls share, and urls that repeat very often, are dealt over SALTS keys.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     best = (
-        keys.select("host", "path", F.explode(suffixes).alias("rule_host"))
-        .join(table, "rule_host")
+        keys.select("host", "path", F.explode(suffixes).alias("rule_host"), F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int").alias("salt"))
+        .join(table.select("*", salts.alias("salt")), ["rule_host", "salt"])
         .where(F.col("path").startswith(F.col("rule_path")))
         .groupBy("host", "path")
         .agg(F.max(F.struct("rule_size", (F.col("rule_verdict") == "block").alias("blocks"), F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict")).alias("best"))
         .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("verdict"))
     )
-    return df.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).select(*df.columns, "rule", "verdict")
+    salt = "salt"
+    while salt in df.columns:
+        salt += "_"
+    dealt = df.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(best.select("*", salts.alias(salt)), ["host", "path", salt], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).select(*df.columns, "rule", "verdict")

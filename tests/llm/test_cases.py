@@ -7,8 +7,9 @@ import hashlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
-from corpuscope.llm import ann, bpe, components, fingerprint, mixing, pii, suffix_dedup, token_count, url_filter
+from corpuscope.llm import ann, bpe, components, fingerprint, langid, mixing, neardup, pii, suffix_dedup, token_count, url_filter
 
 
 def test_neighbours_over_several_tiles(spark, monkeypatch):
@@ -102,3 +103,53 @@ def test_one_long_text(spark):
     assert mixing.mix(df).first()["size"] == 200_001
     # The first x and the first " word" stay: each later one is covered by a string that also starts a period earlier.
     assert suffix_dedup.dedup_passages(df, with_text=False).first().n_removed == len(text) - 1 - 5
+
+
+def test_ids_that_many_rows_share(spark, monkeypatch):
+    """A third of all rows has no id, another id repeats: dealt over several keys they get the same neighbours and edits."""
+    rows = [(None, f"null text number {i} of many words") for i in range(40)] + [(7, f"seven {i} and more words here") for i in range(30)] + [(i, f"text {i} has its own words too") for i in range(20)]
+    df = spark.createDataFrame([r for r in rows if r[0] != 7 or r[1].startswith("seven")], "doc_id long, text string").repartition(5)
+    want = sorted(map(repr, map(tuple, fingerprint.edited(df).collect())))
+    monkeypatch.setattr(fingerprint, "HOT_ROWS", 5)
+    assert sorted(map(repr, map(tuple, fingerprint.edited(df).collect()))) == want and len(want) == df.count()
+
+
+def test_long_pieces_are_hot_too(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    line = "-" * 80
+    df = spark.createDataFrame([(i, f"word {line}\n{line} {'x' * (70 + i % 3)}") for i in range(50)], "doc_id long, text string")
+    counts = token_count.piece_counts(df.select("text"), P.path("byte_bpe_50k.json"))
+    hot, _ = token_count.hot_pieces(counts)
+    assert len(hot) == counts.count() and any(len(k) == 65 for k in hot)
+    assert {r.doc_id: r.n_tokens for r in token_count.count_tokens(df, P.path("byte_bpe_50k.json")).collect()} == {r.doc_id: len(lib.encode(r.text, add_special_tokens=False).ids) for r in df.collect()}
+
+
+def test_urls_of_one_domain(spark):
+    """Most urls share a domain, many are malformed, and one repeats very often; joined rules judge them like the trie."""
+    urls = [f"http://h{i % 9}.example.com/{i}" for i in range(60)] + ["http://a.com/x"] * 40 + [None, "no url", ""] * 20
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("salt", F.lit("mine"))
+    rules = [("allow", "com", "/"), ("block", "example.com", "/1"), ("block", "h2.example.com", "/"), ("allow", "h2.example.com", "/2")]
+    got = [sorted(map(repr, map(tuple, url_filter.filter_urls(df, rules, max_broadcast_bytes=most).collect()))) for most in (1 << 20, 0)]
+    assert got[0] == got[1] and len(got[0]) == len(urls)
+
+
+@pytest.mark.parametrize("name", ["language", "near", "counts", "prints"])
+def test_very_long_texts(spark, name):
+    """Two million characters in a row, beside a short one."""
+    long = "the quick brown fox and " * 80_000 + "z" * 100_000
+    df = spark.createDataFrame([(1, long, "en"), (2, long + " end", "en"), (3, "der schnelle braune fuchs und", "de")], "doc_id long, text string, lang string")
+    if name == "language":
+        assert [r.lang_pred for r in langid.identify(df, langid.train(df)).orderBy("doc_id").collect()] == ["en", "en", "de"]
+    elif name == "near":
+        assert [r.component_id for r in neardup.classes(df).orderBy("doc_id").collect()] == [1, 1, 3]
+    elif name == "counts":
+        from tokenizers import Tokenizer
+
+        lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+        got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(df, P.path("byte_bpe_50k.json"), keep=("doc_id",)).collect()}
+        assert got == {r.doc_id: len(lib.encode(r.text, add_special_tokens=False).ids) for r in df.collect()}
+    else:
+        one = fingerprint.edited(df).select("doc_id", fingerprint.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near")).orderBy("doc_id").collect()
+        assert one[0].near > 0.7 and one[1].near == 0.0
