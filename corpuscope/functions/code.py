@@ -110,10 +110,14 @@ def table_references(text: Column) -> Column:
 
 
 def _placed(kind: str, names: Column, matched: Column, between: Column) -> Column:
+    """Line breaks before each match are summed up along the matches, so a file's work grows with its length."""
     breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-    count = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, t: a + breaks(t))
-    return F.transform(names, lambda name, i: F.struct(
-        F.lit(kind).alias("kind"), name.alias("name"), (count(between, i + 1) + count(matched, i) + 1).alias("line"), F.regexp_replace(F.get(matched, i), r"^\s+|\s+$", "").alias("signature")))
+    steps = F.zip_with(F.slice(between, F.lit(1), F.size(matched)), matched, lambda b, m: F.struct(breaks(b).alias("before"), breaks(m).alias("within")))
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("lines"))
+    # The array of lines is copied as it grows, by whole blocks of numbers: small beside the patterns' work on the text.
+    lines = F.aggregate(steps, start, lambda s, x: F.struct((s["sum"] + x["before"] + x["within"]).alias("sum"), F.concat(s["lines"], F.array(s["sum"] + x["before"] + 1)).alias("lines")), lambda s: s["lines"])
+    return F.zip_with(F.arrays_zip(names.alias("name"), matched.alias("signature")), lines, lambda x, line: F.struct(
+        F.lit(kind).alias("kind"), x["name"].alias("name"), line.alias("line"), F.regexp_replace(x["signature"], r"^\s+|\s+$", "").alias("signature")))
 
 
 def symbols(text: Column, language: str) -> Column:

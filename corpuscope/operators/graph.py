@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.operators.cut import cut
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """node and the fewest steps (at most depth) from a seed along source -> target."""
+def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """node and the fewest steps (at most depth, or as many as there are) from a seed along source -> target."""
     found = seeds.select("node", F.lit(0).alias("steps")).distinct()
     front = found
-    for k in range(1, depth + 1):
+    for k in count(1) if depth is None else range(1, depth + 1):
         front = cut(front.join(edges, front["node"] == edges["source"]).select(F.col("target").alias("node")).distinct().join(found, "node", "left_anti").select("node", F.lit(k).alias("steps")))
         if front.isEmpty():
             break
@@ -43,12 +45,12 @@ def pagerank(edges: DataFrame, rounds: int = 200, damping: float = 0.85, toleran
     return ranks.select("node", "rank")
 
 
-def distances(links: DataFrame, seeds: DataFrame, most: int = 1000) -> DataFrame:
+def distances(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """node and its fewest steps from a seed along links of both directions, whatever their number; unreachable nodes are left out."""
     both = cut(links.select("source", "target").union(links.select("target", "source")).distinct())
     found = cut(seeds.select("node", F.lit(0).alias("steps")).distinct())
     front = found
-    for k in range(1, most + 1):
+    for k in count(1):
         front = front.join(both, front["node"] == both["source"]).select(F.col("target").alias("node")).distinct()
         front = cut(front.join(found, "node", "left_anti").select("node", F.lit(k).alias("steps")))
         if front.isEmpty():

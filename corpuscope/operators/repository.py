@@ -23,7 +23,7 @@ def _of(path: Column, what: Column | str, prefix: str = "") -> Column:
 def graph(files: DataFrame, repository: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, type, name, file, line) and edges (source, target, type) of parsed files.
 
-    Nodes with equal ids are one: of those the module and files come first, then symbols, endpoints, tables and tests, then
+    Every kind of node and edge is read from the parsed files, so these should be a stored table. Nodes with equal ids are one: of those the module and files come first, then symbols, endpoints, tables and tests, then
     the smaller path and line. A test's function is linked with the other symbols of its own file: names of other files
     would give nodes that don't exist, as many as files times names.
     """

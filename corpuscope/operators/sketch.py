@@ -20,37 +20,50 @@ KNOWN = 100_000
 def signatures(docs: DataFrame, key: str, text: str, slots: int = 128, seed: int = 7) -> DataFrame:
     """key and signature: in each slot the least hash of the text's distinct words, null for texts without words.
 
-    A worker hashes a word once and keeps its values (a bounded cache); minima are taken where the text is, so nothing is
-    shuffled but the rows of repeated keys, of which the slot-wise least are kept.
+    A worker hashes a word once and keeps its values (a bounded cache); minima are taken where the text is. Rows of keys that
+    occur once are final; of repeated keys the slot-wise least values are kept.
     """
     words = F.array_distinct(F.coalesce(word_tokens(F.col(text)), F.array().cast("array<string>")))
     src = docs.select(F.col(key).alias("__key"), words.alias("words"))
     prefixes = [f"{seed}:{2 * i + 1}:{2 * i + 2}:".encode() for i in range(slots)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bytes] = {}
+        known: dict[str, int] = {}  # a word's row of values
+        values = np.empty((1024, slots), np.uint32)
+
+        def least_of(tokens: list[str]) -> np.ndarray:
+            nonlocal values
+            out, rows = np.full(slots, 0xFFFFFFFF, np.uint32), []
+            for word in tokens:
+                row = known.get(word)
+                if row is None:
+                    if len(known) >= KNOWN:  # what the rows hold counts before they are given away
+                        if rows:
+                            out = np.minimum(out, values[rows].min(0))
+                        known.clear()
+                        rows = []
+                    row = known[word] = len(known)
+                    if row == len(values):
+                        values = np.concatenate([values, np.empty_like(values)])
+                    raw = word.encode()
+                    values[row] = np.frombuffer(b"".join([hashlib.sha256(p + raw).digest()[:4] for p in prefixes]), ">u4")
+                rows.append(row)
+            return np.minimum(out, values[rows].min(0)) if rows else out
+
         for batch in batches:
-            found = []
-            for tokens in batch.column(1).to_pylist():
-                if not tokens:
-                    found.append(None)
-                    continue
-                rows = []
-                for word in tokens:
-                    value = known.get(word)
-                    if value is None:
-                        raw = word.encode()
-                        value = b"".join([hashlib.sha256(p + raw).digest()[:4] for p in prefixes])
-                        if len(known) >= KNOWN:
-                            known.clear()
-                        known[word] = value
-                    rows.append(value)
-                found.append(np.frombuffer(b"".join(rows), ">u4").reshape(-1, slots).min(0).astype(np.int64))
+            found = [least_of(tokens).astype(np.int64) if tokens else None for tokens in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["__key", "signature"])
 
     each = src.mapInArrow(run, f"__key {src.schema['__key'].dataType.simpleString()}, signature array<bigint>")
-    least = each.groupBy("__key").agg(*(F.min(F.get("signature", F.lit(i))).alias(f"h{i}") for i in range(slots)))
-    return least.select(F.col("__key").alias(key), F.when(F.col("h0").isNotNull(), F.array(*(f"h{i}" for i in range(slots)))).alias("signature"))
+    # A key's rows are told by its count; only those of repeated keys are taken apart, a row for each slot, and merged by partial minima.
+    each = cut(each, "signatures")
+    repeated = each.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key")
+    repeated, same = repeated.withColumnRenamed("__key", "again"), F.col("__key").eqNullSafe(F.col("again"))
+    marked, single = each.join(repeated, same, "left_semi"), each.join(repeated, same, "left_anti")
+    slot = marked.select("__key", F.posexplode_outer("signature").alias("slot", "value")).groupBy("__key", "slot").agg(F.min("value").alias("value"))
+    least = slot.groupBy("__key").agg(F.sort_array(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "value")))).alias("s"))
+    least = least.select("__key", F.when(F.size("s") > 0, F.transform("s", lambda x: x["value"])).alias("signature"))
+    return single.unionByName(least).select(F.col("__key").alias(key), "signature")
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.functions import gates, text
+from corpuscope.operators import digests
 from corpuscope.operators.dedup import first_of
 from corpuscope.registry import query, table
 
@@ -53,9 +54,9 @@ def content_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT doc_id::VARCHAR AS id, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM documents)
 SELECT CASE WHEN u < 0.9 THEN 'train' WHEN u < 0.95 THEN 'validation' ELSE 'test' END AS split, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS digest FROM s GROUP BY ALL""")
 def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of each split and the digest of its sorted ids, which one row has to hold by its definition."""
+    """Counts of each split and the digest of its sorted ids, which are hashed as they come out of a sort."""
     docs = table(spark, sf_dir, "documents").select(text.split_of(F.col("doc_id")).alias("split"), F.col("doc_id").cast("string").alias("id"))
-    return docs.groupBy("split").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n").cast("binary"), 256).alias("digest"))
+    return digests.joined_digests(docs, "split", "id")
 
 
 @query("""
@@ -208,6 +209,19 @@ SELECT doc_id, n AS line, substr(l, 1, 200) AS hit FROM (
 WHERE regexp_matches(l, '(?i)license')""")
 def line_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that match a pattern, with their numbers."""
+    return _hits(spark, sf_dir)
+
+
+@query("""
+WITH h AS (SELECT doc_id, n AS line, substr(l, 1, 200) AS hit FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE regexp_matches(l, '(?i)license'))
+SELECT doc_id, line, hit, count(*) OVER () AS total FROM h ORDER BY doc_id, line LIMIT 200""")
+def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 lines that match (which is the feature), and how many there are in all."""
+    hits = _hits(spark, sf_dir)
+    return hits.orderBy("doc_id", "line").limit(200).crossJoin(F.broadcast(hits.agg(F.count("*").alias("total"))))  # one row
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").where(F.col("text").rlike("(?i)license")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "l"))
     return lines.where(F.col("l").rlike("(?i)license")).select("doc_id", (F.col("p") + 1).cast("long").alias("line"), F.substring("l", 1, 200).alias("hit"))
 

@@ -218,7 +218,7 @@ def page_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineage_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part k is the parent of 2k and 2k + 1; all descendants of the first, by generation."""
     edges = table(spark, sf_dir, "part").where("p_partkey > 1").select(F.expr("string(p_partkey div 2)").alias("source"), F.col("p_partkey").cast("string").alias("target"))
-    return graph.reachable(edges, spark.createDataFrame([("1",)], "node string"), 64)
+    return graph.reachable(edges, spark.createDataFrame([("1",)], "node string"))
 
 
 @query("SELECT p_partkey // 2 AS parent, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM part WHERE p_partkey > 1 GROUP BY 1")

@@ -57,7 +57,7 @@ GRAPH = _expand(_FILES)
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return repository.graph(repository.parsed(files(spark, sf_dir), "python", "py"), "shop")
+    return repository.graph(cut(repository.parsed(files(spark, sf_dir), "python", "py").drop("text"), "parsed"), "shop")
 
 
 @query(f"WITH {GRAPH} SELECT * FROM nodes")

@@ -72,14 +72,18 @@ def select_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.select_only(spark, "select o_orderstatus, count(*) as n from passthrough_orders group by o_orderstatus")
 
 
-@query("SELECT true AS healthy, NULL::VARCHAR AS error")
-def health_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the engine answers; the latency is left out here, as it is another one each time."""
-    found = readers.probe(spark)
-    return spark.createDataFrame([(found["healthy"], found["error"])], "healthy boolean, error string")
+_TABLES = ["customer", "documents", "embeddings", "events", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
 
 
-_TABLES = ["customer", "documents", "embeddings", "events", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", true AS healthy, count(*) AS n FROM {t}" for t in _TABLES))
+def health_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each table answers, and its rows; the latency is left out here, as it is another one each time."""
+    rows = []
+    for name in _TABLES:
+        table(spark, sf_dir, name).createOrReplaceTempView(f"probed_{name}")
+        found = readers.probe(spark, f"SELECT count(*) AS n FROM probed_{name}")
+        rows.append((name, found["healthy"], found["rows"][0][0] if found["healthy"] else None))
+    return spark.createDataFrame(rows, "table string, healthy boolean, n long")
 
 
 @query(f"SELECT table_name AS \"table\", column_name AS \"column\", ordinal_position::INT AS position FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in _TABLES)})")

@@ -68,11 +68,11 @@ def passed_through(spark: SparkSession, sql: str, limit: int = 1000, seconds: fl
         context.setLocalProperty("spark.jobGroup.id", None)
 
 
-def probe(spark: SparkSession) -> dict:
-    """Whether the engine answers, and in how many milliseconds."""
+def probe(spark: SparkSession, sql: str = "SELECT 1 AS one") -> dict:
+    """Whether a statement is answered, with which rows, and in how many milliseconds."""
     began = time.monotonic()
-    found = passed_through(spark, "SELECT 1 AS one")
-    return {"healthy": found["rows"] == [(1,)], "latency_ms": int((time.monotonic() - began) * 1000), "error": found["error"]}
+    found = passed_through(spark, sql)
+    return {"healthy": found["error"] is None and len(found["rows"]) > 0, "rows": found["rows"], "latency_ms": int((time.monotonic() - began) * 1000), "error": found["error"]}
 
 
 def described(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
