@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpuscope.operators.cut import cut
@@ -30,7 +31,7 @@ def pagerank(edges: DataFrame, rounds: int = 200, damping: float = 0.85, toleran
     edges = edges.select("source", "target").distinct()
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
     out = edges.groupBy("source").agg(F.count("*").alias("degree"))
-    links, nodes = cut(edges.join(out, "source")), cut(nodes.join(out, nodes["node"] == out["source"], "left").select("node", "degree"))
+    links, nodes = edges.join(out, "source").repartition("source").persist(StorageLevel.MEMORY_AND_DISK), cut(nodes.join(out, nodes["node"] == out["source"], "left").select("node", "degree"))
     n = max(1, nodes.count())
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for _ in range(rounds):
@@ -38,10 +39,11 @@ def pagerank(edges: DataFrame, rounds: int = 200, damping: float = 0.85, toleran
         dangling = ranks.where("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         new = ranks.join(sent.withColumnRenamed("target", "node"), "node", "left").crossJoin(F.broadcast(dangling))  # one row
         new = new.select("node", "degree", F.col("rank").alias("old"), ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        new = cut(new)
-        ranks = new.drop("old")
-        if tolerance is not None and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance:
+        change = Observation()  # comes with the write, without a job of its own
+        ranks = cut(new.observe(change, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("sum"))).drop("old")
+        if tolerance is not None and (change.get["sum"] or 0.0) < n * tolerance:
             break
+    links.unpersist()
     return ranks.select("node", "rank")
 
 

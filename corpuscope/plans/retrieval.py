@@ -329,16 +329,19 @@ def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranks(rounds: int) -> str:
+    """Rounds of ranks, what each changed, and the first that changed less than a millionth for each node (the last, if none did)."""
     out = "nodes AS (SELECT source AS node, count(*) AS degree FROM links GROUP BY 1), r0 AS (SELECT node, degree, 1.0::DOUBLE / count(*) OVER () AS rank, count(*) OVER () AS n FROM nodes)"
     for k in range(1, rounds + 1):
         out += f", r{k} AS MATERIALIZED (SELECT r.node, r.degree, 0.15::DOUBLE / r.n + 0.85::DOUBLE * s.got AS rank, r.n FROM r{k - 1} r JOIN (SELECT target, sum(rank / degree) AS got FROM r{k - 1} JOIN links ON source = node GROUP BY target) s ON s.target = r.node)"
-    return out
+    changes = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.rank - b.rank)) < any_value(a.n) * 1e-6 AS ends FROM r{k} AS a JOIN r{k - 1} AS b USING (node)" for k in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {k} AS k, node, rank FROM r{k}" for k in range(1, rounds + 1))
+    return f"{out}, final AS (SELECT coalesce(min(k) FILTER (ends), {rounds}) AS k FROM ({changes})), ranks AS (SELECT node, rank FROM ({every}) JOIN final USING (k))"
 
 
-@query(f"WITH {_EDGES}, {_ranks(10)} SELECT node, round(rank, 12) AS rank FROM r10")
+@query(f"WITH {_EDGES}, {_ranks(70)} SELECT node, round(rank, 12) AS rank FROM ranks")
 def page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten rounds over the links of both directions, of all lines."""
-    return graph.pagerank(_both(_edges(spark, sf_dir)), 10, tolerance=None).select("node", F.round("rank", 12).alias("rank"))
+    """Ranks over the links of both directions, of all lines, until they change by less than a millionth for each node."""
+    return graph.pagerank(_both(_edges(spark, sf_dir))).select("node", F.round("rank", 12).alias("rank"))
 
 
 @query()  # Brandes' algorithm needs counted paths; a test compares with a loop over a small graph

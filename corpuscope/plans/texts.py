@@ -68,21 +68,27 @@ def candidate_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DIFFS = [
-    "diff --git a/src/a.py b/src/a.py\n--- a/src/a.py\n+++ b/src/a.py\n@@ -1 +1 @@\n-x\n+y\n", "--- a/pkg/b.py\n+++ b/pkg/b.py\n@@\n+z\n", "diff --git a/q.py b/q.py\nnew file mode 100644\n", "--- /etc/passwd\n+++ /etc/passwd\n", "--- a/../x.py\n+++ a/../x.py\n",
+    "diff --git a/src/a.py b/src/a.py\n--- a/src/a.py\n+++ b/src/a.py\n@@ -1 +1 @@\n-x\n+y\n", "--- a/pkg/b{0}.py\n+++ b/pkg/b{0}.py\n@@\n+z\n", "diff --git a/q{0}.py b/q{0}.py\nnew file mode 100644\n", "--- /etc/passwd\n+++ /etc/passwd\n", "--- a/../x.py\n+++ a/../x.py\n",
     "--- tests/t.py\n+++ tests/t.py\n", "--- a/src/.git/config\n+++ a/src/.git/config\n", "--- C:/x\n+++ C:/x\n", "just words", "--- a/deep/a.py\n+++ a/deep/a.py\n", "--- src\\a.py\n+++ src\\a.py\n",
 ]
-_FAULTS = [None, "unlisted path", "creation or deletion", "absolute path", "parent traversal", "protected path", "protected path", "absolute path", "no changed files", None, None]
-_TWO = [None, "unlisted path", "creation or deletion", "absolute path", "parent traversal", "protected path", "protected path", "absolute path", "no changed files", "unlisted path", None]
 
+_UNSAFE = r"""CASE WHEN starts_with(x, '/') OR regexp_matches(x, '^[A-Za-z]:') THEN 'absolute path' WHEN list_contains(string_split(x, '/'), '..') THEN 'parent traversal'
+  WHEN list_contains(string_split(x, '/'), '.git') OR regexp_matches(x, '^(tests|benches_hidden|hidden_tests|benchmarks/hidden_tests|\.git)') THEN 'protected path' END"""
 
-@query(f"""
-SELECT o_orderkey, nullif(CASE WHEN o_custkey % 2 = 0 THEN {_pick_sql([f or '' for f in _FAULTS], 'o_orderkey')} ELSE {_pick_sql([f or '' for f in _TWO], 'o_orderkey')} END, '') AS fault,
-  CASE o_orderkey % 11 WHEN 1 THEN 2 WHEN 8 THEN 0 ELSE 1 END::BIGINT AS n_paths FROM orders""")
+
+@query(rf"""
+WITH d AS (SELECT o_orderkey, replace({_pick_sql(_DIFFS, 'o_orderkey')}, '{{0}}', o_custkey::VARCHAR) AS diff, CASE WHEN o_custkey % 2 = 0 THEN ['src/a.py'] ELSE ['src/a.py', 'src/c.py'] END AS allowed FROM orders),
+h AS (SELECT *, regexp_extract_all(diff, '(?m)^diff --git a/(\S+) b/(\S+)$', 1) || regexp_extract_all(diff, '(?m)^diff --git a/(\S+) b/(\S+)$', 2) AS git, regexp_extract_all(diff, '(?m)^(?:---|\+\+\+) (?:a/)?(\S+)$', 1) AS plain FROM d),
+p AS (SELECT *, list_transform(CASE WHEN len(git) > 0 THEN git ELSE plain END, lambda x: replace(x, '\', '/')) AS paths FROM h),
+n AS (SELECT *, len(list_distinct(paths)) AS n_paths, list_filter(list_transform(paths, lambda x: {_UNSAFE}), lambda x: x IS NOT NULL)[1] AS bad,
+  len(list_filter(paths, lambda x: NOT (list_contains(allowed, x) OR (len(allowed) = 1 AND string_split(x, '/')[-1] = 'a.py')))) AS unlisted FROM p)
+SELECT o_orderkey, CASE WHEN regexp_matches(diff, '(?m)^(new file mode|deleted file mode) ') THEN 'creation or deletion' WHEN bad IS NOT NULL THEN bad WHEN unlisted > 0 THEN 'unlisted path' WHEN n_paths = 0 THEN 'no changed files' END AS fault, n_paths,
+  regexp_replace(regexp_replace(regexp_replace(diff, '(?m)^--- a/\S+', '--- a/src/m' || o_orderkey || '.py', 'g'), '(?m)^\+\+\+ b/\S+', '+++ b/src/m' || o_orderkey || '.py', 'g'), '(?m)^diff --git a/\S+ b/\S+', 'diff --git a/src/m' || o_orderkey || '.py b/src/m' || o_orderkey || '.py', 'g') AS retargeted FROM n""")
 def patch_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patches of eleven shapes against one or two allowed files."""
-    diff = _pick(_DIFFS, "o_orderkey")
+    """Patches of eleven shapes against one or two allowed files, and the patches with another target in their headers."""
+    diff = F.replace(_pick(_DIFFS, "o_orderkey"), F.lit("{0}"), F.col("o_custkey").cast("string"))
     allowed = F.when(F.col("o_custkey") % 2 == 0, F.array(F.lit("src/a.py"))).otherwise(F.array(F.lit("src/a.py"), F.lit("src/c.py")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", candidates.target_fault(diff, allowed).alias("fault"), F.size(candidates.header_paths(diff)).cast("long").alias("n_paths"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", candidates.target_fault(diff, allowed).alias("fault"), F.size(candidates.header_paths(diff)).cast("long").alias("n_paths"), candidates.retargeted(diff, F.concat(F.lit("src/m"), "o_orderkey", F.lit(".py"))).alias("retargeted"))
 
 
 @query()  # difflib's matching isn't a function of SQL; a test compares with difflib itself
@@ -290,21 +296,22 @@ _SOURCES = {
     "rust": "use std::io\npub fn go_{1}() {}\nfn own_{0}() {}\n",
     "sql": "select * from t{0} join u{1} on true; update v{0} set x = 1",
 }
-_WANT = {
-    "python": [("class", "K{0}", 2), ("function", "m_{1}", 3), ("function", "run", 5)],
-    "java": [("class", "A{0}", 1), ("method", "go{1}", 2), ("interface", "I{0}", 6)],
-    "javascript": [("function", "f{0}", 1), ("function", "g{1}", 2), ("class", "C{0}", 3)],
-    "go": [("function", "Do{1}", 2), ("function", "Plain{0}", 3)],
-    "rust": [("function", "go_{1}", 2), ("function", "own_{0}", 3)],
-    "sql": [("table_reference", "t{0}", 1), ("table_reference", "u{1}", 1), ("table_reference", "v{0}", 1)],
-}
+#: How the lines of these files spell symbols, in words of SQL.
+_LINES = [
+    ("python", "class", r"^\s*class\s+(\w+)"), ("python", "function", r"^\s*def\s+(\w+)"), ("java", "class", r"\bclass\s+(\w+)"), ("java", "method", r"^\s+(?:private|public) .*\s(\w+)\("), ("java", "interface", r"\binterface\s+(\w+)"),
+    ("javascript", "function", r"^function (\w+)"), ("javascript", "function", r"^const (\w+) = .*=>"), ("javascript", "class", r"\bclass (\w+)"), ("go", "function", r"^func (?:\(.*?\) )?(\w+)\("), ("rust", "function", r"^(?:pub )?fn (\w+)\("),
+    ("sql", "table_reference", r"\b(?:from|join|update) (\w+)"),
+]
 
 
-def _name_sql(name: str) -> str:
-    return "'" + name.replace("{0}", "' || o_custkey || '").replace("{1}", "' || o_orderkey % 97 || '") + "'"
+def _written_sql(sources: list[str]) -> str:
+    return f"replace(replace({_pick_sql(sources, 'o_orderkey')}, '{{0}}', o_custkey::VARCHAR), '{{1}}', (o_orderkey % 97)::VARCHAR)"
 
 
-@query(" UNION ALL ".join(f"SELECT o_orderkey, '{lang}' AS language, '{kind}' AS kind, {_name_sql(name)} AS name, {line}::INT AS line FROM orders WHERE o_orderkey % 6 = {n}" for n, (lang, want) in enumerate(_WANT.items()) for kind, name, line in want))
+@query(f"""
+WITH f AS (SELECT o_orderkey, {_pick_sql(list(_SOURCES), 'o_orderkey')} AS language, string_split({_written_sql(list(_SOURCES.values()))}, chr(10)) AS lines FROM orders),
+l AS (SELECT o_orderkey, language, unnest(lines) AS text, generate_subscripts(lines, 1)::INT AS line FROM f)
+""" + " UNION ALL ".join(f"SELECT o_orderkey, language, '{kind}' AS kind, unnest(regexp_extract_all(text, '{pattern}', 1)) AS name, line FROM l WHERE language = '{language}'" for language, kind, pattern in _LINES))
 def symbols_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols of files in six languages, dealt by order."""
     out = None
@@ -398,16 +405,21 @@ def top_attended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _IMPORTED = {
-    "py": ("import a.b{0}\nfrom c{1} import d\nx = 1\n", ["a.b{0}", "c{1}"]), "js": ("import y from './m{0}'\nimport 'side'\nconst z = 1\nexport * from \"n{1}\"\n", ["./m{0}", "n{1}"]),
-    "go": ("package main{0}\nimport fmt\n", ["main{0}", "fmt"]), "rs": ("use std::io{0}\nuse a::b{1}\n", ["std::io{0}", "a::b{1}"]), "java": ("import static a.B.m{0};\nimport java.util.List{1};\n", ["a.B.m{0}"]), "txt": ("import nothing\n", []),
-}
+    "py": "import a.b{0}\nfrom c{1} import d\nx = 1\n", "js": "import y from './m{0}'\nimport 'side'\nconst z = 1\nexport * from \"n{1}\"\n", "go": "package main{0}\nimport fmt\n", "rs": "use std::io{0}\nuse a::b{1}\n",
+    "java": "import static a.B.m{0};\nimport java.util.List{1};\n", "txt": "import nothing\n",
+}
+
 
+_IMPORT_LINES = {"py": r"(?m)^(?:import|from) ([\w.]+)", "js": r"""from [''"]([^''"]+)[''"]""", "go": r"(?m)^(?:package|import) (\w+)", "rs": r"(?m)^use ([\w:]+)", "java": r"(?m)^import \w+ ([\w.]+);", "txt": "(never)"}
 
-@query(" UNION ALL ".join(f"SELECT o_orderkey, '{ext}' AS extension, {' || chr(44) || '.join(map(_name_sql, want)) or repr('')} AS imports FROM orders WHERE o_orderkey % 6 = {n}" for n, (ext, (_, want)) in enumerate(_IMPORTED.items())))
+
+@query(f"""
+WITH f AS (SELECT o_orderkey, {_pick_sql(list(_IMPORTED), 'o_orderkey')} AS extension, {_written_sql(list(_IMPORTED.values()))} AS text FROM orders)
+""" + " UNION ALL ".join(f"SELECT o_orderkey, extension, array_to_string(regexp_extract_all(text, '{pattern}', 1), ',') AS imports FROM f WHERE extension = '{ext}'" for ext, pattern in _IMPORT_LINES.items()))
 def imports_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports of files in five languages and one without any, dealt by order."""
     out = None
-    for n, (extension, (source, _)) in enumerate(_IMPORTED.items()):
+    for n, (extension, source) in enumerate(_IMPORTED.items()):
         said = F.replace(F.replace(F.lit(source), F.lit("{0}"), F.col("o_custkey").cast("string")), F.lit("{1}"), (F.col("o_orderkey") % 97).cast("string"))
         rows = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 6 == n).select("o_orderkey", F.lit(extension).alias("extension"), F.array_join(code.imports(said, extension), ",").alias("imports"))
         out = rows if out is None else out.unionByName(rows)
