@@ -71,3 +71,20 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     key = lambda rows: sorted((r.event_type, r.n, round(r.total, 6), r.least, r.largest) for r in rows)
     assert key(spark.table("running").collect()) == key(telemetry.running(events).collect())
+
+
+def test_cuts_are_dropped(spark, tmp_path):
+    import os
+
+    from corpuscope.operators.cut import cut, cuts_dropped, shared_folder
+
+    kept = cut(spark.range(3).toDF("id"), "kept")
+    with cuts_dropped(spark):
+        inner = cut(kept, "inner")
+        with cuts_dropped(spark):
+            cut(inner, "innermost").write.parquet(f"{tmp_path}/out")
+        assert inner.count() == 3
+        names = [n.split("-")[0] for n in os.listdir(shared_folder(spark))]
+        assert "inner" in names and "innermost" not in names
+    names = [n.split("-")[0] for n in os.listdir(shared_folder(spark))]
+    assert "inner" not in names and kept.count() == spark.read.parquet(f"{tmp_path}/out").count() == 3
