@@ -125,16 +125,16 @@ def edited(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K,
     hot = F.broadcast(stored(near.where(F.col("__rows") > bound).select(F.col("__id").alias("__hot"), F.lit(SALTS).alias("__salts")), "hot-ids"))
     salts_of = lambda df, c: df.join(hot, F.col(c).eqNullSafe(F.col("__hot")), "left").withColumn("__salts", F.coalesce("__salts", F.lit(1))).drop("__hot")
     every = F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))
-    # Ids are joined as structs: a null id equals itself, and every step finds rows dealt by the same key.
-    own = lambda c, salt: F.struct(F.col(c).alias("id"), salt.alias("salt"))
+    # Ids are joined as structs of one type: a null id equals itself, and every step finds rows dealt by the same key.
+    own = lambda c, salt: F.struct(F.col(c).alias("id"), F.coalesce(salt.cast("int"), F.lit(0)).alias("salt"))
     near = salts_of(near, "__id").select("__id", "__before", "__asks", every.alias("__salt"))
     near = near.select(own("__id", F.col("__salt")).alias("__id"), "__before", "__asks")
     # Each text is sketched once, before it is shuffled; its neighbour gets the sketch and the head.
     rows = salts_of(docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text")), "__id")
-    rows = rows.select(own("__id", F.pmod(F.xxhash64("__text"), F.col("__salts")).cast("int")).alias("__id"), "__text")
+    rows = rows.select(own("__id", F.pmod(F.xxhash64("__text"), F.col("__salts"))).alias("__id"), "__text")
     beside = rows.withColumn("__sketch", sketch(F.col("__text"), k, shingle)).join(near, "__id")
     sent = salts_of(beside, "__before").select(F.struct(F.expr("substring(__text, 1, int(__asks))").alias("head"), F.col("__sketch").alias("sketch")).alias("__sent"), "__before", every.alias("__salt"))
-    sent = sent.groupBy(own("__before", F.col("__salt")).alias("__id")).agg(F.min("__sent").alias("__sent"))
+    sent = sent.select(own("__before", F.col("__salt")).alias("__id"), "__sent").groupBy("__id").agg(F.min("__sent").alias("__sent"))
     out = beside.select("__id", "__text", "__sketch").join(sent, "__id")
     long = F.length("__text")
     changed = F.concat(F.substring("__text", F.lit(1), long - F.floor(long / 4).cast("int")), F.substring(F.col("__sent.head"), F.lit(1), F.floor(long / 4).cast("int")))
