@@ -35,9 +35,9 @@ def streamed(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return rows.select("row", "tokens").join(placed.select("row", "n", "before"), "row").select("tokens", "n", "before")
 
 
-def length(docs: DataFrame, tokens: Column) -> int:
+def length(stream: DataFrame) -> int:
     """Tokens of the whole stream."""
-    return docs.agg(F.sum(F.size(tokens))).first()[0] or 0
+    return stream.agg(F.sum("n")).first()[0] or 0
 
 
 def pieces(stream: DataFrame, ranges: Sequence[tuple[str, int, int]], size: int, overlap: int = 0, whole: bool = True) -> DataFrame:

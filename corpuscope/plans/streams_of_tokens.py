@@ -39,7 +39,8 @@ SELECT part, win, len(ids) - 1 AS n, sha256(array_to_string(ids[:len(ids) - 1],
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 128 tokens over the stream of all documents, cut at 95 hundredths, as digests of inputs and labels."""
     docs, tokens = _documents(spark, sf_dir)
-    rows = token_stream.training_windows(token_stream.streamed(docs, "doc_id", tokens), token_stream.length(docs, tokens), WINDOW)
+    stream = token_stream.streamed(docs, "doc_id", tokens)
+    rows = token_stream.training_windows(stream, token_stream.length(stream), WINDOW)
     return rows.select("part", "win", F.size("inputs").cast("long").alias("n"), _digest("inputs").alias("inputs_sha256"), _digest("labels").alias("labels_sha256"))
 
 
@@ -52,7 +53,8 @@ def shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tokens = _documents(spark, sf_dir)
     path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
     spark.dataSource.register(Shards)
-    token_stream.shards(token_stream.streamed(docs, "doc_id", tokens), token_stream.length(docs, tokens), SHARD).write.format("shards").mode("append").save(path)
+    stream = token_stream.streamed(docs, "doc_id", tokens)
+    token_stream.shards(stream, token_stream.length(stream), SHARD).write.format("shards").mode("append").save(path)
     read = spark.read.format("shards").load(path)
     return read.select("part", "shard", F.expr("octet_length(data) div 2").cast("long").alias("n"), F.sha2("data", 256).alias("sha256"))
 

@@ -29,7 +29,7 @@ SIZES = [5, 0, 1, 300, 2, 64, 63, 65, 0, 7, 129, 1, 1, 40]
 @pytest.mark.parametrize(("size", "share"), [(1, 0.95), (8, 0.95), (64, 0.5), (100, 0.95), (10_000, 0.95)])
 def test_windows(spark, size, share):
     df, stream = corpus(spark, SIZES)
-    assert token_stream.length(df, F.col("tokens")) == len(stream)
+    assert token_stream.length(token_stream.streamed(df, "doc_id", F.col("tokens"))) == len(stream)
     got = {(r.part, r.win): (r.inputs, r.labels) for r in token_stream.training_windows(token_stream.streamed(df, "doc_id", F.col("tokens")), len(stream), size, share).collect()}
     end = int(len(stream) * share)
     parts = {"train": stream[:end], "eval": stream[end:]}
@@ -69,8 +69,8 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
 
 def test_empty_stream(spark):
     none = spark.createDataFrame([], "doc_id long, tokens array<int>")
-    assert token_stream.length(none, F.col("tokens")) == 0
     stream = token_stream.streamed(none, "doc_id", F.col("tokens"))
+    assert token_stream.length(stream) == 0
     assert token_stream.training_windows(stream, 0, 8).count() == 0 and token_stream.shards(stream, 0, 8).count() == 0
     assert packing.packed(spark.createDataFrame([], "doc_id long, n long"), "doc_id", "n", 8).count() == 0
 
