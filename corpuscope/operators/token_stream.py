@@ -51,10 +51,14 @@ def pieces(stream: DataFrame, ranges: Sequence[tuple[str, int, int]], size: int,
     last = F.expr(f"(b - 1) div {size}")
     last = F.least(last, F.expr(f"(hi - lo) div {size} - 1")) if whole else last
     first = F.greatest(F.lit(0), F.expr(f"(a - {overlap}) div {size}"))
-    rows = rows.withColumns({"first": first, "last": last}).where("first <= last").withColumn("piece", F.explode(F.sequence("first", "last")))
-    at, to = F.greatest("a", F.col("piece") * size), F.least("b", F.col("piece") * size + size + overlap)
-    cut_out = F.slice("tokens", (at + F.col("lo") - F.col("before") + 1).cast("int"), (to - at).cast("int"))
-    shares = rows.where(to > at).select("part", "piece", at.alias("at"), cut_out.alias("tokens"))
+    rows = rows.withColumns({"first": first, "last": last}).where("first <= last")
+
+    def share(piece: Column) -> Column:
+        at, to = F.greatest("a", piece * size), F.least("b", piece * size + size + overlap)
+        return F.struct(piece.alias("piece"), at.alias("at"), F.slice("tokens", (at + F.col("lo") - F.col("before") + 1).cast("int"), F.greatest(to - at, F.lit(0)).cast("int")).alias("tokens"))
+
+    # Shares are cut before rows are made of them, so that no row but the document's own carries all of its tokens.
+    shares = rows.select("part", F.explode(F.transform(F.sequence("first", "last"), share)).alias("s")).select("part", "s.*").where(F.size("tokens") > 0)
     met = shares.groupBy("part", "piece").agg(F.sort_array(F.collect_list(F.struct("at", "tokens"))).alias("shares"))
     return met.select("part", "piece", F.flatten(F.transform("shares", lambda s: s["tokens"])).alias("tokens"))
 
