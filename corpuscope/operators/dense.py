@@ -1,4 +1,4 @@
-"""Dense retrieval over hashed vectors: exact inner products in blocks, the best of each block ranked at last."""
+"""Dense retrieval over hashed vectors: exact inner products in blocks, the best of each partition ranked at last."""
 
 from __future__ import annotations
 
@@ -15,6 +15,10 @@ from corpuscope.operators.ranking import top
 DIM = 256
 #: Queries whose vectors (8 MB at DIM) go to the executors at once; more are searched for in turns.
 QUERIES = 4096
+#: Documents that are compared with them at once: 32 MB of scores.
+STEP = 1024
+
+_NONE = np.zeros(0, np.int64)
 
 
 def hashed_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,6 +41,7 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -
     """query, doc, score and rank of the k documents with the largest inner product; zero and negative ones count too.
 
     vectors has doc, queries has query, both idx and value. Scores equal to so many digits tie, ties go to the smaller doc.
+    A task keeps k documents for each of the block's queries, and only these leave it.
     """
     spark, out = vectors.sparkSession, None
     blocks = max(1, -(-queries.count() // QUERIES))
@@ -50,15 +55,25 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
+            docs, scores, least = [_NONE] * len(ids), [np.zeros(0)] * len(ids), np.full(len(ids), -np.inf)  # the best so far, and what it takes to join them
             for batch in batches:
-                docs = batch.column(0).to_numpy(zero_copy_only=False)
-                x = np.zeros((len(docs), DIM))
-                for i, (at, value) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    x[i, at] = value
-                scores = np.round(matrix @ x.T, digits)
-                for q in range(len(ids)):
-                    best = np.lexsort((docs, -scores[q]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[q])), pa.array(docs[best]), pa.array(scores[q, best])], ["query", "doc", "score"])
+                for start in range(0, batch.num_rows, STEP):
+                    part = batch.slice(start, STEP)
+                    here = part.column(0).to_numpy(zero_copy_only=False)
+                    x = np.zeros((len(here), DIM))
+                    for i, (at, value) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                        x[i, at] = value
+                    found = np.round(matrix @ x.T, digits)
+                    enters = found >= least[:, None]
+                    for q in np.flatnonzero(enters.any(1)):
+                        every, said = np.concatenate([docs[q], here[enters[q]]]), np.concatenate([scores[q], found[q, enters[q]]])
+                        best = np.lexsort((every, -said))[:k]
+                        docs[q], scores[q] = every[best], said[best]
+                        if len(best) == k:
+                            least[q] = said[best[-1]]
+            sizes = [len(d) for d in docs]
+            if any(sizes):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(scores))], ["query", "doc", "score"])
 
         found = vectors.select("doc", "idx", "value").mapInArrow(search, "query bigint, doc bigint, score double")
         out = found if out is None else out.unionByName(found)
