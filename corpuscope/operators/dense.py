@@ -29,9 +29,10 @@ def hashed_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
     tokens = df.select(F.col(key).alias("__key"), F.explode(retrieval_tokens(F.col(text))).alias("t"))
     place = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 2), 16, 10).cast("int")
     counts = tokens.groupBy("__key", place.alias("idx")).agg(F.count("*").alias("n"))
-    rows = counts.groupBy("__key").agg(F.collect_list(F.struct("idx", F.when(F.col("idx") % 2 == 1, F.col("n")).otherwise(-F.col("n")).cast("double").alias("v"))).alias("cells"))
-    norm = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["v"] * c["v"]))
-    rows = rows.select("__key", F.transform("cells", lambda c: c["idx"]).alias("idx"), F.transform("cells", lambda c: c["v"] / norm).alias("value"))
+    value = F.when(F.col("idx") % 2 == 1, F.col("n")).otherwise(-F.col("n")).cast("double")
+    # The norm is summed up beside the cells: inside the transform it would be made anew for each of them.
+    rows = counts.groupBy("__key").agg(F.collect_list(F.struct("idx", value.alias("v"))).alias("cells"), F.sqrt(F.sum(value * value)).alias("norm"))
+    rows = rows.select("__key", F.transform("cells", lambda c: c["idx"]).alias("idx"), F.transform("cells", lambda c: c["v"] / F.col("norm")).alias("value"))
     every = df.select(F.col(key).alias("__key")).distinct().join(rows, "__key", "left")
     none = lambda kind: F.array().cast(kind)
     return every.select(F.col("__key").alias(key), F.coalesce("idx", none("array<int>")).alias("idx"), F.coalesce("value", none("array<double>")).alias("value"))
