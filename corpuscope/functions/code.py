@@ -23,8 +23,11 @@ ENDPOINTS = [
     r"(?:route|router)\.(?:get|post|put|delete|patch)\(['\"]([^'\"]+)['\"]",
 ]
 
-# Pattern of tables that SQL text names.
-TABLES = r"(?i)\b(?:FROM|JOIN|INTO|UPDATE|TABLE|INSERT INTO)\s+([A-Za-z_][A-Za-z0-9_]*)"
+#: The border of a word of ASCII letters, digits and underscore: Java's \b also counts other letters.
+BORDER = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+# Pattern of tables that SQL text names; without regard to case, the long s and the Kelvin sign are letters too.
+TABLES = BORDER + r"(?i:FROM|JOIN|INTO|UPDATE|TABLE|INSERT INTO)[ \t\n\f\r]+([A-Za-z_\u017f\u212a][A-Za-z0-9_\u017f\u212a]*)"
 
 # Patterns of symbols; group 1 is the name, but for those of NAME_GROUPS.
 SYMBOLS = {
@@ -69,9 +72,9 @@ RELATION = r"[\w./-]+\.(?:py|java|js|ts|go) (?:calls|imports|extends|implements|
 
 # What a generated patch must not hold.
 SUSPICIOUS = [
-    r"(?i)\b(base64|decrypt|sudo|chmod\s+4?777|pkexec)\b",
-    r"(?i)(/etc/(passwd|shadow)|/root/|\.ssh/)",
-    r"(?i)(curl|wget)\s+(-o|-O)?\s*\S*(--url\s*)?",
+    rf"{BORDER}(?iu:base64|decrypt|sudo|chmod[ \t\n\f\r]+4?777|pkexec){BORDER}",
+    r"(?iu)(/etc/(passwd|shadow)|/root/|\.ssh/)",
+    r"(?iu)(curl|wget)[ \t\n\f\r]",
 ]
 
 # Hints of SQL dialects and words of forbidden writes.

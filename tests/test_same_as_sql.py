@@ -44,3 +44,14 @@ def test_losses_of_half_a_thousandth_and_of_less_than_none(spark, tmp_path):
     balances = [5075.0, 5095.0, 4625.0, -4625.0, -0.01, -4.99, -5.0, 0.0, 9999.99, None]
     spark.createDataFrame([(k, k % 2, b) for k, b in enumerate(balances)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     same(spark, tmp_path, "scaling_series")
+
+
+@pytest.mark.parametrize("name", ["suspicious_patterns", "table_mentions", "tokenizer_report"])
+def test_words_beside_other_letters(spark, tmp_path, name):
+    """Words end where ASCII letters, digits and underscores do, and fold as they do in SQL."""
+    words = ["sudo", "\u017fudo", "base64", "p\u212aexec", "chmod", "777", " ", "\x0b", "\n", "\u00f1", "\u00e9", "\u0301", "\u0663", "_", "1", "curl", "wget", "/root/", ".\u017fsh/", "from ", "JOIN t", "def f(", "func g ("]
+    pick = random.Random(11)
+    texts = ["a sudo\u00f1bo", "\u00e9from t1", "\u00f1def f(x)", "", None] + ["".join(pick.choices(words, k=pick.randint(1, 6))) for _ in range(2000)]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    same(spark, tmp_path, name)
