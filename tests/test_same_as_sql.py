@@ -55,3 +55,15 @@ def test_words_beside_other_letters(spark, tmp_path, name):
     rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     same(spark, tmp_path, name)
+
+
+def test_words_are_found_once_for_all_windows(spark):
+    """Inside a lambda the tokens were found anew for each window of a text."""
+    from pyspark.sql import functions as F
+
+    from corpuscope.functions import records, text
+
+    df = spark.createDataFrame([(" ".join(f"w{k}" for k in range(150)),), (None,), ("one",)], "t string").select(records.fixed_windows(text.word_tokens(F.col("t")), 64).alias("w"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = [r.w for r in df.collect()]
+    assert [[(w.inputs[0], w.inputs[-1], w.labels[0], w.labels[-1]) for w in ws or []] for ws in got] == [[("w0", "w62", "w1", "w63"), ("w64", "w126", "w65", "w127")], [], []]
