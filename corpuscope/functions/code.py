@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ ENDPOINTS = [
 BORDER = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 # Pattern of tables that SQL text names; without regard to case, the long s and the Kelvin sign are letters too.
-TABLES = BORDER + r"(?i:FROM|JOIN|INTO|UPDATE|TABLE|INSERT INTO)[ \t\n\f\r]+([A-Za-z_\u017f\u212a][A-Za-z0-9_\u017f\u212a]*)"
+TABLES = r"(?=[FfIiJjTtUu])(?<![A-Za-z0-9_])(?i:FROM|JOIN|INTO|UPDATE|TABLE|INSERT INTO)[ \t\n\f\r]+([A-Za-z_\u017f\u212a][A-Za-z0-9_\u017f\u212a]*)"
 
 # Patterns of symbols; group 1 is the name, but for those of NAME_GROUPS.
 SYMBOLS = {
@@ -123,6 +125,10 @@ def _placed(kind: str, names: Column, matched: Column, between: Column) -> Colum
         F.lit(kind).alias("kind"), x["name"].alias("name"), line.alias("line"), F.regexp_replace(x["signature"], r"^\s+|\s+$", "").alias("signature")))
 
 
+def _placing(kind: str, names: Column, between: Column) -> Callable[[Column], Column]:
+    return lambda matched: _placed(kind, names, matched, between)
+
+
 def symbols(text: Column, language: str) -> Column:
     """kind, name, line and signature of each symbol, by kind and place.
 
@@ -133,7 +139,8 @@ def symbols(text: Column, language: str) -> Column:
         names = found(text, pattern)
         for g in NAME_GROUPS.get((language, kind), (1,))[1:]:
             names = F.zip_with(names, found(text, pattern, g), lambda a, b: F.when(a != "", a).otherwise(b))
-        kinds.append(_placed(kind, names, found(text, pattern, 0), F.split(text, pattern, -1)))
+        # A variable of a lambda is made once; an expression that is named thrice is made thrice.
+        kinds.append(F.element_at(F.transform(F.array(found(text, pattern, 0)), _placing(kind, names, F.split(text, pattern, -1))), 1))
     return F.concat(*kinds)
 
 

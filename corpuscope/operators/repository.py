@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import code
-from corpuscope.functions.text import node_id
+from corpuscope.functions.text import id_characters, node_id
+from corpuscope.operators.cut import cut
 
 
 def parsed(files: DataFrame, language: str, extension: str) -> DataFrame:
@@ -23,7 +26,7 @@ def _of(path: Column, what: Column | str, prefix: str = "") -> Column:
 def graph(files: DataFrame, repository: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, type, name, file, line) and edges (source, target, type) of parsed files.
 
-    Every kind of node and edge is read from the parsed files, so these should be a stored table. Nodes with equal ids are one: of those the module and files come first, then symbols, endpoints, tables and tests, then
+    Every kind of node is read from the parsed files, and edges twice, so these should be a stored table. Nodes with equal ids are one: of those the module and files come first, then symbols, endpoints, tables and tests, then
     the smaller path and line. A test's function is linked with the other symbols of its own file: names of other files
     would give nodes that don't exist, as many as files times names.
     """
@@ -48,18 +51,31 @@ def graph(files: DataFrame, repository: str) -> tuple[DataFrame, DataFrame]:
     )
     found = every.groupBy("id").agg(F.min("n").alias("n")).select("id", "n.type", "n.name", "n.file", "n.line")
 
-    def edges(df: DataFrame, source: Column, target: Column, type_: str) -> DataFrame:
-        return df.select(source.alias("source"), target.alias("target"), F.lit(type_).alias("type"))
-
-    targets = symbols.select("path", F.col("name").alias("target")).distinct()
-    links = (
-        edges(files, module, node_id(path), "CONTAINS")
-        .unionByName(edges(symbols, node_id(path), _of(path, F.col("name")), "CONTAINS"))
-        .unionByName(edges(files.select("path", F.explode("imports").alias("i")), node_id(path), node_id(F.replace("i", F.lit("."), F.lit("/"))), "IMPORTS"))
-        .unionByName(edges(endpoints, node_id(path), _of(path, F.col("name"), "endpoint:"), "DEFINES_ENDPOINT"))
-        .unionByName(edges(tables, node_id(path), node_id(F.concat(F.lit("table:"), "name")), "READS_TABLE"))
-        .unionByName(edges(tests.join(targets, "path").where("target <> name"), _of(path, F.col("name"), "test:"), _of(path, F.col("target")), "TESTS"))
-    )
+    def edge(source: Column, target: Column, type_: str) -> Column:
+        return F.struct(source.alias("source"), target.alias("target"), F.lit(type_).alias("type"))
+
+    def each(column: str, target: Callable[..., Column], type_: str) -> Column:
+        return F.coalesce(F.transform(F.col(column), lambda x: edge(F.col("file"), target(x), type_)), F.array().cast("array<struct<source:string,target:string,type:string>>"))
+
+    # A file's edges but those of tests are made in one pass over it; tests meet the other symbols of their row there, one test at a time.
+    # Outer generators: for the others Spark adds a filter on their size, which would make the arrays three times.
+    # Paths and names are looked through once each, and ids joined of them.
+    strip = lambda *parts: F.btrim(F.concat(*parts), F.lit("-"))
+    names = F.array_distinct(F.transform("symbols", lambda s: s["name"]))
+    rows = files.select("path", "is_test", "symbols", "imports", "endpoints", "tables", names.alias("names"), id_characters(path).alias("base")).withColumns({"file": strip("base"), "base": F.concat("base", F.lit("-"))})
+    part = lambda name, prefix="": strip(F.col("base"), F.lit(prefix), id_characters(name))
+    own = rows.select(F.inline_outer(F.concat(
+        F.array(edge(module, F.col("file"), "CONTAINS")), each("names", part, "CONTAINS"), each("imports", lambda i: node_id(F.replace(i, F.lit("."), F.lit("/"))), "IMPORTS"),
+        each("endpoints", lambda e: part(e, "endpoint-"), "DEFINES_ENDPOINT"), each("tables", lambda t: node_id(F.concat(F.lit("table:"), t)), "READS_TABLE"))))
+    said = F.array_distinct(F.transform(F.filter("symbols", lambda s: s["kind"].isin("function", "method")), lambda s: s["name"]))
+    met = rows.where("is_test and path is not null").select("base", F.transform("names", lambda n: F.struct(n.alias("name"), part(n).alias("id"))).alias("targets"), F.explode_outer(said).alias("name")).where("name is not null")
+    met = met.select("name", part(F.col("name"), "test-").alias("source"), F.explode_outer("targets").alias("t")).where("t.name <> name").select("source", F.col("t.id").alias("target"), F.lit("TESTS").alias("type"))
+    links = own.unionByName(met)
+    again = cut(files.groupBy("path").agg(F.count("*").alias("n")).where("n > 1 and path is not null").select("path"))
+    if not again.isEmpty():  # tests of a path in several rows also meet the symbols of its other rows
+        here = symbols.join(again, "path", "left_semi")
+        others = here.where("is_test and kind in ('function', 'method')").select("path", "name").distinct().join(here.select("path", F.col("name").alias("target")).distinct(), "path").where("target <> name")
+        links = links.unionByName(others.select(_of(path, F.col("name"), "test:").alias("source"), _of(path, F.col("target")).alias("target"), F.lit("TESTS").alias("type")))
     return found, links.distinct()
 
 

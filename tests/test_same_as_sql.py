@@ -67,3 +67,20 @@ def test_words_are_found_once_for_all_windows(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     got = [r.w for r in df.collect()]
     assert [[(w.inputs[0], w.inputs[-1], w.labels[0], w.labels[-1]) for w in ws or []] for ws in got] == [[("w0", "w62", "w1", "w63"), ("w64", "w126", "w65", "w127")], [], []]
+
+
+def test_edges_of_a_repository_come_from_two_passes(spark):
+    """Tests also meet the symbols of other rows of their path; files without a text keep their edge."""
+    from pyspark.sql import functions as F
+
+    from corpuscope.operators import repository
+    from corpuscope.operators.cut import cut
+
+    rows = [("a b.py", "def test_x():\n    pass\nclass K:\n    pass\n"), ("a b.py", "def go():\n    pass\n"), ("c.py", None), ("d.py", "def test_y():\n    pass\ndef f():\n    pass\n")]
+    parsed = lambda r: cut(repository.parsed(spark.createDataFrame(r, "path string, text string"), "python", "py").drop("text"), "parsed")
+    got = {(r.source, r.target) for r in repository.graph(parsed(rows), "shop")[1].where("type = 'TESTS'").collect()}
+    assert got == {("a-b.py-test-test_x", "a-b.py-K"), ("a-b.py-test-test_x", "a-b.py-go"), ("d.py-test-test_y", "d.py-f"), ("d.py-test-f", "d.py-test_y")}
+    links = repository.graph(parsed(rows[1:]), "shop")[1]
+    assert links.where((F.col("source") == "shop") & (F.col("target") == "c.py")).count() == 1
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and "size(" not in plan
