@@ -84,3 +84,22 @@ def test_edges_of_a_repository_come_from_two_passes(spark):
     assert links.where((F.col("source") == "shop") & (F.col("target") == "c.py")).count() == 1
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 2 and "size(" not in plan
+
+
+def test_shards_are_packed_without_python_numbers():
+    """A batch of 40 shards; as lists of Python's numbers it took 20 MB and more."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corpuscope.operators import token_stream
+
+    tokens = np.arange(40 * 65_536, dtype=np.int32) % 65_536
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(41, dtype=np.int32) * 65_536), pa.array(tokens))
+    batch = pa.RecordBatch.from_arrays([pa.array(["train"] * 40), pa.array(range(40)), lists], ["part", "shard", "tokens"])
+    tracemalloc.start()
+    for k, out in enumerate(token_stream._packed(iter([batch.slice(3)]))):
+        assert out.column(1).to_pylist() == [k + 3] and out.column(2)[0].as_py() == tokens[(k + 3) * 65_536 : (k + 4) * 65_536].astype("<u2").tobytes()
+    assert k == 36 and tracemalloc.get_traced_memory()[1] < 2_000_000
+    tracemalloc.stop()
