@@ -26,7 +26,8 @@ def hashed_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
 
     A text without tokens has an empty list. Tokens are counted before the shuffle, so at most DIM rows of a text travel.
     """
-    tokens = df.select(F.col(key).alias("__key"), F.explode(retrieval_tokens(F.col(text))).alias("t"))
+    # Outer, as Spark else filters by the size of the tokens and finds them several times.
+    tokens = df.select(F.col(key).alias("__key"), F.explode_outer(retrieval_tokens(F.col(text))).alias("t")).where("t is not null")
     place = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 2), 16, 10).cast("int")
     counts = tokens.groupBy("__key", place.alias("idx")).agg(F.count("*").alias("n"))
     value = F.when(F.col("idx") % 2 == 1, F.col("n")).otherwise(-F.col("n")).cast("double")

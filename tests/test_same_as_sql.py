@@ -103,3 +103,17 @@ def test_shards_are_packed_without_python_numbers():
         assert out.column(1).to_pylist() == [k + 3] and out.column(2)[0].as_py() == tokens[(k + 3) * 65_536 : (k + 4) * 65_536].astype("<u2").tobytes()
     assert k == 36 and tracemalloc.get_traced_memory()[1] < 2_000_000
     tracemalloc.stop()
+
+
+def test_retrieval_finds_the_tokens_of_a_text_once(spark):
+    """A filter on the size of the tokens, which Spark adds to an inner generator, found them again."""
+    from corpuscope.operators import dense, ranking
+
+    df = spark.createDataFrame([(1, "ab ab cd x"), (2, None), (3, ""), (4, "x")], "id long, t string")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    post = ranking.postings(df, "id", "t")
+    assert plan(post).count("regexp_extract_all") == 1
+    assert sorted(tuple(r[c] for c in ("doc", "term", "tf", "length")) for r in post.collect()) == [(1, "ab", 2, 3), (1, "cd", 1, 3)]
+    vectors = dense.hashed_vectors(df, "id", "t")
+    assert plan(vectors).count("regexp_extract_all") == 1
+    assert sorted((r.id, len(r.idx)) for r in vectors.collect()) == [(1, 2), (2, 0), (3, 0), (4, 0)]
