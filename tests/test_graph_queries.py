@@ -59,3 +59,29 @@ def test_pagerank_stops_when_settled(spark):
 
     ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "source string, target string")
     assert {r.node: r["rank"] for r in graph.pagerank(ring).collect()} == pytest.approx(dict.fromkeys("abc", 1 / 3))
+
+
+def test_betweenness_keeps_a_row_for_each_node(spark, monkeypatch):
+    from corpuscope.operators import graph
+
+    ring = 6
+    monkeypatch.setattr(graph, "ABREAST", 4, raising=False)  # fewer than there are sources
+    links = [(k, (k + 1) % ring) for k in range(ring)] + [(3, 4), (5, 5), (2, None), (None, 1)]
+    rows, cut = [], graph.cut
+
+    def counted(df, *name):
+        made = cut(df, *name)
+        rows.append(made.count())
+        return made
+
+    monkeypatch.setattr(graph, "cut", counted)
+    got = graph.betweenness(spark.createDataFrame(links, "source long, target long"), spark.createDataFrame([(k,) for k in range(ring)] + [(None,), (0,)], "node long")).collect()
+    # Each source has two targets at 1 and 2 steps and one at 3, each with an inner node less than steps; by symmetry all nodes get the same.
+    assert {r.node: r.betweenness for r in got} == pytest.approx(dict.fromkeys(range(ring), (2 * (0 + 1) + 2) / 2))
+    assert max(rows) <= ring
+
+
+def test_betweenness_without_sources(spark):
+    from corpuscope.operators import graph
+
+    assert graph.betweenness(spark.createDataFrame([(1, 2)], "source long, target long"), spark.createDataFrame([], "node long")).collect() == []
