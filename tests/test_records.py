@@ -67,3 +67,20 @@ def test_keep_first_equals_one_pass(spark, seed):
     assert got == first_fit(sigs, 3, 2) and {100, 102} <= got and 101 not in got
     empty = sketch.keep_first(df.where("id < 0"), "id", 3, 2)
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize(("hot", "sure"), [(0, 0), (3, 2), (50, 32)])
+def test_signatures_of_rare_and_long_words(spark, monkeypatch, hot, sure):
+    monkeypatch.setattr(sketch, "HOT", hot)
+    monkeypatch.setattr(sketch, "SURE", sure)
+    monkeypatch.setattr(sketch, "BLOCK", 5)
+    rng, long = random.Random(5), "x" * 70
+    texts = [" ".join(rng.choice(["a", "b", "c", f"w{rng.randrange(60)}", long, long + "y"]) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    rows = [(k % 50 if k % 7 else None, t) for k, t in enumerate([*texts, "", None, "..."])]  # null and repeated keys
+    docs = spark.createDataFrame(rows, "id long, t string")
+    want: dict = {}
+    for key, t in rows:
+        want.setdefault(key, set()).update((t or "").replace(".", "").split())
+    slot = lambda i, w: int(hashlib.sha256(f"7:{2 * i + 1}:{2 * i + 2}:{w}".encode()).hexdigest()[:8], 16)
+    found = sketch.signatures(docs, "id", "t", slots=8).collect()
+    assert len(found) == len(want) and {r.id: r.signature for r in found} == {k: [min(slot(i, w) for w in s) for i in range(8)] if s else None for k, s in want.items()}
