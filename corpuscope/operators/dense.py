@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import retrieval_tokens
-from corpuscope.operators.ranking import top
+from corpuscope.operators.ranking import Best, flat, lists_of, merged, repeated, top
 
 DIM = 256
 #: Queries whose vectors (8 MB at DIM) go to the executors at once; more are searched for in turns.
@@ -18,25 +19,34 @@ QUERIES = 4096
 #: Documents that are compared with them at once: 32 MB of scores.
 STEP = 1024
 
-_NONE = np.zeros(0, np.int64)
-
 
 def hashed_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, idx (lists) and value: the vector's places by the first byte of each token's md5, odd ones positive, normalised.
 
-    A text without tokens has an empty list. Tokens are counted before the shuffle, so at most DIM rows of a text travel.
+    A text without tokens has an empty list, and so has a null key. Tokens are counted where their text is; only rows of a
+    repeated key, whose texts count as one, travel.
     """
-    # Outer, as Spark else filters by the size of the tokens and finds them several times.
-    tokens = df.select(F.col(key).alias("__key"), F.explode_outer(retrieval_tokens(F.col(text))).alias("t")).where("t is not null")
-    place = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 2), 16, 10).cast("int")
-    counts = tokens.groupBy("__key", place.alias("idx")).agg(F.count("*").alias("n"))
-    value = F.when(F.col("idx") % 2 == 1, F.col("n")).otherwise(-F.col("n")).cast("double")
-    # The norm is summed up beside the cells: inside the transform it would be made anew for each of them.
-    rows = counts.groupBy("__key").agg(F.collect_list(F.struct("idx", value.alias("v"))).alias("cells"), F.sqrt(F.sum(value * value)).alias("norm"))
-    rows = rows.select("__key", F.transform("cells", lambda c: c["idx"]).alias("idx"), F.transform("cells", lambda c: c["v"] / F.col("norm")).alias("value"))
-    every = df.select(F.col(key).alias("__key")).distinct().join(rows, "__key", "left")
-    none = lambda kind: F.array().cast(kind)
-    return every.select(F.col("__key").alias(key), F.coalesce("idx", none("array<int>")).alias("idx"), F.coalesce("value", none("array<double>")).alias("value"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, STEP):
+                part = batch.slice(start, STEP)
+                owner, said = flat(part.column(1))
+                said = said.dictionary_encode()
+                place = np.array([hashlib.md5(t.encode(), usedforsecurity=False).digest()[0] for t in said.dictionary.to_pylist()], np.int64)
+                cells = np.bincount(owner * DIM + place[said.indices.to_numpy(zero_copy_only=False)], minlength=part.num_rows * DIM)
+                found = np.flatnonzero(cells)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists_of(found // DIM, (found % DIM).astype(np.int32), part.num_rows), lists_of(found // DIM, cells[found].astype(np.int64), part.num_rows)], ["key", "idx", "n"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.when(F.col(key).isNotNull(), retrieval_tokens(F.col(text))).alias("tokens")).mapInArrow(count, f"key {kind}, idx array<int>, n array<bigint>")
+    again = repeated(df.select(F.col(key).alias("key")), "key")
+    if not again.isEmpty():
+        rows = merged(rows, "key", again, "idx", "n")
+    # An array of one, so that the norm is found once and not for each cell.
+    norm = F.sqrt(F.aggregate("n", F.lit(0.0), lambda a, n: a + (n * n).cast("double")))
+    signed = lambda norm: F.zip_with("idx", "n", lambda i, n: F.when(i % 2 == 1, n).otherwise(-n).cast("double") / norm)
+    return rows.select(F.col("key").alias(key), "idx", F.element_at(F.transform(F.array(norm), signed), 1).alias("value"))
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -49,34 +59,25 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -
     blocks = max(1, -(-queries.count() // QUERIES))
     for block in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).toArrow()  # about QUERIES rows
-        ids = np.array(rows.column("query").to_pylist(), np.int64)
-        matrix = np.zeros((len(ids), DIM))
-        for i, (at, value) in enumerate(zip(rows.column("idx").to_pylist(), rows.column("value").to_pylist(), strict=True)):
-            matrix[i, at] = value
+        ids, matrix = rows.column("query").combine_chunks(), _matrix(rows.column("idx").combine_chunks(), rows.column("value").combine_chunks())
         shared = spark.sparkContext.broadcast((ids, matrix))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
-            docs, scores, least = [_NONE] * len(ids), [np.zeros(0)] * len(ids), np.full(len(ids), -np.inf)  # the best so far, and what it takes to join them
+            best = Best(len(ids), k)
             for batch in batches:
                 for start in range(0, batch.num_rows, STEP):
                     part = batch.slice(start, STEP)
-                    here = part.column(0).to_numpy(zero_copy_only=False)
-                    x = np.zeros((len(here), DIM))
-                    for i, (at, value) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                        x[i, at] = value
-                    found = np.round(matrix @ x.T, digits)
-                    enters = found >= least[:, None]
-                    for q in np.flatnonzero(enters.any(1)):
-                        every, said = np.concatenate([docs[q], here[enters[q]]]), np.concatenate([scores[q], found[q, enters[q]]])
-                        best = np.lexsort((every, -said))[:k]
-                        docs[q], scores[q] = every[best], said[best]
-                        if len(best) == k:
-                            least[q] = said[best[-1]]
-            sizes = [len(d) for d in docs]
-            if any(sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(scores))], ["query", "doc", "score"])
+                    best.add(part.column(0), np.round(matrix @ _matrix(part.column(1), part.column(2)).T, digits))
+            yield from best.batches(ids)
 
         found = vectors.select("doc", "idx", "value").mapInArrow(search, "query bigint, doc bigint, score double")
         out = found if out is None else out.unionByName(found)
-    return top(out, "query", [F.desc("score"), F.asc("doc")], k)
+    return top(out, "query", [F.desc("score"), F.asc_nulls_last("doc")], k)
+
+
+def _matrix(idx: pa.ListArray, value: pa.ListArray) -> np.ndarray:
+    x = np.zeros((len(idx), DIM))
+    owner, at = flat(idx)
+    x[owner, at.to_numpy()] = value.flatten().to_numpy()
+    return x

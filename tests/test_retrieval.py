@@ -64,3 +64,28 @@ def test_best_of_several_batches():
         best.add(pa.array(docs, pa.int64()), np.array(scores), np.array(scores) > 0)
     (batch,) = best.batches(pa.array([7, None]))
     assert batch.to_pylist() == [{"query": 7, "doc": None, "score": 3.0}, {"query": 7, "doc": 3, "score": 1.0}, {"query": None, "doc": 3, "score": 2.0}]
+
+
+def test_vectors_are_made_where_their_texts_are(spark):
+    from corpuscope.operators import dense
+
+    df = spark.createDataFrame([(k, f"ab cd w{k}") for k in range(20)], "id long, t string")
+    assert "Exchange" not in dense.hashed_vectors(df, "id", "t")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_of_repeated_and_missing_keys(spark):
+    """Texts of a key count as one; a null key and a text without tokens have no places."""
+    from corpuscope.operators import dense
+
+    df = spark.createDataFrame([(1, "ab ab"), (1, "cd"), (2, "ab cd ab"), (None, "ab"), (None, "cd"), (3, None), (3, "x")], "id long, t string")
+    got = {r.id: dict(zip(r.idx, r.value, strict=True)) for r in dense.hashed_vectors(df, "id", "t").collect()}
+    assert got[1] == pytest.approx(got[2]) and len(got[1]) == 2 and sum(v * v for v in got[1].values()) == pytest.approx(1)
+    assert got[None] == got[3] == {} and len(got) == 4
+
+
+def test_dense_search_with_missing_ids(spark):
+    from corpuscope.operators import dense
+
+    vectors = spark.createDataFrame([(None, [], []), (4, [1], [1.0])], "doc long, idx array<int>, value array<double>")
+    queries = spark.createDataFrame([(9, [1], [2.0])], "query long, idx array<int>, value array<double>")
+    assert [(r.doc, r.score) for r in dense.dense_top(vectors, queries, 5).orderBy("rank").collect()] == [(4, 2.0), (None, 0.0)]
