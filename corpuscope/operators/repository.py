@@ -24,16 +24,23 @@ def _of(path: Column, what: Column | str, prefix: str = "") -> Column:
 
 
 def graph(files: DataFrame, repository: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, type, name, file, line) and edges (source, target, type) of parsed files.
+    """Nodes (id, type, name, file, line) and edges (source, target, type) of parsed files, each once.
 
-    Every kind of node is read from the parsed files, and edges twice, so these should be a stored table. Nodes with equal ids are one: of those the module and files come first, then symbols, endpoints, tables and tests, then
-    the smaller path and line. A test's function is linked with the other symbols of its own file: names of other files
-    would give nodes that don't exist, as many as files times names.
+    Every kind of node is read from the parsed files, and edges twice, so these should be a stored table.
     """
+    return nodes_of(files, repository), links_of(files, repository).distinct()
+
+
+def _symbols(files: DataFrame) -> DataFrame:
+    return files.select("path", "is_test", F.explode("symbols").alias("s")).select("path", "is_test", "s.*")
+
+
+def nodes_of(files: DataFrame, repository: str) -> DataFrame:
+    """Nodes of parsed files. Nodes with equal ids are one: of those the module and files come first, then symbols, endpoints,
+    tables and tests, then the smaller path and line."""
     path, none = F.col("path"), F.lit(None)
     root = F.lit(repository)
-    module = node_id(root)
-    symbols = files.select("path", "is_test", F.explode("symbols").alias("s")).select("path", "is_test", "s.*")
+    symbols = _symbols(files)
     endpoints = files.select("path", F.explode("endpoints").alias("name"))
     tables = files.select("path", F.explode("tables").alias("name"))
     tests = symbols.where("is_test and kind in ('function', 'method')").select("path", "name", "line").distinct()
@@ -42,14 +49,25 @@ def graph(files: DataFrame, repository: str) -> tuple[DataFrame, DataFrame]:
         return df.select(id_.alias("id"), F.struct(F.lit(order).alias("order"), file.cast("string").alias("file"), line.cast("int").alias("line"), type_.alias("type"), name.alias("name")).alias("n"))
 
     every = (
-        nodes(files.sparkSession.range(1), 0, module, F.lit("MODULE"), root, none, none)
+        nodes(files.sparkSession.range(1), 0, node_id(root), F.lit("MODULE"), root, none, none)
         .unionByName(nodes(files, 1, node_id(path), F.lit("FILE"), path, none, none))
         .unionByName(nodes(symbols, 2, _of(path, F.col("name")), F.upper("kind"), F.col("name"), path, F.col("line")))
         .unionByName(nodes(endpoints, 3, _of(path, F.col("name"), "endpoint:"), F.lit("ENDPOINT"), F.col("name"), path, none))
         .unionByName(nodes(tables, 4, node_id(F.concat(F.lit("table:"), "name")), F.lit("DATABASE_TABLE_REFERENCE"), F.col("name"), none, none))
         .unionByName(nodes(tests, 5, _of(path, F.col("name"), "test:"), F.lit("TEST"), F.col("name"), path, none))
     )
-    found = every.groupBy("id").agg(F.min("n").alias("n")).select("id", "n.type", "n.name", "n.file", "n.line")
+    return every.groupBy("id").agg(F.min("n").alias("n")).select("id", "n.type", "n.name", "n.file", "n.line")
+
+
+def without_file(files: DataFrame, repository: str) -> DataFrame:
+    """node: ids of the module and of files, whose nodes come first and have no file."""
+    return files.select(node_id(F.col("path")).alias("node")).union(files.sparkSession.range(1).select(node_id(F.lit(repository))))
+
+
+def links_of(files: DataFrame, repository: str) -> DataFrame:
+    """Edges of parsed files, some of them several times. A test's function is linked with the other symbols of its own file:
+    names of other files would give nodes that don't exist, as many as files times names."""
+    path, module = F.col("path"), node_id(F.lit(repository))
 
     def edge(source: Column, target: Column, type_: str) -> Column:
         return F.struct(source.alias("source"), target.alias("target"), F.lit(type_).alias("type"))
@@ -73,10 +91,10 @@ def graph(files: DataFrame, repository: str) -> tuple[DataFrame, DataFrame]:
     links = own.unionByName(met)
     again = cut(files.groupBy("path").agg(F.count("*").alias("n")).where("n > 1 and path is not null").select("path"))
     if not again.isEmpty():  # tests of a path in several rows also meet the symbols of its other rows
-        here = symbols.join(again, "path", "left_semi")
+        here = _symbols(files).join(again, "path", "left_semi")
         others = here.where("is_test and kind in ('function', 'method')").select("path", "name").distinct().join(here.select("path", F.col("name").alias("target")).distinct(), "path").where("target <> name")
         links = links.unionByName(others.select(_of(path, F.col("name"), "test:").alias("source"), _of(path, F.col("target")).alias("target"), F.lit("TESTS").alias("type")))
-    return found, links.distinct()
+    return links
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:

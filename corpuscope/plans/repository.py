@@ -167,9 +167,10 @@ c1 AS (SELECT DISTINCT other AS node FROM step WHERE node = 'table-t1' AND other
 c2 AS (SELECT DISTINCT other AS node FROM step JOIN f1 USING (node) WHERE other <> 'table-t1' AND other NOT IN (SELECT node FROM c1)) SELECT 'table-t1' AS node UNION ALL SELECT node FROM c1 UNION ALL SELECT node FROM c2""")
 def effect_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a change of a table may touch, in two rounds."""
-    nodes, edges = _graph(spark, sf_dir)
-    own = nodes.where("file is not null").select(F.col("id").alias("node"), node_id(F.col("file")).alias("file"))
-    return graph.effect_cone(cut(edges), own, spark.createDataFrame([("table-t1",)], "node string"), 2)
+    rows = cut(repository.parsed(files(spark, sf_dir), "python", "py").drop("text"), "parsed")
+    own = repository.nodes_of(rows, "shop").where("file is not null").select(F.col("id").alias("node"), node_id(F.col("file")).alias("file"))
+    edges = cut(repository.links_of(rows, "shop"), "links")
+    return graph.effect_cone(edges, own, spark.createDataFrame([("table-t1",)], "node string"), 2, repository.without_file(rows, "shop"))
 
 
 @query("""

@@ -85,3 +85,20 @@ def test_betweenness_without_sources(spark):
     from corpuscope.operators import graph
 
     assert graph.betweenness(spark.createDataFrame([(1, 2)], "source long, target long"), spark.createDataFrame([], "node long")).collect() == []
+
+
+def test_effect_cone_asks_for_files_of_what_may_have_one(spark):
+    from pyspark.sql import functions as F
+
+    from corpuscope.operators import graph
+
+    edges = [("f", "t", "READS_TABLE"), ("f", "t", "READS_TABLE"), ("g-s", "t", "TESTS"), ("shop", "f", "CONTAINS"), ("shop", "g", "CONTAINS"), ("g", "g-s", "CONTAINS"), ("f", "lib", "IMPORTS"), ("g", "h", "IMPORTS"), ("x", "y", "CONTAINS")]
+    one = lambda *names: spark.createDataFrame([(n,) for n in names], "node string")
+    links = spark.createDataFrame(edges, "source string, target string, type string")
+    files = spark.createDataFrame([("g-s", "g"), ("x", "y")], "node string, file string")
+    for bare in (None, one("f", "f", "g", "shop")):
+        got = sorted(r.node for r in graph.effect_cone(links, files, one("t"), 2, bare).collect())
+        assert got == ["f", "g-s", "h", "lib", "shop", "t"]
+    # Files aren't looked at if nothing that was found may have one.
+    fails = files.select("node", F.raise_error(F.lit("asked for")).cast("string").alias("file"))
+    assert sorted(r.node for r in graph.effect_cone(links.where("source <> 'g-s'"), fails, one("t"), 2, one("f")).collect()) == ["f", "lib", "shop", "t"]
